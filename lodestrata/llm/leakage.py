@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.fmindex import FMIndex
+from lodestrata.session import spread
 
 SHARD_WORDS = 500_000
 #: The most bytes of evaluation text that are sent to the tasks at once; more items go through in blocks.
@@ -191,7 +192,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = 12, id_c
             held = 0
         blocks[-1].append((row.i, row.t))
         held += len(row.t)
-    source = documents.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")).where("length(_text) > 0")
+    source = spread(documents.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")).where("length(_text) > 0"))
     out = None
     for block in blocks:
         one = source.mapInPandas(_searcher(block, min_words), "_id bigint, item_id bigint, n_words int, start_char int, end_char int")

@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import spread
+
 # Abbreviations that never close a sentence, by language.
 NEVER_FINAL = {
     "en": "mr mrs ms dr prof rev gen col sgt lt capt gov hon messrs st mt fig figs eq eqs ch chap vol vols pp cf viz approx vs est dept e.g i.e ca al ed eds resp incl",
@@ -259,7 +261,7 @@ def split_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Narrow: one Arrow pass over the two columns, no shuffle.  Other columns of
     the input, whatever their names, are not read.
     """
-    source = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where("length(_text) > 0")
+    source = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where("length(_text) > 0"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
