@@ -78,7 +78,7 @@ def _pieces(letters: str, language: str) -> Iterator[str]:
         if c == "t":
             yield letters[at : k + own.blocks]
             at = k + 1
-        elif c == "Z" and own.blocks and k + 1 < len(letters) and letters[k + 1] not in own.goes_on and not (own.holds and re.fullmatch(own.holds, letters[at : k + 1])):
+        elif c == "Z" and own.blocks and k + 1 < len(letters) and (k == at or letters[k + 1] not in own.goes_on) and not (own.holds and re.fullmatch(own.holds, letters[at : k + 1])):
             yield letters[at : k + 1]
             at = k + 1
     if at < len(letters):
