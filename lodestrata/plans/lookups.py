@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import scalar as S
 from lodestrata.operators import lookup as L
+from lodestrata.sources import code, documents, files
 from lodestrata.session import table
 
 SYMBOLS = "(SELECT DISTINCT id, file_path, name, kind, visibility, signature, doc_comment, module_path, line_start, line_end, cyclomatic_complexity FROM symbols)"
@@ -33,9 +34,19 @@ QUERIES = {
     "content_hashes": lambda s, d: table(s, d, "documents").groupBy(S.content_hash(F.col("text")).alias("hash")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")),
 }
 
+QUERIES |= {
+    "file_symbols": lambda s, d: code.read_symbols(table(s, d, "source_files")),
+    "file_references": lambda s, d: code.read_references(table(s, d, "source_files")).groupBy("name", "kind").agg(F.count("*").alias("uses")),
+    "file_occurrences": lambda s, d: code.read_occurrences(table(s, d, "source_files")).groupBy("path").agg(F.count("*").alias("occurrences"), F.countDistinct("name").alias("names")),
+    "file_sections": lambda s, d: code.read_sections(table(s, d, "source_files")),
+    "file_endpoints": lambda s, d: code.read_endpoints(table(s, d, "source_files")),
+    "markdown_sections": lambda s, d: documents.read_markdown(table(s, d, "documents").select(F.col("source_path").alias("path"), F.col("text").alias("content"))),
+    "parser_kinds": lambda s, d: table(s, d, "source_files").select("path", files.parser_kind(F.col("path")).alias("kind"), files.is_excluded(F.col("path")).alias("excluded")),
+}
+
 
-def _urls(documents):
-    found = documents.select(F.explode(F.regexp_extract_all("text", F.lit(r"(https?://[a-z0-9./_\-]+[a-z0-9/])"), 1)).alias("url"))
+def _urls(docs):
+    found = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"(https?://[a-z0-9./_\-]+[a-z0-9/])"), 1)).alias("url"))
     return found.groupBy(S.normalize_url(F.col("url")).alias("url")).agg(F.count("*").alias("uses")).where("url is not null")
 
 
