@@ -72,7 +72,7 @@ def _blocks(text: str, a: int, b: int) -> list[Node]:
         now = "code" if opened else "head" if _HEAD.match(line) else "table" if _ROW.match(line) else "list" if _ITEM.match(line) else "text"
         if kind == "list" and now == "text" and not blank:
             now = "list"
-        if x > begun and (now != kind or now in ("code", "head") or (blank and now == "text") or kind == "head"):
+        if kind and x > begun and (now != kind or now in ("code", "head") or (blank and now == "text") or kind == "head"):
             out.append(Node(begun, x, kind or now))
             begun = x
         kind, blank = now, False
@@ -114,7 +114,7 @@ def tree(text: str) -> Node:
     stack: list[tuple[int, Node]] = [(0, root)]
     for block in _blocks(text, 0, len(text)):
         if block.kind == "head":
-            rank = len(_HEAD.match(text[block.start : block.end]).group(1))
+            rank = len(_HEAD.match(text[block.start : block.end].lstrip()).group(1))
             while stack[-1][0] >= rank:
                 stack.pop()
             section = Node(block.start, block.end, "section", [block])

@@ -73,7 +73,7 @@ _QUOTED = re.compile(
 )
 _BARE = re.compile(rf"{_NAME}[\"'`\]]{{0,2}}(?:[ \t]*(?:=>|:=|=|:)[ \t]*(?:[>|][\-+]?[ \t]*\n[ \t]+)?|[ \t]+(?=\S+[ \t]*(?:\n|$)))(?P<v>[^\s\"'`<>(){{}}\[\],;]+(?:[^\s\"'`,;)}}]*[^\s\"'`,;.)}}])?)", re.I)
 _NAME_WORD = re.compile(r"key|token|secret|pass|pwd|auth|cred|dsn|connection|kennwort|contrase|пароль|密码|パスワード|비밀번호", re.I)
-_NAME_CHAR = re.compile(r"[A-Za-z0-9_.\-]*$")
+_NAME_CHAR = re.compile(r"[A-Za-z0-9_.\-]*\Z")
 _ATTRIBUTE = re.compile(rf"(?:key|name|id)\s*=\s*[\"']{_NAME}[\"']\s+value\s*=\s*(?P<q>[\"'])(?P<v>[^\"'\n]*)(?P=q)", re.I)
 _ELEMENT = re.compile(rf"<{_NAME}>(?P<v>[^<>\n]+)</", re.I)
 _URL = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.\-]{1,20}://(?P<user>[^\s:/@\"'<>]*):(?P<v>[^\s/\"'<>]+?)@(?=[\w\[$.\-])")
@@ -92,12 +92,13 @@ _PROSE = re.compile(
     r"|\b(?:we|they|you|still|please|just|always)\s+(?:still\s+)?(?:use|uses|using|enter|paste)\s+[`\"'“]?(?P<c>[^\s`\"'“”]{8,}?)[`\"'”]?\s+(?:until|as|for|when|to|before)\b[^.\n]{0,30}?\b(?:rotat\w*|password|token|key|log in|login|secret|renew\w*)",
     re.I,
 )
-_PROSE_SIGN = re.compile(r"(?=[^\s`\"'“”]*\d)(?=[^\s`\"'“”]*[A-Za-z])(?<![^\s`\"'“/(])[^\s`\"'“”]{8,}")
-_TRIGGER = re.compile(
-    r"key|tok|secret|pass|pwd|auth|cred|bearer|basic|dsn|connection|login|client|session|account|://[^\s/]*@|-----BEGIN|PuTTY|ghp_|gho_|ghs_|xox|glpat|AKIA|ASIA|AIza|sk[-_]|SG\.|npm_|eyJ|rotat|mysql|maria|curl|wget|psql|mongo|redis-cli|ldapsearch|sqlcmd|kennwort|contrase|пароль|密码|パスワード|비밀번호"
-    r"|[A-Za-z0-9+/_\-]{24,}|(?:%[0-9A-Fa-f]{2}){4}|(?:\\x[0-9a-fA-F]{2}){4}|(?:\\u[0-9a-fA-F]{4}){4}|(?:&#x?[0-9a-fA-F]+;){4}",
-    re.I,
-)
+# Signs without which a pattern can't match; looking for them is many times cheaper.
+_NAME_SIGNS = ("key", "token", "secret", "pass", "pwd", "auth", "cred", "dsn", "connection", "kennwort", "contrase", "пароль", "密码", "パスワード", "비밀번호")
+_ISSUED_SIGNS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "AKIA", "ASIA", "AGPA", "AROA", "AIza", "k_live", "k_test", "sk-", "SG.", "npm_", "pypi-", "hf_", "dop_v1_", "ya29.", "shpat", "shpss", "shpca", "shppa", "EAAC", "key_", "key-", "tok_", "tok-", "eyJ")
+_COMMAND_SIGNS = ("mysql", "maria", "sshpass", "psql", "mongo", "redis-cli", "sqlcmd", "ldapsearch")
+_PROSE_SIGNS = ("account", "login", "log in", "sign in", "credential", "user", "password", "passphrase", "passcode", "pwd", "secret", "token", "api key", "api-key", "apikey", "access key", "rotat", "renew")
+_ESCAPES = ("\\x", "\\u", "\\0", "\\1", "&#")
+
 
 _PLACEHOLDER = re.compile(
     r"^(?:<[^>]*>|\[[^\]]*\]|\{[^}]*\}|x{3,}|X{3,}|\*+|\.+|-+|_+|#+|•+|0+|1234567?8?9?0?|(?:your|my|some|the|a|an|insert|enter|put|add|replace|change|set|fill)[-_ ].*|.*(?:changeme|change[-_]me|placeholder|redacted|example|dummy|sample|todo|fixme|replace[-_ ]?me|set[-_]me|notset|not[-_]set|your[-_]|goes[-_]here|\bhere\b|masked|hidden[-_]value|removed).*|none|null|nil|undefined|true|false|n/?a|empty|test(?:ing)?|foo(?:bar)?|bar|default|secret|password|passwd|token|string|str|bytes|optional|required)$",
@@ -277,8 +278,15 @@ def _matches(pattern: re.Pattern, text: str, places: list[int]) -> Iterator[re.M
 
 def scan(text: str, depth: int = 0) -> list[Finding]:
     """The secrets of a text, by place; overlapping findings are merged to the first."""
-    if not text or not _TRIGGER.search(text):
+    if not text:
         return []
+    low = text.lower()
+    has = lambda signs: any(x in low for x in signs)
+    # words long enough to be a value or an encoding, with a figure in them
+    words = [w for w in text.split() if len(w) >= 8]
+    long = [w for w in words if not w.isalpha() and any(map(str.isdigit, w))]
+    quoted = '"' in text or "'" in text or "`" in text
+    named = has(_NAME_SIGNS)
     found: list[Finding] = []
     public = [m.span() for m in _PEM_PUBLIC.finditer(text)] if "-----BEGIN" in text else []
 
@@ -290,29 +298,33 @@ def scan(text: str, depth: int = 0) -> list[Finding]:
         if block := _pem_block(text, m):
             found.append(block)
             public.append((m.end(), block.rest[-1][1]))
-    for m in _ISSUED.finditer(text):
+    for m in _ISSUED.finditer(text) if any(x in text for x in _ISSUED_SIGNS) else ():
         v = m.group()
         body = re.split(r"[_\-.]", v)[-1]
         if _distinct(v) >= 10 and not re.search(r"(.)\1{7,}", v) and re.search(r"\d|[A-Z]", body + v[4:]) and not _PLACEHOLDER.match(body) and not re.fullmatch(r"(?:sk|key|tok)[-_][a-z\-_]+", v):
             add(*m.span(), "issued token")
-    if "://" in text:
+    if "://" in text and "@" in text:
         for m in _URL.finditer(text):
             v = m.group("v")
             plain = urllib.parse.unquote(v)
             if usable(plain) or (len(plain) >= 8 and re.search(r"\d", plain) and not _PLACEHOLDER.match(plain) and not _REFERENCE.search(plain)):
                 add(*m.span("v"), "address password")
-    for m in _BASIC.finditer(text):
+    for m in _BASIC.finditer(text) if "Basic" in text else ():
         for name, data in decodings(m.group("v")) if len(m.group("v")) >= 16 else [("base64", _b64(m.group("v")))]:
             user, colon, password = (_printable(data) or "").partition(":")
             if colon and usable(password):
                 add(*m.span("v"), "basic credentials", layers=depth + 1)
-    for pattern, kind in ((_BEARER, "bearer token"), (_HEADER, "header value"), (_NETRC, "login password"), (_SHORT_P, "command password"), (_CURL_U, "command password"), (_FLAG, "command password")):
-        for m in pattern.finditer(text):
+    simple = (
+        (_BEARER, "bearer token", "Bearer" in text or "Token" in text), (_HEADER, "header value", named and ("x-" in low or "private-token" in low or "api-key" in low)), (_NETRC, "login password", "login" in text and "password" in text),
+        (_SHORT_P, "command password", has(_COMMAND_SIGNS)), (_CURL_U, "command password", has(("curl", "wget", "http ")) and ":" in text), (_FLAG, "command password", " --" in text or "\t--" in text),
+    )
+    for pattern, kind, possible in simple:
+        for m in pattern.finditer(text) if possible else ():
             if usable(m.group("v"), strict=kind in ("bearer token", "header value")):
                 add(*m.span("v"), kind)
-    places = _name_places(text)
-    for pattern in (_QUOTED, _ATTRIBUTE, _ELEMENT):
-        for m in _matches(pattern, text, places) if pattern is _QUOTED else pattern.finditer(text):
+    places = _name_places(text) if named else []
+    for pattern, possible in ((_QUOTED, quoted and places), (_ATTRIBUTE, places and "value" in low), (_ELEMENT, places and "</" in text)):
+        for m in () if not possible else _matches(pattern, text, places) if pattern is _QUOTED else pattern.finditer(text):
             if _PUBLIC_NAME.search(m.group("name")):
                 continue
             rest = tuple(_later_parts(text, m.end(), m.groupdict().get("q") or "")) if pattern is _QUOTED else ()
@@ -323,20 +335,20 @@ def scan(text: str, depth: int = 0) -> list[Finding]:
         v = m.group("v")
         if not _PUBLIC_NAME.search(m.group("name")) and usable(v, strict=True) and _inner_usable(v) and not _prose_word(text, m):
             add(*m.span("v"), "assigned value")
-    for m in _CALL.finditer(text):
+    for m in _CALL.finditer(text) if quoted and "(" in text and has(("client", "connect", "login", "auth", "signin", "session", "credential")) else ():
         strings = list(_STRING.finditer(m.group("args")))
         if len(strings) >= 2 or re.search(r"(?i)auth|login|credential|signin", m.group("callee")):
             s = strings[-1] if strings else None
             if s and usable(s.group("v"), strict=True) and not _UUID.match(s.group("v")) and (len(strings) >= 2 or len(s.group("v")) >= 16):
                 base = m.start("args")
                 add(base + s.start("v"), base + s.end("v"), "call argument")
-    for m in _PROSE.finditer(text) if _PROSE_SIGN.search(text) else ():
+    for m in _PROSE.finditer(text) if long and has(_PROSE_SIGNS) else ():
         g = next(k for k in "abc" if m.group(k))
         v = m.group(g).rstrip(".,;)")
         if usable(v, strict=True) and not re.fullmatch(r"[\w.\-]*[a-z]{2}\.?(?:['’]s)?", v.split("-")[0]) or (usable(v, strict=True) and re.search(r"\d", v) and not re.fullmatch(r"v?\d+(?:[.,]\d+)*%?(?:[A-Za-z]{1,3})?", v)):
             add(m.start(g), m.start(g) + len(v), "secret in prose")
     covered = sorted((f.start, f.end) for f in found)
-    for m in _ENCODED.finditer(text):
+    for m in _ENCODED.finditer(text) if any(len(w) >= 16 for w in long) or any(len(w) >= 40 for w in words) or "%" in text or has(_ESCAPES) else ():
         a, b = m.span()
         if b - a >= 16 and not any(x < b and a < y for x, y in covered) and not any(x <= a < y for x, y in public):
             inner = _openable(m.group(), depth)

@@ -55,10 +55,10 @@ _TOKEN = regex.compile(
     r"|(?P<term>[\p{SB=STerm}\p{SB=ATerm}…‥;;](?:[  ]?[\p{SB=STerm}\p{SB=ATerm}…‥])*)"
 )
 _STERM = regex.compile(r"[\p{SB=STerm}]")
-_WORD_BEFORE = regex.compile(r"[\p{L}\p{M}](?:[\p{L}\p{M}\p{Cf}]|[.\-](?=[\p{L}\p{M}]))*$")
-_ABBR_PAIR = regex.compile(r"(?:^|[^\p{L}])(\p{L}\.\s?\p{L})$")
+_WORD_BEFORE = regex.compile(r"[\p{L}\p{M}](?:[\p{L}\p{M}\p{Cf}]|[.\-](?=[\p{L}\p{M}]))*\Z")
+_ABBR_PAIR = regex.compile(r"(?:^|[^\p{L}])(\p{L}\.\s?\p{L})\Z")
 _CODE_LIKE = regex.compile(r"(?:`|[^\s`]*[_/]|\p{Ll}+-\p{L}|\p{Ll}+\d|\p{Ll}+\p{Lu})")
-_LAST_TOKEN = regex.compile(r"\S+$")
+_LAST_TOKEN = regex.compile(r"\S+\Z")
 _GREEK, _THAI = regex.compile(r"\p{Greek}"), regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}]")
 _LETTER = regex.compile(r"\p{L}")
 _HEADING = regex.compile(r"[ \t]{0,3}#{1,6}(?:[ \t]+|$)")
