@@ -52,4 +52,4 @@ def scan(spark: SparkSession, paths: list[str] | str, glob: str | None = None, e
         reader = reader.option("pathGlobFilter", glob)
     raw = reader.load(paths)
     kept = raw.where(~is_excluded(F.col("path"), extra_ignores))
-    return kept.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("n_bytes"), F.decode("content", F.lit("UTF-8")).alias("content"), parser_kind(F.col("path")).alias("kind"))
+    return kept.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("n_bytes"), F.col("content").cast("string").alias("content"), parser_kind(F.col("path")).alias("kind"))
