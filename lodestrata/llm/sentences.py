@@ -61,6 +61,12 @@ _CODE_LIKE = regex.compile(r"(?:`|[^\s`]*[_/]|\p{Ll}+-\p{L}|\p{Ll}+\d|\p{Ll}+\p{
 _LAST_TOKEN = regex.compile(r"\S+\Z")
 _GREEK, _THAI = regex.compile(r"\p{Greek}"), regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}]")
 _LETTER = regex.compile(r"\p{L}")
+_BLANK, _FORMAT, _FIRST_WORD = regex.compile(r"\s"), regex.compile(r"\p{Cf}"), regex.compile(r"\p{L}*")
+_DOTTED = regex.compile(r"(?:\p{L}\.)+\p{L}")
+_ONE_LETTER, _FIGURE_END = regex.compile(r"[^\p{L}\d]*\p{L}"), regex.compile(r"\d\.\d+%?\Z")
+_NEW_SENTENCE = regex.compile(r"\p{Lu}[\p{L}\p{M}]*(?:['’]\p{L}+)?(?:[ ,.\n…:]|\Z)|\p{Lu}\p{Ll}+\p{Lu}")
+_WORD_END = regex.compile(r"\p{L}[\p{L}\p{M}]\Z|\d\Z")
+_HAN, _BOUND_HYPHEN, _CHUNK = regex.compile(r"\p{Han}"), regex.compile(r"-\S"), regex.compile(r"\S+")
 _HEADING = regex.compile(r"[ \t]{0,3}#{1,6}(?:[ \t]+|$)")
 _ITEM = regex.compile(r"[ \t]*(?:[-*+•‣◦]|\d{1,9}[.)])(?:[ \t]+|$)")
 _CONTINUES = regex.compile(r"\p{SB=SContinue}")
@@ -99,11 +105,11 @@ def _final_dot(par: str, start: int, nxt: int) -> bool:
     if m is None:
         if head[-1:].isdigit():  # an ordinal in front of a month
             number = _LAST_TOKEN.search(head).group()
-            return not (len(number) <= 2 and number.isdigit() and regex.split(r"[^\p{L}]", following, maxsplit=1)[0].lower() in _MONTH)
+            return not (len(number) <= 2 and number.isdigit() and _FIRST_WORD.match(following).group().lower() in _MONTH)
         return True
-    word = regex.sub(r"\p{Cf}", "", m.group()).lower()
+    word = (m.group() if m.group().isascii() else _FORMAT.sub("", m.group())).lower()
     pair = _ABBR_PAIR.search(head)
-    if pair and regex.sub(r"\s", "", pair.group(1)).lower() in _MAYBE:
+    if pair and _BLANK.sub("", pair.group(1)).lower() in _MAYBE:
         return not plain_lower
     if word in _MAYBE:
         return not plain_lower
@@ -113,7 +119,7 @@ def _final_dot(par: str, start: int, nxt: int) -> bool:
         return False
     if len(word) == 1 and not (m.start() and head[m.start() - 1].isdigit()):  # an initial, or a part such as "z." in "z. B."
         return False
-    return not regex.fullmatch(r"(?:\p{L}\.)+\p{L}", word)  # U.S., e.g.
+    return not ("." in word and _DOTTED.fullmatch(word))  # U.S., e.g.
 
 
 def _joined_dot(par: str, start: int, nxt: int) -> bool:
@@ -122,14 +128,14 @@ def _joined_dot(par: str, start: int, nxt: int) -> bool:
     token = _LAST_TOKEN.search(par[max(0, start - 80) : start])
     before = token.group() if token else ""
     last = before[-1:]
-    if not before or regex.fullmatch(r"[^\p{L}\d]*\p{L}", before):
+    if not before or _ONE_LETTER.fullmatch(before):
         return False
     if last == "." or _final_dot(par, start, nxt) is False:
         return False
-    if "." in before and "/" not in before and not regex.search(r"\d\.\d+%?$", before) and last not in "`)\"»”":
+    if "." in before and "/" not in before and not _FIGURE_END.search(before) and last not in "`)\"»”":
         return False  # a dotted name
     if c.isupper():
-        return regex.match(r"\p{Lu}[\p{L}\p{M}]*(?:['’]\p{L}+)?(?:[ ,.\n…:]|$)|\p{Lu}\p{Ll}+\p{Lu}", par[nxt : nxt + 40]) is not None and (regex.search(r"\p{L}[\p{L}\p{M}]$|\d$", before) is not None or last in "`%)»”\"")
+        return _NEW_SENTENCE.match(par[nxt : nxt + 40]) is not None and (_WORD_END.search(before) is not None or last in "`%)»”\"")
     if c in "`¿¡«“„\"":
         return last.isalnum() or last in "`%)"
     if c == "(":
@@ -143,7 +149,7 @@ def _ends(par: str) -> Iterator[int]:
     """End offsets of the sentences inside a paragraph (blanks not yet trimmed)."""
     closing = _matched(par)
     closed_by = {v: k for k, v in closing.items()}
-    greek = len(_GREEK.findall(par)) * 3 > len(_LETTER.findall(par))
+    greek = not par.isascii() and _GREEK.search(par) is not None and len(_GREEK.findall(par)) * 3 > len(_LETTER.findall(par))
     depth, n = 0, len(par)
     skip = 0
     for m in _TOKEN.finditer(par):
@@ -187,10 +193,10 @@ def _ends(par: str) -> Iterator[int]:
             continue
         blank, c = nxt > end, par[nxt]
         strong = bool(_STERM.search(marks)) or marks[0] in ";;"
-        if _CONTINUES.match(c) and not (c == "-" and regex.match(r"-\S", par[nxt:nxt + 2])):
+        if _CONTINUES.match(c) and not (c == "-" and _BOUND_HYPHEN.match(par[nxt : nxt + 2])):
             continue
         lower = c.islower() and not _CODE_LIKE.match(par[nxt : nxt + 24])
-        if (quoted or bracketed) and (lower or (not blank and _LETTER.match(c) and not c.isupper() and not regex.match(r"\p{Han}", c))):
+        if (quoted or bracketed) and (lower or (not blank and _LETTER.match(c) and not c.isupper() and not _HAN.match(c))):
             continue
         if not strong:
             if len(marks.replace(" ", "")) > 1 or marks[0] in "…‥":
@@ -225,8 +231,8 @@ def units(text: str | None) -> list[tuple[int, int]]:
 
     def paragraph(a: int, b: int) -> None:
         par = text[a:b]
-        if len(_THAI.findall(par)) * 5 > len(_LETTER.findall(par)):
-            for m in regex.finditer(r"\S+", par):
+        if not par.isascii() and _THAI.search(par) and len(_THAI.findall(par)) * 5 > len(_LETTER.findall(par)):
+            for m in _CHUNK.finditer(par):
                 out.append((a + m.start(), a + m.end()))
             return
         at = 0
