@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +33,8 @@ from lodestrata.llm.grammars import LANGUAGES
 from lodestrata.llm.lexers import lex
 from lodestrata.session import spread
 
+#: Token rows that a task holds before it hands them on.
+FRAME_ROWS = 50_000
 _GROUP = {"P": "()", "K": "[]", "Z": "{}"}
 _PLACE = {"(": "P", "[": "K", "{": "Z"}
 
@@ -135,30 +138,25 @@ def tokens(files: DataFrame) -> DataFrame:
     """Rows (file_id, pos, language, letter, following, bracket, context) of all files with a grammar."""
     source = spread(files.select("file_id", language_of("path").alias("language"), F.coalesce("content", F.lit("")).alias("content")).where(F.col("language").isin(*LANGUAGES)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
-            ids, pos, language, letters, after, brackets, contexts = [], [], [], [], [], [], []
-            for key, lang, text in zip(batch["file_id"], batch["language"], batch["content"]):
+            for key, lang, text in zip(batch.column("file_id").to_pylist(), batch.column("language").to_pylist(), batch.column("content").to_pylist()):
                 found = lex(text, lang)
-                n = len(found)
-                ids += [key] * n
-                pos += range(n)
-                language += [lang] * n
-                own = [t[0] for t in found]
-                letters += own
-                after += own[1:] + [""]
-                brackets += [t[1] for t in found]
-                contexts += [t[2] for t in found]
-                if len(ids) > 500_000:
-                    yield _frame(ids, pos, language, letters, after, brackets, contexts)
-                    ids, pos, language, letters, after, brackets, contexts = [], [], [], [], [], [], []
-            yield _frame(ids, pos, language, letters, after, brackets, contexts)
-
-    return source.mapInPandas(run, "file_id bigint, pos int, language string, letter string, following string, bracket int, context string")
-
-
-def _frame(ids, pos, language, letters, after, brackets, contexts) -> pd.DataFrame:
-    return pd.DataFrame({"file_id": pd.Series(ids, dtype="int64"), "pos": pd.Series(pos, dtype="int32"), "language": language, "letter": letters, "following": after, "bracket": pd.Series(brackets, dtype="int32"), "context": contexts})
+                held += [(key, k, lang, t[0], after[0], t[1], t[2]) for k, (t, after) in enumerate(zip(found, [*found[1:], ("",)]))]
+                while len(held) >= FRAME_ROWS:
+                    yield _frame(held[:FRAME_ROWS])
+                    held = held[FRAME_ROWS:]
+        if held:
+            yield _frame(held)
+
+    return source.mapInArrow(run, "file_id bigint, pos int, language string, letter string, following string, bracket int, context string")
+
+
+def _frame(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string())
+    names = ["file_id", "pos", "language", "letter", "following", "bracket", "context"]
+    return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
 def invalid_files(files: DataFrame) -> DataFrame:
