@@ -214,9 +214,8 @@ def _python() -> Language:
         D="def", C="class", G="if", W="while elif with match", H="else", T="try finally", X="except", A="async", F="for", N="in", R="return raise yield del assert", I="import", f="from", a="as", k="pass break continue", L="lambda", n="None True False", h="not", b="and or is", O="global nonlocal", w="await",
     )
     words.pop("match")
-    args = "(c?i(eU)?(m(c?i(eU)?|c|b))*m?)?"
-    inner = "[insPKZ](\\.i|P|K|s)*"
-    args = args.replace("U", f"(h|d)*{inner}")
+    # the parameters of a lambda, loosely: names, stars, defaults
+    args = "[icmebnsPKZ.hd]*"
     unit = f"(h|d|w|L{args}o)*([inPKZ]|s+|z)(\\.i|P|K)*"
     plain = f"{unit}((b h?|hN|N|d|c|l|r|@|E){unit})*"
     e = f"{plain}(G{plain}H{plain})*"

@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from lodestrata.session import settle, spread
 
-TABLES, FUNCTIONS, WIDTH, PROBES = 12, 16, 2.0, 10
+TABLES, FUNCTIONS, WIDTH, PROBES = 16, 16, 2.0, 10
 CELL_CAP = 2000
 BLOCK = 8192
 SEED = 20
