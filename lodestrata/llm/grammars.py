@@ -223,7 +223,9 @@ def _python() -> Language:
     several = f"{star}(m{star})*m?"
     value = f"({several}|R(f?{several})?)"
     for_part = f"A?F{several}"
-    simple = f"({several}((e{value})+|E{value})?|{e}o{e}(e{value})?|R({several})?(f{e})?|Rf{e}|k|O i(mi)*|I i(\\.i)*(a i)?(m i(\\.i)*(a i)?)*|f[\\.z]*(i(\\.i)*)?I(c|P|i(a i)?(m i(a i)?)*))"
+    target = "c?[iPK](\\.i|P|K)*"
+    targets = f"{target}(m{target})*m?"
+    simple = f"({several}|({targets}e)+{value}|{target}(E{value}|o{e}(e{value})?)|iE{value}|R({several})?(f{e})?|Rf{e}|k|O i(mi)*|I i(\\.i)*(a i)?(m i(\\.i)*(a i)?)*|f[\\.z]*(i(\\.i)*)?I(c|P|i(a i)?(m i(a i)?)*))"
     body = f"({simple}(t{simple})*)?"
     statement = f"({simple}|@{e}|A?D i K?P(y{e})?o{body}|C iK?P?o{body}|[GW]{e}(a{e})?(m{e}(a{e})?)*o{body}|AW{e}(a{e})?o{body}|{for_part}o{body}|[HT]o{body}|X(c?{e}(m{e})*(a i)?)?o{body}|J|j)?"
     comprehension = f"({for_part}(G{plain})*)+"
