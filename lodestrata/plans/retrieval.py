@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import scalar as S
 from lodestrata.operators import retrieval as R
 from lodestrata.plans.lookups import SYMBOLS
-from lodestrata.session import table
+from lodestrata.session import settle, table
 
 
 def _points(s, d):
@@ -72,7 +72,7 @@ def postings(s, d):
 
 
 def _sparse(s, d, k=20):
-    index = R.postings(_documents(s, d))
+    index = settle(R.postings(_documents(s, d)))  # read three times: size, frequencies, search
     return R.sparse_search(index, R.query_terms(_queries(s, d), index), k)
 
 
