@@ -112,17 +112,28 @@ _ENCODED = re.compile(r"[A-Za-z0-9+/_\-]{20,}={0,2}|(?:%[0-9A-Fa-f]{2}|[\w.~\-])
 _CODE_NAME = re.compile(r"^(?:[A-Za-z]+(?:[-_. ][A-Za-z]+)*|[a-z_]+(?:\.[a-z_\d]+)+|[\w\-./~]+\.(?:pem|key|crt|cer|pub|txt|json|ya?ml|toml|ini|env|conf|py|js|ts|go|rs|md|sh)|(?:[.~]{0,2}/)[\w\-./ ]*|[A-Za-z_]\w*\(\)?|--?[a-z\-]+)$")
 _ADDRESS = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^\s@]*$|^[\w.\-]+@[\w\-]+(?:\.[\w\-]+)+$|^[a-z0-9\-]+(?:\.[a-z0-9\-]+)*\.[a-z]{2,10}(?::\d+)?(?:/\S*)?$")
 #: Words that, in a name, say that its value is no secret.
-_PUBLIC_NAME = re.compile(r"public|digest|checksum|etag|commit|fingerprint|hash|sha\d|md5|uuid|request|count|limit|length|size|name$|path$|file$|url$|uri$|type$|field|column|header|expir|ttl|pattern|regex|label|prefix|version|status|policy|hint|_id$", re.I)
+_PUBLIC_NAME = re.compile(r"public|(?:count|limit|length|size|name|path|file|url|uri|type|field|column|header|ttl|pattern|regex|label|prefix|version|status|policy|hint|_id)$", re.I)
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 def _distinct(v: str) -> int:
     return len(set(v))
 
 
+def _drawn(v: str) -> bool:
+    """Letters in so irregular a mix of cases that they are no words."""
+    letters = re.sub(r"[^A-Za-z]", "", v)
+    return len(v) >= 10 and len(letters) >= 0.8 * len(v) and letters.lower() != letters != letters.upper() and len(letters) < 3.2 * len(_PARTS.findall(letters)) and not re.search(r"[\s/.]", v) and _distinct(v) >= 7
+
+
 def usable(value: str, strict: bool = False) -> bool:
     """Whether a value can serve as a credential; strict asks for figures or signs besides letters."""
     v = value.strip()
-    if len(v) < 6 or _PLACEHOLDER.match(v) or _REFERENCE.search(v) or _CODE_NAME.match(v) or _ADDRESS.match(v):
+    if len(v) < 6 or _PLACEHOLDER.match(v) or _REFERENCE.search(v) or _ADDRESS.match(v):
+        return False
+    if _drawn(v):
+        return True
+    if _CODE_NAME.match(v):
         return False
     if _distinct(v) < 5 or re.search(r"(.)\1{7,}", v) or any(c.isspace() for c in v):
         return False
@@ -282,9 +293,9 @@ def scan(text: str, depth: int = 0) -> list[Finding]:
         return []
     low = text.lower()
     has = lambda signs: any(x in low for x in signs)
-    # words long enough to be a value or an encoding, with a figure in them
+    # words long enough to be a value or an encoding, with a figure or mixed cases in them
     words = [w for w in text.split() if len(w) >= 8]
-    long = [w for w in words if not w.isalpha() and any(map(str.isdigit, w))]
+    long = [w for w in words if any(map(str.isdigit, w)) or not (w.islower() or w.isupper() or w.istitle())]
     quoted = '"' in text or "'" in text or "`" in text
     named = has(_NAME_SIGNS)
     found: list[Finding] = []
@@ -345,7 +356,7 @@ def scan(text: str, depth: int = 0) -> list[Finding]:
     for m in _PROSE.finditer(text) if long and has(_PROSE_SIGNS) else ():
         g = next(k for k in "abc" if m.group(k))
         v = m.group(g).rstrip(".,;)")
-        if usable(v, strict=True) and not re.fullmatch(r"[\w.\-]*[a-z]{2}\.?(?:['’]s)?", v.split("-")[0]) or (usable(v, strict=True) and re.search(r"\d", v) and not re.fullmatch(r"v?\d+(?:[.,]\d+)*%?(?:[A-Za-z]{1,3})?", v)):
+        if _drawn(v) or usable(v, strict=True) and not re.fullmatch(r"[\w.\-]*[a-z]{2}\.?(?:['’]s)?", v.split("-")[0]) or (usable(v, strict=True) and re.search(r"\d", v) and not re.fullmatch(r"v?\d+(?:[.,]\d+)*%?(?:[A-Za-z]{1,3})?", v)):
             add(m.start(g), m.start(g) + len(v), "secret in prose")
     covered = sorted((f.start, f.end) for f in found)
     for m in _ENCODED.finditer(text) if any(len(w) >= 16 for w in long) or any(len(w) >= 40 for w in words) or "%" in text or has(_ESCAPES) else ():
