@@ -126,6 +126,11 @@ def _drawn(v: str) -> bool:
     return len(v) >= 10 and len(letters) >= 0.8 * len(v) and letters.lower() != letters != letters.upper() and len(letters) < 3.2 * len(_PARTS.findall(letters)) and not re.search(r"[\s/.]", v) and _distinct(v) >= 7
 
 
+def _explicit(v: str) -> bool:
+    """Whether a value where only a password can stand is one, and no stand-in."""
+    return len(v) >= 8 and re.search(r"[\dA-Z]", v) is not None and _distinct(v) >= 5 and not _PLACEHOLDER.match(v) and not _REFERENCE.search(v) and "/" not in v
+
+
 def usable(value: str, strict: bool = False) -> bool:
     """Whether a value can serve as a credential; strict asks for figures or signs besides letters."""
     v = value.strip()
@@ -295,7 +300,7 @@ def scan(text: str, depth: int = 0) -> list[Finding]:
     has = lambda signs: any(x in low for x in signs)
     # words long enough to be a value or an encoding, with a figure or mixed cases in them
     words = [w for w in text.split() if len(w) >= 8]
-    long = [w for w in words if any(map(str.isdigit, w)) or not (w.islower() or w.isupper() or w.istitle())]
+    long = [w for w in words if any(map(str.isdigit, w)) or len(w) >= 12 or not (w.islower() or w.isupper() or w.istitle())]
     quoted = '"' in text or "'" in text or "`" in text
     named = has(_NAME_SIGNS)
     found: list[Finding] = []
@@ -318,7 +323,7 @@ def scan(text: str, depth: int = 0) -> list[Finding]:
         for m in _URL.finditer(text):
             v = m.group("v")
             plain = urllib.parse.unquote(v)
-            if usable(plain) or (len(plain) >= 8 and re.search(r"\d", plain) and not _PLACEHOLDER.match(plain) and not _REFERENCE.search(plain)):
+            if usable(plain) or _explicit(plain):
                 add(*m.span("v"), "address password")
     for m in _BASIC.finditer(text) if "Basic" in text else ():
         for name, data in decodings(m.group("v")) if len(m.group("v")) >= 16 else [("base64", _b64(m.group("v")))]:
@@ -331,7 +336,7 @@ def scan(text: str, depth: int = 0) -> list[Finding]:
     )
     for pattern, kind, possible in simple:
         for m in pattern.finditer(text) if possible else ():
-            if usable(m.group("v"), strict=kind in ("bearer token", "header value")):
+            if usable(m.group("v"), strict=kind in ("bearer token", "header value")) or kind in ("login password", "command password") and pattern is not _FLAG and _explicit(m.group("v")):
                 add(*m.span("v"), kind)
     places = _name_places(text) if named else []
     for pattern, possible in ((_QUOTED, quoted and places), (_ATTRIBUTE, places and "value" in low), (_ELEMENT, places and "</" in text)):
