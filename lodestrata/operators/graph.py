@@ -244,3 +244,30 @@ def resolve_references(raw: DataFrame, symbols: DataFrame) -> DataFrame:
     j = raw.join(s, "name")
     order = F.when(F.col("file_path") == F.col("f"), 0).when(package_of(F.col("file_path")) == package_of(F.col("f")), 1).otherwise(2)
     return j.groupBy("ref_id").agg(F.min(F.struct(order.alias("o"), "id"))["id"].alias("symbol_id"))
+
+
+def through_implementors(refs: DataFrame, kinds: list[str] = ["calls", "uses"]) -> DataFrame:  # noqa: B006
+    """(trait, from_symbol_id): references to implementors of a trait that don't reference the trait itself."""
+    implements = refs.where("ref_kind = 'implements'").select(F.col("from_symbol_id").alias("impl"), F.col("to_symbol_id").alias("trait")).where("impl <> trait").distinct()
+    used = refs.where(F.col("ref_kind").isin(*kinds)).select("from_symbol_id", F.col("to_symbol_id").alias("impl")).distinct()
+    found = used.join(implements, "impl").select("trait", "from_symbol_id").distinct()
+    direct = refs.select(F.col("to_symbol_id").alias("trait"), "from_symbol_id").distinct()
+    return found.join(direct, ["trait", "from_symbol_id"], "left_anti")
+
+
+def resolve_occurrences(occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Occurrences (path, name, …) with the symbol of their own file, else the one symbol of that name anywhere, else none."""
+    s = symbols.dropDuplicates(["id"])
+    own = s.groupBy(F.col("file_path").alias("path"), "name").agg(F.min("id").alias("own_id"))
+    one = s.groupBy("name").agg(F.min("id").alias("only_id"), F.count("*").alias("n")).where("n = 1").drop("n")
+    return occurrences.join(own, ["path", "name"], "left").join(one, "name", "left").withColumn("symbol_id", F.coalesce("own_id", "only_id")).drop("own_id", "only_id").where("symbol_id is not null")
+
+
+def semantic_links(exports: DataFrame, imports: DataFrame, min_cosine: float = 0.85) -> DataFrame:
+    """(kind, export_id, import_id, confidence) of endpoints (id, kind, vector) that no key links, by name vectors.
+
+    Endpoints left over by the key links are few; they are compared within their kind.
+    """
+    e = exports.select(F.col("id").alias("export_id"), "kind", S.as_double(F.col("vector")).alias("u"))
+    i = imports.select(F.col("id").alias("import_id"), "kind", S.as_double(F.col("vector")).alias("v"))
+    return e.join(i, "kind").where(S.cosine(F.col("u"), F.col("v")) >= min_cosine).select("kind", "export_id", "import_id", F.lit(0.7).alias("confidence"))

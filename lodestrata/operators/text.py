@@ -133,6 +133,13 @@ def relations(claims_df: DataFrame, min_shared: int = 2) -> DataFrame:
     return j.select("source_claim_id", "target_claim_id", relation_type(F.col("ta"), F.col("tb")).alias("relation_type"), F.least(F.lit(1.0), F.col("shared") / F.least("na", "nb")).alias("confidence"))
 
 
+def related(relations_df: DataFrame, claim_ids: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """(claim_id, other_id, relation_type, confidence): relations of claims in both directions."""
+    r = relations_df.where(F.col("relation_type").isin(*types)) if types else relations_df
+    both = r.select(F.col("source_claim_id").alias("claim_id"), F.col("target_claim_id").alias("other_id"), "relation_type", "confidence").unionByName(r.select(F.col("target_claim_id").alias("claim_id"), F.col("source_claim_id").alias("other_id"), "relation_type", "confidence"))
+    return both.join(claim_ids.select("claim_id"), "claim_id", "left_semi")
+
+
 def _negated(text: Column) -> Column:
     return F.exists(F.transform(_words(F.lower(text)), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), lambda w: _in(w, NEGATIONS))
 

@@ -9,6 +9,7 @@ from lodestrata.operators import graph as G
 from lodestrata.operators import incremental as I
 from lodestrata.plans.lookups import SYMBOLS, TEST_PATH
 from lodestrata.session import table
+from lodestrata.sources import code
 
 
 def _t(s, d):
@@ -145,10 +146,20 @@ def resolved_references(s, d):
     return G.resolve_references(j, y)
 
 
+def implementor_references(s, d):
+    return G.through_implementors(table(s, d, "symbol_refs"))
+
+
+def occurrence_symbols(s, d):
+    """Symbols by the occurrences that resolve to them."""
+    o = code.read_occurrences(table(s, d, "source_files"))
+    return G.resolve_occurrences(o, table(s, d, "symbols")).groupBy("symbol_id").agg(F.count("*").alias("occurrences"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        references, reference_counts, pending_refs, dead_code, symbol_search, impact, impact_outgoing, impact_risk, transitive_callers, diff_impact, enclosing_symbols, bridge_links,
+        implementor_references, occurrence_symbols, references, reference_counts, pending_refs, dead_code, symbol_search, impact, impact_outgoing, impact_risk, transitive_callers, diff_impact, enclosing_symbols, bridge_links,
         package_edges, package_cycles, shotgun, low_cohesion, fat_interfaces, concrete_dependencies, call_components, redundancy, resolved_references,
     )
 }
@@ -165,6 +176,8 @@ _EDGES = f"p AS (SELECT {_PKG.format('from_file')} AS from_pkg, {_PKG.format('to
 _SNAKE = r"CASE WHEN contains({0}, '_') THEN {0} ELSE lower(regexp_replace({0}, '(\p{{Ll}})(\p{{Lu}})', '\1_\2', 'g')) END"
 
 ORACLE = {
+    "implementor_references": """WITH i AS (SELECT DISTINCT from_symbol_id AS impl, to_symbol_id AS trait FROM symbol_refs WHERE ref_kind = 'implements' AND from_symbol_id <> to_symbol_id)
+        SELECT DISTINCT trait, r.from_symbol_id FROM symbol_refs r JOIN i ON i.impl = r.to_symbol_id WHERE r.ref_kind IN ('calls', 'uses') AND (trait, r.from_symbol_id) NOT IN (SELECT (to_symbol_id, from_symbol_id) FROM symbol_refs)""",
     "references": f"WITH {_REF} SELECT from_symbol_id, to_symbol_id, ref_kind, from_name, to_name, from_file, to_file FROM J",
     "reference_counts": f"WITH {_REF} SELECT to_symbol_id, count(*) AS refs, count(DISTINCT from_file) AS files FROM J GROUP BY 1",
     "pending_refs": "SELECT DISTINCT from_symbol_id, to_symbol_id, ref_kind FROM symbol_refs WHERE to_symbol_id NOT IN (SELECT id FROM symbols)",

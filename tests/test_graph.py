@@ -82,3 +82,12 @@ def test_redundancy_skips_large_buckets(spark):
     r = spark.createDataFrame([], "from_symbol_id string, to_symbol_id string, ref_kind string")
     assert G.redundancy(s, r, v, min_overlap=0.0).select("cluster").distinct().count() == 1
     assert G.redundancy(s, r, v, min_overlap=0.0, max_pairs=100).count() == 0
+
+
+def test_occurrences_and_semantics(spark):
+    o = spark.createDataFrame([("f", "a", 1), ("g", "a", 2), ("g", "b", 3), ("g", "c", 4), ("g", None, 5)], "path string, name string, line int")
+    s = spark.createDataFrame([("1", "f", "a"), ("2", "h", "a"), ("3", "h", "b")], "id string, file_path string, name string")
+    assert {(r.path, r.name): r.symbol_id for r in G.resolve_occurrences(o, s).collect()} == {("f", "a"): "1", ("g", "b"): "3"}
+    e = spark.createDataFrame([("x", "k", [1.0, 0.0]), ("y", "k", None)], "id string, kind string, vector array<double>")
+    i = spark.createDataFrame([("p", "k", [0.9, 0.1]), ("q", "k", [0.0, 1.0]), ("r", "z", [1.0, 0.0])], "id string, kind string, vector array<double>")
+    assert [(r.export_id, r.import_id) for r in G.semantic_links(e, i).collect()] == [("x", "p")]

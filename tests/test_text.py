@@ -10,6 +10,8 @@ def test_relations_against_loops(spark):
     got = {(r.source_claim_id, r.target_claim_id): (r.relation_type, round(r.confidence, 4)) for r in T.relations(df).collect()}
     assert set(got) == {("c1", "c2"), ("c1", "c3"), ("c2", "c3"), ("c2", "c4"), ("c3", "c4")}
     assert got[("c1", "c2")][0] == "contradicts" and got[("c1", "c3")][0] == "updates"
+    both = T.related(T.relations(df), spark.createDataFrame([("c2",)], "claim_id string")).collect()
+    assert {(r.other_id, r.relation_type) for r in both} == {("c1", "contradicts"), ("c3", got[("c2", "c3")][0]), ("c4", got[("c2", "c4")][0])}
     assert T.relations(df.limit(0)).count() == 0
 
 
