@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+import sys
 import urllib.parse
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,8 +29,6 @@ from pyspark.sql import functions as F
 
 from lodestrata.session import spread
 
-#: Layers of encoding that are opened.
-MAX_LAYERS = 5
 MASK = "REDACTED"
 
 
@@ -73,7 +72,7 @@ _QUOTED = re.compile(
 )
 _BARE = re.compile(rf"{_NAME}[\"'`\]]{{0,2}}(?:[ \t]*(?:=>|:=|=|:)[ \t]*(?:[>|][\-+]?[ \t]*\n[ \t]+)?|[ \t]+(?=\S+[ \t]*(?:\n|$)))(?P<v>[^\s\"'`<>(){{}}\[\],;]+(?:[^\s\"'`,;)}}]*[^\s\"'`,;.)}}])?)", re.I)
 _NAME_WORD = re.compile(r"key|token|secret|pass|pwd|auth|cred|dsn|connection|kennwort|contrase|пароль|密码|パスワード|비밀번호", re.I)
-_NAME_CHAR = re.compile(r"[A-Za-z0-9_.\-]*\Z")
+_NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 _ATTRIBUTE = re.compile(rf"(?:key|name|id)\s*=\s*[\"']{_NAME}[\"']\s+value\s*=\s*(?P<q>[\"'])(?P<v>[^\"'\n]*)(?P=q)", re.I)
 _ELEMENT = re.compile(rf"<{_NAME}>(?P<v>[^<>\n]+)</", re.I)
 _URL = re.compile(r"\b[a-zA-Z][a-zA-Z0-9+.\-]{1,20}://(?P<user>[^\s:/@\"'<>]*):(?P<v>[^\s/\"'<>]+?)@(?=[\w\[$.\-])")
@@ -84,6 +83,8 @@ _NETRC = re.compile(r"\blogin[ \t]+\S+[ \t]+password[ \t]+(?P<v>\S+)")
 _SHORT_P = re.compile(r"\b(?:mysql|mysqldump|mysqladmin|mariadb|sshpass|psql|mongo|mongosh|redis-cli|sqlcmd|ldapsearch)\b[^\n]*?[ \t](?:-p|-a[ \t]+|-P[ \t]+|-w[ \t]+|--password[= ])(?P<v>[^\s\-\"'][^\s\"']*)")
 _CURL_U = re.compile(r"\b(?:curl|wget|http)\b[^\n]*?[ \t](?:-u|--user)[ \t=]+[\"']?[^\s:\"']+:(?P<v>[^\s\"']+)")
 _FLAG = re.compile(r"[ \t]--(?:password|passwd|token|secret|api-key|access-key|auth-token|client-secret)(?:[ \t]+|=)[\"']?(?P<v>[^\s\"']+)")
+#: Any flag with a name for a secret.
+_LONG_FLAG = re.compile(rf"(?:^|(?<=[\s\"'`=(\[]))--?(?P<name>(?:[A-Za-z0-9]+[_\-.])*?(?!_?auth[ \t=]|credentials?[ \t=])(?:{_SECRET_NAME}))[ \t]+[\"']?(?P<v>[^\s\"']+)", re.I | re.M)
 _CALL = re.compile(r"\b(?P<callee>[A-Za-z_][\w.:]*(?:client|connect|login|auth\w*|signin|session|credential)\w*(?:::\w+|\.\w+)?|(?:client|connect|login|authenticate|signin|credentials?)(?:::\w+|\.\w+)?)\s*\((?P<args>[^()\n]*?[\"'`][^()\n]*)\)", re.I)
 _STRING = re.compile(r"(?P<q>[\"'`])(?P<v>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)")
 _PROSE = re.compile(
@@ -109,6 +110,9 @@ _UUID = re.compile(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
 _HEXED = re.compile(r"^(?:[0-9a-fA-F]{2}){12,}$")
 _B64 = re.compile(r"^[A-Za-z0-9+/_\-]{16,}={0,2}$")
 _ENCODED = re.compile(r"[A-Za-z0-9+/_\-]{20,}={0,2}|(?:%[0-9A-Fa-f]{2}|[\w.~\-]){8,}|(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\[0-7]{3}|[\w.+/=\-]){8,}|(?:&#x?[0-9a-fA-F]+;){6,}")
+#: An encoded literal wrapped over lines.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_\-=])[A-Za-z0-9+/_\-]{20,}(?:[ \t]*(?:\\?\r?\n|\\r\\n|\\n)[ \t]*[A-Za-z0-9+/_\-]{2,})+={0,2}")
+_WRAPPED_PIECE = re.compile(r"(?<!\\)[A-Za-z0-9+/_\-]+={0,2}|(?<=\\n)[A-Za-z0-9+/_\-]+={0,2}")
 _CODE_NAME = re.compile(r"^(?:[A-Za-z]+(?:[-_. ][A-Za-z]+)*|[a-z_]+(?:\.[a-z_\d]+)+|[\w\-./~]+\.(?:pem|key|crt|cer|pub|txt|json|ya?ml|toml|ini|env|conf|py|js|ts|go|rs|md|sh)|(?:[.~]{0,2}/)[\w\-./ ]*|[A-Za-z_]\w*\(\)?|--?[a-z\-]+)$")
 _ADDRESS = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^\s@]*$|^[\w.\-]+@[\w\-]+(?:\.[\w\-]+)+$|^[a-z0-9\-]+(?:\.[a-z0-9\-]+)*\.[a-z]{2,10}(?::\d+)?(?:/\S*)?$")
 #: Words that, in a name, say that its value is no secret.
@@ -266,13 +270,13 @@ def _later_parts(text: str, end: int, q: str) -> list[tuple[int, int]]:
 
 def _openable(value: str, depth: int) -> tuple[str, int] | None:
     """(kind, layers) if a literal holds a secret in an inner layer."""
-    if depth >= MAX_LAYERS:
-        return None
+    if depth == 200:  # each layer is shorter than the last, so this many can follow; scan and this function are two frames a layer
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * len(value) + 2000))
     for _, data in decodings(value):
         if kind := key_container(data):
             return kind, depth + 1
         inner = _printable(data)
-        if inner is None or inner == value:
+        if inner is None or len(inner) >= len(value):
             continue
         found = scan(inner, depth + 1)
         if found:
@@ -280,18 +284,56 @@ def _openable(value: str, depth: int) -> tuple[str, int] | None:
     return None
 
 
-def _name_places(text: str) -> list[int]:
-    """Where the names begin that hold a word for a secret."""
-    places = {m.start() - len(_NAME_CHAR.search(text[max(0, m.start() - 60) : m.start()]).group()) for m in _NAME_WORD.finditer(text)}
+def _name_places(text: str) -> list[tuple[int, int]]:
+    """(place, start of the run of name characters) where names may begin that hold a word for a secret.
+
+    No sign of assignment can follow within a run, so a name ends with its run and its last word for a secret; it begins
+    in that word's part or at most two before it, or is the whole run.
+    """
+    last: dict[int, int] = {}  # by run, the last word's place
+    begin = done = -1
+    for m in _NAME_WORD.finditer(text):
+        at = m.start()
+        while at > max(done, 0) and text[at - 1] in _NAME_CHARS:
+            at -= 1
+        if at != done:  # else the last word's run goes on
+            begin = at
+            while begin < m.start() and text[begin] in "-.":
+                begin += 1
+        last[begin] = m.start()
+        done = m.end()
+    places = set()
+    for begin, at in last.items():
+        places.add((begin, begin))
+        for _ in range(3):
+            at = max(text.rfind("-", begin, at), text.rfind(".", begin, at))
+            if at < 0:
+                break
+            places.add((at + 1, begin))
     return sorted(places)
 
 
-def _matches(pattern: re.Pattern, text: str, places: list[int]) -> Iterator[re.Match]:
-    for at in places:
-        if m := pattern.match(text, at):
+def _matches(pattern: re.Pattern, text: str, places: list[tuple[int, int]]) -> Iterator[re.Match]:
+    for at, begin in places:
+        if (m := pattern.match(text, at)) and not _PUBLIC_NAME.search(text[begin : m.end("name")]):
             yield m
 
 
+def _wrapped(text: str, depth: int) -> Iterator[tuple[list[tuple[int, int]], tuple[str, int]]]:
+    """Encoded literals over several lines of one length and a last of at most that: (their pieces, what they hold)."""
+    for m in _WRAPPED.finditer(text):
+        pieces = [(m.start() + x.start(), m.start() + x.end()) for x in _WRAPPED_PIECE.finditer(m.group())]
+        width = pieces[0][1] - pieces[0][0]
+        even = next((i for i, (a, b) in enumerate(pieces) if b - a != width), len(pieces))
+        for n in (even + 1, even):
+            run = pieces[:n]
+            if 2 <= n <= len(pieces) and run[-1][1] - run[-1][0] <= width:
+                joined = "".join(text[a:b] for a, b in run)
+                if (inner := _openable(joined, depth)) and not all(_openable(text[a:b], depth) for a, b in run):
+                    yield run, inner
+                    break
+
+
 def scan(text: str, depth: int = 0) -> list[Finding]:
     """The secrets of a text, by place; overlapping findings are merged to the first."""
     if not text:
@@ -341,7 +383,7 @@ def scan(text: str, depth: int = 0) -> list[Finding]:
     places = _name_places(text) if named else []
     for pattern, possible in ((_QUOTED, quoted and places), (_ATTRIBUTE, places and "value" in low), (_ELEMENT, places and "</" in text)):
         for m in () if not possible else _matches(pattern, text, places) if pattern is _QUOTED else pattern.finditer(text):
-            if _PUBLIC_NAME.search(m.group("name")):
+            if pattern is not _QUOTED and _PUBLIC_NAME.search(m.group("name")):
                 continue
             rest = tuple(_later_parts(text, m.end(), m.groupdict().get("q") or "")) if pattern is _QUOTED else ()
             v = m.group("v") + "".join(text[a:b] for a, b in rest)
@@ -349,8 +391,11 @@ def scan(text: str, depth: int = 0) -> list[Finding]:
                 add(*m.span("v"), "assigned value", rest)
     for m in _matches(_BARE, text, places):
         v = m.group("v")
-        if not _PUBLIC_NAME.search(m.group("name")) and usable(v, strict=True) and _inner_usable(v) and not _prose_word(text, m):
+        if usable(v, strict=True) and _inner_usable(v) and not _prose_word(text, m):
             add(*m.span("v"), "assigned value")
+    for m in _LONG_FLAG.finditer(text) if places and "-" in text else ():
+        if not _PUBLIC_NAME.search(m.group("name")) and usable(m.group("v"), strict=True) and _inner_usable(m.group("v")):
+            add(*m.span("v"), "command password")
     for m in _CALL.finditer(text) if quoted and "(" in text and has(("client", "connect", "login", "auth", "signin", "session", "credential")) else ():
         strings = list(_STRING.finditer(m.group("args")))
         if len(strings) >= 2 or re.search(r"(?i)auth|login|credential|signin", m.group("callee")):
@@ -364,6 +409,9 @@ def scan(text: str, depth: int = 0) -> list[Finding]:
         if _drawn(v) or usable(v, strict=True) and not re.fullmatch(r"[\w.\-]*[a-z]{2}\.?(?:['’]s)?", v.split("-")[0]) or (usable(v, strict=True) and re.search(r"\d", v) and not re.fullmatch(r"v?\d+(?:[.,]\d+)*%?(?:[A-Za-z]{1,3})?", v)):
             add(m.start(g), m.start(g) + len(v), "secret in prose")
     covered = sorted((f.start, f.end) for f in found)
+    for run, inner in _wrapped(text, depth) if "\n" in text or "\\n" in text else ():
+        if not any(x < b and a < y for a, b in run for x, y in [*covered, *public]):
+            add(*run[0], inner[0], tuple(run[1:]), inner[1])
     for m in _ENCODED.finditer(text) if any(len(w) >= 16 for w in long) or any(len(w) >= 40 for w in words) or "%" in text or has(_ESCAPES) else ():
         a, b = m.span()
         if b - a >= 16 and not any(x < b and a < y for x, y in covered) and not any(x <= a < y for x, y in public):

@@ -75,3 +75,34 @@ def test_tables(spark):
     masked = C.redacted(df, "text")
     assert masked.columns == df.columns and masked.count() == len(rows)
     assert {r.id: r.text for r in masked.where("id in ('b', 'c')").collect()} == {"b": None, "c": ""}
+
+
+@pytest.mark.parametrize(
+    "head",
+    ['aws.secretAccessKey = "', 'this.stripeApiKey = "', 'config.mailgunToken: "', "-Dspring.datasource.password=", "run --db-password=", "run --db-password ", "a" * 70 + "_password = ", "x." * 40 + "apiKey = "],
+)
+def test_names_of_parts(head):
+    value = "Wesnemfe3nao5mx?"
+    text = f"{head}{value}" + '"' * head.endswith('"')
+    assert [text[f.start : f.end] for f in C.scan(text)] == [value]
+    assert value not in C.redact(text)
+
+
+def test_long_runs_and_public_names():
+    assert C.scan('the.public-api-key = "cf7b4015b9aaea295a560d65"') == []
+    assert C.scan("a-token.b." * 2000 + "c") == []
+
+
+def test_wrapped_and_deep_layers():
+    inner = 'note = "the tenants move on the first of the month"\npassword = "Osk!7098digest"\n' + "tail of the settings file, which is long enough for a few lines\n" * 2
+    coded = base64.b64encode(inner.encode()).decode()
+    lines = [coded[i : i + 60] for i in range(0, len(coded), 60)]
+    text = "data:\n  " + "\n  ".join(lines) + "\nend"
+    found = C.scan(text)
+    assert [(f.start, len(f.rest)) for f in found] == [(text.index(lines[0]), len(lines) - 1)]
+    assert C.redact(text) == "data:\n" + f"  {C.MASK}\n" * len(lines) + "end"
+    deep = 'password = "Osk!7098digest"'
+    for _ in range(8):
+        deep = base64.b64encode(deep.encode()).decode()
+    assert C.scan(f'x = "{deep}"')[0].layers == 8
+    assert C.scan("x = " + "%" + "25" * 700 + "41bcdefgh") == []
