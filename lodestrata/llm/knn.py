@@ -14,7 +14,7 @@ are one class from the start: only its least ids are ever compared and listed.
 
 Defined results: null, empty, wrongly long, zero or non-finite vectors aren't
 live; repeated rows of a vector count once; of different vectors under one id
-the least array counts; ties go to the lesser id.
+the least array counts; ties, at twelve digits of the cosine, go to the lesser id.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from lodestrata.session import settle, spread
 TABLES, FUNCTIONS, WIDTH, PROBES = 16, 16, 2.0, 10
 CELL_CAP = 2000
 BLOCK = 8192
+#: Cosines that are equal when rounded so are ties: one direction at different norms differs by less.
+TIE_DIGITS, TIE = 12, 1e-12
 SEED = 20
 
 
@@ -146,25 +148,31 @@ def _block_pairs(asking: DataFrame, asked: DataFrame, k: int, min_cosine: float)
     right = asked.select(F.explode(F.expr(f"sequence(0, {na - 1})")).alias("i"), F.expr(block.format(nb)).alias("j"), F.lit(1).alias("side"), "id", "vector")
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        unit, ids, side = _unit(part["vector"]).astype(np.float32), part["id"].to_numpy(), part["side"].to_numpy()
+        part = part.sort_values("id")
+        unit, ids, side = _unit(part["vector"]), part["id"].to_numpy(), part["side"].to_numpy()
         rows, columns = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         xs, ys, ss = [], [], []
-        keep = min(k + 3, len(columns))
-        for at in range(0, len(rows) if keep else 0, 1024):
-            r = rows[at : at + 1024]
+        keep = min(k + 1, len(columns))  # one may be the point itself
+        for at in range(0, len(rows) if keep else 0, 256):
+            r = rows[at : at + 256]
             s = unit[r] @ unit[columns].T
-            s[ids[r][:, None] == ids[columns][None, :]] = -2
-            best = np.argpartition(s, len(columns) - keep, axis=1)[:, len(columns) - keep :]
-            score = np.take_along_axis(s, best, axis=1)
-            q, c = np.nonzero(score >= min_cosine - 1e-4)
-            xs.append(ids[r][q])
-            ys.append(ids[columns][best[q, c]])
-            ss.append(score[q, c].astype(np.float64))
+            least = np.partition(s, len(columns) - keep, axis=1)[:, len(columns) - keep]
+            # all that tie with the last one kept, in the order of row, score, id; only then the cut
+            q, c = np.nonzero(s >= np.maximum(least - 2 * TIE, min_cosine - 1e-9)[:, None])
+            score = np.round(s[q, c], TIE_DIGITS)
+            other = ids[r][q] != ids[columns][c]
+            q, c, score = q[other], c[other], score[other]
+            order = np.lexsort((c, -score, q))
+            q, c, score = q[order], c[order], score[order]
+            first = np.arange(len(q)) - np.searchsorted(q, q) < k
+            xs.append(ids[r][q[first]])
+            ys.append(ids[columns][c[first]])
+            ss.append(score[first])
         x, y, s = (np.concatenate(v) if v else np.empty(0, dtype=t) for v, t in ((xs, "int64"), (ys, "int64"), (ss, "float64")))
         return pd.DataFrame({"x": x, "y": y, "s": s})
 
     found = left.unionByName(right).groupBy("i", "j").applyInPandas(compare, "x bigint, y bigint, s double")
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("s"), "y"))).where(F.col("r") <= k + 3)
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("s"), "y"))).where(F.col("r") <= k)
     return best.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
 
@@ -210,11 +218,12 @@ def neighbours(points: DataFrame, dimension: int, k: int = 5, min_cosine: float
     reps = settle(spread(classes.select(F.col("class").alias("id"), "vector")))
     near = similar_pairs(reps, dimension, k, min_cosine, **hashing)
     both = settle(near.select(F.col("x").alias("class"), F.col("y").alias("other"), "cosine").unionAll(near.select(F.col("y").alias("class"), F.col("x").alias("other"), "cosine")))
-    order = Window.partitionBy("class").orderBy(F.desc("cosine"), "other")
+    tied = F.round("cosine", TIE_DIGITS).desc()
+    order = Window.partitionBy("class").orderBy(tied, "other")
     best = both.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).drop("k")
     own = reps.select(F.col("id").alias("class"), F.col("id").alias("other"), F.lit(1.0).alias("cosine"))
     listed = best.unionByName(own).join(first.withColumnRenamed("class", "other"), "other").select("class", "neighbour", "cosine")
-    by_class = Window.partitionBy("class").orderBy(F.desc("cosine"), "neighbour")
+    by_class = Window.partitionBy("class").orderBy(tied, "neighbour")
     top = listed.withColumn("k", F.row_number().over(by_class)).where(F.col("k") <= k + 1).groupBy("class").agg(F.sort_array(F.collect_list(F.struct("k", "neighbour", "cosine"))).alias("list"))  # at most k + 1 entries
     others = F.expr(f"slice(filter(list, e -> e.neighbour <> id), 1, {k})")
     return member.join(top, "class").select("id", F.posexplode(others).alias("r", "e")).select("id", (F.col("r") + 1).alias("rank"), F.col("e.neighbour").alias("neighbour"), F.col("e.cosine").alias("cosine"))

@@ -68,3 +68,15 @@ def test_probing_order():
     sets = K.probing_sequence(8, 12)
     assert sets[0] == (0,) and len(set(sets)) == 12
     assert all(15 - a not in s for s in sets for a in s)
+
+
+def test_crowded_direction_goes_to_the_least_ids(spark):
+    rng = np.random.default_rng(3)
+    one = rng.normal(size=32)
+    x = (one * rng.uniform(0.1, 10, size=(400, 1))).astype(np.float32)
+    by = {}
+    for r in K.neighbours(points(spark, x, 1000), 32, cell_cap=20).collect():
+        by.setdefault(r.id, []).append((r.rank, r.neighbour))
+    assert len(by) == 400
+    for i, near in by.items():
+        assert [n for _, n in sorted(near)] == [j for j in range(1000, 1006) if j != i][:5]
