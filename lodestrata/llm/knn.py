@@ -198,17 +198,24 @@ def similar_pairs(points: DataFrame, dimension: int, k: int = 5, min_cosine: flo
         asked = settle(own.join(side, "key", "left_semi").select("id").distinct().join(points, "id"))
         asking = settle(looks.join(side, "key", "left_semi").select("id").distinct().join(points, "id"))
         found = found.unionAll(_block_pairs(asking, asked, k, min_cosine))
+    return _scored(points, found).where(F.col("cosine") >= min_cosine)
+
+
+def _scored(points: DataFrame, found: DataFrame) -> DataFrame:
+    """(x, y, cosine) of the distinct pairs found."""
     pairs = found.distinct()
     left = points.select(F.col("id").alias("x"), F.col("vector").alias("u"))
     right = points.select(F.col("id").alias("y"), F.col("vector").alias("v"))
     dot = "aggregate(zip_with(u, v, (p, q) -> double(p) * double(q)), 0D, (s, p) -> s + p)"
     norm = "sqrt(aggregate({0}, 0D, (s, p) -> s + double(p) * double(p)))"
-    scored = pairs.join(left, "x").join(right, "y").select("x", "y", F.expr(f"{dot} / ({norm.format('u')} * {norm.format('v')})").alias("cosine"))
-    return scored.where(F.col("cosine") >= min_cosine)
+    return pairs.join(left, "x").join(right, "y").select("x", "y", F.expr(f"{dot} / ({norm.format('u')} * {norm.format('v')})").alias("cosine"))
 
+def neighbours(points: DataFrame, dimension: int, k: int = 5, min_cosine: float = 0.85, whole: bool = False, **hashing) -> DataFrame:
+    """(id, rank, neighbour, cosine): each point's k most similar others of at least the least cosine.
 
-def neighbours(points: DataFrame, dimension: int, k: int = 5, min_cosine: float = 0.85, **hashing) -> DataFrame:
-    """(id, rank, neighbour, cosine): each point's k most similar others of at least the least cosine."""
+    With ``whole``, points that have fewer such others than k get their k most similar of any cosine: hashing finds the
+    near ones, and those whose list stays short are compared with all points in exact blocks.
+    """
     points = settle(points)
     # a class of exact copies is represented by its least id; of its members only the k + 1 least are ever listed
     classes = points.groupBy("vector").agg(F.min("id").alias("class"))
@@ -217,6 +224,11 @@ def neighbours(points: DataFrame, dimension: int, k: int = 5, min_cosine: float
     first = member.withColumn("k", F.row_number().over(Window.partitionBy("class").orderBy("id"))).where(F.col("k") <= k + 1).select("class", F.col("id").alias("neighbour"))
     reps = settle(spread(classes.select(F.col("class").alias("id"), "vector")))
     near = similar_pairs(reps, dimension, k, min_cosine, **hashing)
+    if whole:
+        near = settle(near)
+        full = near.select(F.explode(F.array("x", "y")).alias("id")).groupBy("id").count().where(F.col("count") >= k)
+        short = settle(reps.join(full.select("id"), "id", "left_anti"))
+        near = near.unionByName(_scored(reps, _block_pairs(short, reps, k, -2.0).join(near, ["x", "y"], "left_anti")))
     both = settle(near.select(F.col("x").alias("class"), F.col("y").alias("other"), "cosine").unionAll(near.select(F.col("y").alias("class"), F.col("x").alias("other"), "cosine")))
     tied = F.round("cosine", TIE_DIGITS).desc()
     order = Window.partitionBy("class").orderBy(tied, "other")
@@ -235,7 +247,7 @@ def found_pairs(vectors: DataFrame, id_map: DataFrame, config: DataFrame, k: int
     return near.select(F.least("id", "neighbour").alias("int_a"), F.greatest("id", "neighbour").alias("int_b")).distinct()
 
 
-def live_neighbours(vectors: DataFrame, id_map: DataFrame, config: DataFrame, k: int = 5, min_cosine: float = 0.85, **hashing) -> DataFrame:
+def live_neighbours(vectors: DataFrame, id_map: DataFrame, config: DataFrame, k: int = 5, min_cosine: float = 0.85, whole: bool = False, **hashing) -> DataFrame:
     row = config.select("dimension").where("dimension is not null").limit(1).collect()  # a configuration of one row
     dimension = row[0][0] if row else 0
-    return neighbours(live_vectors(vectors, id_map, dimension), max(1, dimension), k, min_cosine, **hashing)
+    return neighbours(live_vectors(vectors, id_map, dimension), max(1, dimension), k, min_cosine, whole, **hashing)

@@ -42,7 +42,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return knn.live_neighbours(table(spark, d, "vectors"), table(spark, d, "id_map"), table(spark, d, "hnsw_config"))
+    return knn.live_neighbours(table(spark, d, "vectors"), table(spark, d, "id_map"), table(spark, d, "hnsw_config"), whole=True)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

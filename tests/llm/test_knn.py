@@ -80,3 +80,16 @@ def test_crowded_direction_goes_to_the_least_ids(spark):
     assert len(by) == 400
     for i, near in by.items():
         assert [n for _, n in sorted(near)] == [j for j in range(1000, 1006) if j != i][:5]
+
+
+def test_whole_lists_of_unrelated_vectors(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([planted(80, 32, 5), rng.normal(size=(60, 32))]).astype(np.float32)
+    x = np.concatenate([x, x[:2], 2 * x[100:102]])
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    s = np.round(u @ u.T, 12)
+    got = {}
+    for r in K.neighbours(points(spark, x), 32, whole=True).collect():
+        got.setdefault(r.id, []).append((r.rank, r.neighbour))
+    for i in range(len(x)):
+        assert [n for _, n in sorted(got[i])] == sorted((j for j in range(len(x)) if j != i), key=lambda j: (-s[i, j], j))[:5]
