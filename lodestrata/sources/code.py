@@ -220,30 +220,40 @@ def read_endpoints(files: DataFrame) -> DataFrame:
 
 
 def read_sections(files: DataFrame, budget: int = 256) -> DataFrame:
-    """(path, position, depth, heading, line_start, line_end, text): one overview and one section a symbol; long symbols are cut at lines of least indentation."""
+    """(path, position, depth, heading, line_start, line_end, text): one overview and one section a symbol; long symbols are cut at lines of least indentation.
+
+    A file without symbols is its whole text, cut the same way.
+    """
+
+    def parts(lines: list[str], a: int, b: int) -> Iterator[tuple[int, int]]:
+        begin = a
+        while begin <= b:
+            end, words, best = begin, 0, None
+            while end <= b:
+                words += len(lines[end - 1].split())
+                if words > budget and end > begin:
+                    break
+                indent = len(lines[end - 1]) - len(lines[end - 1].lstrip())
+                if lines[end - 1].strip() and end > begin and (best is None or indent <= best[0]):
+                    best = (indent, end)
+                end += 1
+            stop = b if end > b else (best[1] - 1 if best and best[1] > begin + 1 else end - 1)
+            yield begin, stop
+            begin = stop + 1
 
     def cut(path: str, text: str) -> Iterator[tuple]:
-        lines = text.split("\n")
+        lines, title = text.split("\n"), path.rsplit("/", 1)[-1]
         found = [s for s in symbols(path, text) if s[1] != "constant"]
-        overview = "\n".join(s[3] for s in found) or "\n".join(lines[:20])
-        yield 0, 1, path.rsplit("/", 1)[-1], 1, len(lines), overview
+        if not found:
+            for n, (begin, stop) in enumerate(parts(lines, 1, len(lines))):
+                yield n, 1, title, begin, stop, "\n".join(lines[begin - 1 : stop])
+            return
+        yield 0, 1, title, 1, len(lines), "\n".join(s[3] for s in found)
         n = 0
         for name, _, container, _, a, b, _ in found:
-            begin = a
-            while begin <= b:
-                end, words, best = begin, 0, None
-                while end <= b:
-                    words += len(lines[end - 1].split())
-                    if words > budget and end > begin:
-                        break
-                    indent = len(lines[end - 1]) - len(lines[end - 1].lstrip())
-                    if lines[end - 1].strip() and end > begin and (best is None or indent <= best[0]):
-                        best = (indent, end)
-                    end += 1
-                stop = b if end > b else (best[1] - 1 if best and best[1] > begin + 1 else end - 1)
+            for begin, stop in parts(lines, a, b):
                 n += 1
                 yield n, 2, f"{container}::{name}".strip(":"), begin, stop, "\n".join(lines[begin - 1 : stop])
-                begin = stop + 1
 
     return _read(files, cut, "position int, depth int, heading string, line_start int, line_end int, text string")
 

@@ -80,3 +80,14 @@ def test_files_and_bundle(spark, tmp_path):
     bundle.write_bundle({"t": roots, "sessions": roots}, roots, str(tmp_path / "b"))
     version, tables = bundle.read_bundle(spark, str(tmp_path / "b"))
     assert version == bundle.version_hash(roots) and list(tables) == ["t"] and tables["t"].count() == 1
+
+
+def test_sections_of_files_without_symbols_are_whole(spark):
+    long = "{\n" + "\n".join(f'  "key{k}": [{k}, "some words of a value"],' for k in range(200)) + "\n}\n"
+    script = "\n".join(f"print({k})" for k in range(40))
+    df = spark.createDataFrame([("a/x.json", long), ("y.py", script)], "path string, content string")
+    got = {}
+    for r in code.read_sections(df).orderBy("path", "position").collect():
+        got.setdefault(r.path, []).append(r)
+    assert "\n".join(r.text for r in got["a/x.json"]) == long and "\n".join(r.text for r in got["y.py"]) == script
+    assert len(got["a/x.json"]) > 1 and all(len(r.text.split()) <= 256 and r.line_end - r.line_start == r.text.count("\n") for r in got["a/x.json"])
