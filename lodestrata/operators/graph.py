@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,8 @@ from lodestrata.functions import scalar as S
 from lodestrata.session import settle
 
 MAX_DEPTH = 10
+#: Rows of a bucket that are compared at once.
+BLOCK = 4096
 
 
 def search_symbols(symbols: DataFrame, queries: DataFrame) -> DataFrame:
@@ -177,20 +181,53 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
-def redundancy(symbols: DataFrame, refs: DataFrame, vectors: DataFrame, min_cosine: float = 0.86, min_overlap: float = 0.4, max_pairs: int = 100_000) -> DataFrame:
-    """(id, cluster) of functions that do the same: alike vectors and alike callees within one (kind, arity).
+def _alike_edges(part: pd.DataFrame, min_cosine: float, min_overlap: float) -> pd.DataFrame:
+    """Edges (a, b) that connect what is alike among the rows (id, v, targets): a spanning forest of the alike pairs.
 
-    A bucket with more than ``max_pairs`` pairs is skipped as a whole, which is
-    the operator's rule; so no bucket is ever large.
+    Searched breadth first: a matrix product compares part of the front with all rows not yet reached.
+    """
+    unit = np.stack(part["v"].to_numpy()).astype(np.float64)
+    length = np.linalg.norm(unit, axis=1, keepdims=True)
+    unit = np.divide(unit, length, out=np.zeros_like(unit), where=length > 0)
+    ids, targets = part["id"].to_numpy(), [set(t) for t in part["targets"]] if min_overlap > 0 else []
+    left, front, edges = np.arange(len(ids)), [], []
+    while len(left):
+        if not front:
+            front, left = [left[:1]], left[1:]
+        now = front.pop()
+        if len(now) > 256:
+            front.append(now[256:])
+            now = now[:256]
+        alike = unit[now] @ unit[left].T >= min_cosine
+        if min_overlap > 0:
+            for f, u in zip(*np.nonzero(alike)):
+                x, y = targets[now[f]], targets[left[u]]
+                alike[f, u] = bool(x or y) and len(x & y) / len(x | y) >= min_overlap
+        reached = alike.any(axis=0)
+        if reached.any():
+            edges.append((ids[now[alike.argmax(axis=0)[reached]]], ids[left[reached]]))
+            front.append(left[reached])
+            left = left[~reached]
+    a, b = (np.concatenate(x) for x in zip(*edges)) if edges else ([], [])
+    return pd.DataFrame({"a": a, "b": b}, dtype=object)
+
+
+def redundancy(symbols: DataFrame, refs: DataFrame, vectors: DataFrame, min_cosine: float = 0.86, min_overlap: float = 0.4, max_pairs: int | None = None) -> DataFrame:
+    """(id, cluster) of functions that do the same: alike vectors and alike callees within one (kind, arity); the least cosine is above 0.
+
+    Buckets are compared whole, in pairs of blocks of at most about BLOCK rows.
+    With ``max_pairs``, a bucket with more pairs is skipped, as the reference does.
     """
     s = symbols.dropDuplicates(["id"]).select("id", F.lower(F.trim("kind")).alias("kind"), S.arity(F.col("signature")).alias("arity")).where("kind in ('function', 'method')")
-    v = s.join(vectors.select("id", S.as_double(F.col("vector")).alias("v")), "id").join(neighbour_sets(refs, ["calls", "uses"]), "id", "left").withColumn("targets", F.coalesce("targets", F.array().cast("array<string>")))
-    size = v.groupBy("kind", "arity").agg(F.count("*").alias("n")).where(F.expr(f"n * (n - 1) / 2 <= {max_pairs}"))
-    v = v.join(F.broadcast(size), ["kind", "arity"])  # one row a kind and arity: at most a dozen
-    a, b = v.alias("a"), v.alias("b")
-    pairs = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.arity") == F.col("b.arity")) & (F.col("a.id") < F.col("b.id")))
-    alike = pairs.where((S.cosine(F.col("a.v"), F.col("b.v")) >= min_cosine) & (jaccard(F.col("a.targets"), F.col("b.targets")) >= min_overlap)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    return components(alike).withColumnsRenamed({"node": "id", "component": "cluster"})
+    v = s.join(vectors.select("id", S.as_double(F.col("vector")).alias("v")).where("size(v) > 0"), "id").join(neighbour_sets(refs, ["calls", "uses"]), "id", "left").withColumn("targets", F.coalesce("targets", F.array().cast("array<string>")))
+    size = v.groupBy("kind", "arity").agg(F.count("*").alias("n"))
+    if max_pairs is not None:
+        size = size.where(F.expr(f"n * (n - 1) / 2 <= {max_pairs}"))
+    v = v.join(F.broadcast(size.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))), ["kind", "arity"])  # one row a kind and arity: at most a dozen
+    p = v.withColumn("p", F.expr("cast(pmod(xxhash64(id), blocks) as int)")).withColumn("q", F.explode(F.expr("sequence(0, blocks - 1)")))
+    pairs = p.select("kind", F.coalesce("arity", F.lit(-1)).alias("arity"), F.size("v").alias("width"), F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "id", "v", "targets")
+    alike = pairs.groupBy("kind", "arity", "width", "i", "j").applyInPandas(lambda part: _alike_edges(part, min_cosine, min_overlap), "a string, b string")
+    return components(alike.where("a <> b")).withColumnsRenamed({"node": "id", "component": "cluster"})
 
 
 def shotgun(symbols: DataFrame, refs: DataFrame, min_files: int = 3, min_packages: int = 2) -> DataFrame:

@@ -91,3 +91,21 @@ def test_occurrences_and_semantics(spark):
     e = spark.createDataFrame([("x", "k", [1.0, 0.0]), ("y", "k", None)], "id string, kind string, vector array<double>")
     i = spark.createDataFrame([("p", "k", [0.9, 0.1]), ("q", "k", [0.0, 1.0]), ("r", "z", [1.0, 0.0])], "id string, kind string, vector array<double>")
     assert [(r.export_id, r.import_id) for r in G.semantic_links(e, i).collect()] == [("x", "p")]
+
+
+@pytest.mark.parametrize("min_overlap", [0.0, 0.5])
+def test_redundancy_of_large_buckets(spark, monkeypatch, min_overlap):
+    monkeypatch.setattr(G, "BLOCK", 150)
+    rng = random.Random(6)
+    base = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(250)]
+    vectors = [(f"s{k:03d}", [x + 0.02 * rng.gauss(0, 1) for x in base[k % 250]]) for k in range(500)]
+    symbols = spark.createDataFrame([(i, "function", "def f(a, b)", "f") for i, _ in vectors], "id string, kind string, signature string, name string")
+    refs = [(i, t, "calls") for k, (i, _) in enumerate(vectors) for t in ("x", "y" if k < 250 or k % 2 else "z", "u" if k % 3 else "w")]
+    out = G.redundancy(symbols, spark.createDataFrame(refs, "from_symbol_id string, to_symbol_id string, ref_kind string"), spark.createDataFrame(vectors, "id string, vector array<float>"), 0.9, min_overlap)
+    targets = {}
+    for i, t, _ in refs:
+        targets.setdefault(i, set()).add(t)
+    cosine = lambda u, v: sum(a * b for a, b in zip(u, v)) / (sum(a * a for a in u) * sum(b * b for b in v)) ** 0.5
+    alike = [(a, b) for n, (a, u) in enumerate(vectors) for b, v in vectors[n + 1 :] if cosine(u, v) >= 0.9 and len(targets[a] & targets[b]) >= min_overlap * len(targets[a] | targets[b])]
+    want = {r.node: r.component for r in G.components(spark.createDataFrame(alike, "a string, b string")).collect()}
+    assert {r.id: r.cluster for r in out.collect()} == want and (len(want) == 500 if not min_overlap else 100 < len(want) < 500)
