@@ -45,14 +45,37 @@ _NO_HEADER = re.compile(r"hand[- ]?(?:made|written|crafted)|edit freely|(?:isn't
 _COMMENT_LINE = re.compile(r"\s*(?://|#(?!\s*(?:include|define|if|ifdef|ifndef|pragma|endif|undef|else|error|line)\b|!?\[)|/\*|\*|<!--|--\s|;|\"\"\"|''')|\s*$")
 
 
+# What opens and closes a comment over several lines.
+_BLOCKS = (("/*", "*/"), ("<!--", "-->"), ('"""', '"""'), ("'''", "'''"))
+
+
 def _edges(lines: list[str]) -> list[str]:
-    """The comment lines with which a file opens and closes."""
+    """The comment lines with which a file opens and closes; block comments and docstrings are followed to their end."""
     out = []
-    for side in (lines, lines[::-1]):
-        for line in side:
-            if not _COMMENT_LINE.match(line):
-                break
+    for side, backward in ((lines, False), (lines[::-1], True)):
+        until = ""
+        for n, line in enumerate(side):
             out.append(line)
+            bare = line.strip()
+            if until:
+                if until in bare:
+                    until = ""
+                continue
+            ends = [(closed, opened) if backward else (opened, closed) for opened, closed in _BLOCKS]
+            near, far = next(((x, y) for x, y in ends if (bare.endswith(x) if backward else bare.lstrip("rRuUbB").startswith(x))), ("", ""))
+            if near:
+                rest = bare[: -len(near)] if backward else bare.lstrip("rRuUbB")[len(near) :]
+                if far not in rest and (other := next((x for x in side[n + 1 :] if far in x), None)) is not None:
+                    if backward and not other.lstrip(" \trRuUbB").startswith(far):  # a literal, or code before the comment
+                        out.pop()
+                        break
+                    until = far
+                elif backward and not _COMMENT_LINE.match(line):
+                    out.pop()
+                    break
+            elif not _COMMENT_LINE.match(line):
+                out.pop()
+                break
         if len(out) >= len(lines):
             break
     return out

@@ -33,3 +33,15 @@ def test_classes(spark):
     assert got == {"a/lib/copy.py": "third-party", "b/node_modules/x/i.js": "third-party", "b/x_pb2.py": "generated", "b/x.min.js": "minified", "c/blob.c": "blob"}
     assert P.classify(files.limit(0), upstream).count() == 0
     assert "a/lib/copy.py" not in {r.path for r in P.classify(files, upstream.limit(0)).collect()}
+
+
+def test_headers_in_block_comments():
+    js = "export function a(x) {\n  return x + 1;\n}\n"
+    for head in ("/*\n This file was generated by X.\n Do not edit.\n*/\n", "/* Copyright.\n\n   Code generated by x. */\n", "<!--\n generated by x\n-->\n"):
+        assert P.composition(head + js, "js") == "generated"
+        assert P.composition(js + head, "js") == "generated"
+    for q in ('"""', "'''", 'r"""'):
+        assert P.composition(f"{q}\nBindings.\n\nGenerated by X, do not edit.\n{q[-3:]}\n" + CODE, "py") == "generated"
+    assert P.composition('"""Own helpers.\n\nThey are kept small.\n"""\n' + CODE + '\nMARK = "generated by x"\n', "py") is None
+    assert P.composition("/*\n Own helpers.\n*/\n" + js + 'const m = "@generated";\nlet k = 1; /* one */\n', "js") is None
+    assert P.composition(CODE + '\nTEMPLATE = """\n# Code generated by x. DO NOT EDIT.\n"""\n', "py") is None
