@@ -186,6 +186,7 @@ def _alike_edges(part: pd.DataFrame, min_cosine: float, min_overlap: float) -> p
 
     Searched breadth first: a matrix product compares part of the front with all rows not yet reached.
     """
+    part = part.sort_values("id")  # the same forest whenever it is computed
     unit = np.stack(part["v"].to_numpy()).astype(np.float64)
     length = np.linalg.norm(unit, axis=1, keepdims=True)
     unit = np.divide(unit, length, out=np.zeros_like(unit), where=length > 0)
@@ -227,7 +228,7 @@ def redundancy(symbols: DataFrame, refs: DataFrame, vectors: DataFrame, min_cosi
     p = v.withColumn("p", F.expr("cast(pmod(xxhash64(id), blocks) as int)")).withColumn("q", F.explode(F.expr("sequence(0, blocks - 1)")))
     pairs = p.select("kind", F.coalesce("arity", F.lit(-1)).alias("arity"), F.size("v").alias("width"), F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "id", "v", "targets")
     alike = pairs.groupBy("kind", "arity", "width", "i", "j").applyInPandas(lambda part: _alike_edges(part, min_cosine, min_overlap), "a string, b string")
-    return components(alike.where("a <> b")).withColumnsRenamed({"node": "id", "component": "cluster"})
+    return components(settle(alike.where("a <> b"))).withColumnsRenamed({"node": "id", "component": "cluster"})
 
 
 def shotgun(symbols: DataFrame, refs: DataFrame, min_files: int = 3, min_packages: int = 2) -> DataFrame:
