@@ -53,7 +53,7 @@ def answer_cache(s, d):
 
 
 def affected_sections(s, d):
-    """Sections of documents ingested in the last tenth of the ids."""
+    """Sections of a stated tenth of the documents, those with ids that end in 9, taken as the changed ones."""
     sec = table(s, d, "sections")
     changed = table(s, d, "documents").where("doc_id % 10 = 9").select(F.col("source_path").alias("path"))
     return I.affected_sections(sec, sec.where("position < 3"), changed).select("document_id", "id")
