@@ -278,16 +278,35 @@ _START = {
     "c": regex.compile(r"^[ \t]*(?!(?:if|for|while|switch|return|else|do|new|throw|case|typedef|package|import)\b)(?:[A-Za-z_][\w<>\[\],.]*[ \t*&]+)+[A-Za-z_]\w*[ \t]*\((?=[^;{}]*\{)", regex.M),
 }
 _START |= {"ts": _START["js"], "java": _START["c"], "h": _START["c"]}
-_DOC_BEFORE = regex.compile(r"(?:^[ \t]*(?://[^\n]*|\#[^\n]*|@\w[^\n]*)\n|^[ \t]*/\*(?:(?!\*/)[\s\S])*\*/[ \t]*\n)+\Z", regex.M)
+_COMMENT_BEFORE = regex.compile(r"[ \t]*(?://|\#|@\w)")
 _DOCSTRING = regex.compile(r"\s*[rRuU]?(\"\"\"|\'\'\')([\s\S]*?)(?:\1|\Z)")
 
 
+_BRACKETS = regex.compile(r"\"(?:\\.|[^\"\\\n])*\"|//[^\n]*|/\*[\s\S]*?\*/|[()\[\]{}]")
+
+
+def _doc_before(text: str, least: int, start: int) -> str:
+    """The comments and annotations on the lines right before a place."""
+    at = start
+    while at > least:
+        begin = max(least, text.rfind("\n", least, at - 1) + 1)
+        if text[begin:at].rstrip().endswith("*/") and not _COMMENT_BEFORE.match(text, begin, at):
+            opened = text.rfind("/*", least, at)
+            begin = max(least, text.rfind("\n", least, max(least, opened)) + 1)
+            if opened < 0 or text[begin:opened].strip():
+                break
+        elif not _COMMENT_BEFORE.match(text, begin, at):
+            break
+        at = begin
+    return text[at:start]
+
+
 def _closing(text: str, at: int, opened: str, closed: str, stop: int) -> int:
     depth = 0
-    for m in regex.finditer(r"\"(?:\\.|[^\"\\\n])*\"|//[^\n]*|/\*[\s\S]*?\*/|[()\[\]{}]", text[at:stop]):
+    for m in _BRACKETS.finditer(text, at, stop):
         depth += (m.group() == opened) - (m.group() == closed)
         if depth == 0 and m.group() == closed:
-            return at + m.end()
+            return m.end()
     return -1
 
 
@@ -297,7 +316,7 @@ def functions(path: str, text: str) -> Iterator[tuple[str, int, int, str, str, l
     if language not in _START:
         return
     starts = [m.start() for m in _START[language].finditer(text)]
-    for start, following in zip(starts, [*starts[1:], len(text)]):
+    for last, start, following in zip([0, *starts], starts, [*starts[1:], len(text)]):
         opened = text.find("(", start, following)
         if opened < 0:
             continue
@@ -311,16 +330,15 @@ def functions(path: str, text: str) -> Iterator[tuple[str, int, int, str, str, l
         doc, closed, end = "", False, following
         if language == "py":
             indent = len(text[start:]) - len(text[start:].lstrip(" \t"))
-            body = regex.compile(r"\n(?=[^\s#])|\n(?=[ \t]{0,%d}\S)" % max(0, indent) if indent else r"\n(?=\S)").search(text, mark if mark >= 0 else start, following)
-            end, closed = (body.start() if body else following), mark >= 0
+            body = regex.compile(r"\n(?=[^\s#])|\n(?=[ \t]{0,%d}\S)" % max(0, indent) if indent else r"\n(?=\S)").search(text, mark if mark >= 0 else start, len(text) if mark >= 0 else following)
+            end, closed = (body.start() if body else len(text) if mark >= 0 else following), mark >= 0
             inner = _DOCSTRING.match(text, mark + 1) if mark >= 0 else None
             doc = inner.group(2) if inner else ""
         elif mark >= 0:
-            stop = _closing(text, mark, "{", "}", following)
+            stop = _closing(text, mark, "{", "}", len(text))
             closed, end = stop > 0, stop if stop > 0 else following
         if not doc:
-            before = _DOC_BEFORE.search(text[max(0, start - 20_000) : start])
-            doc = before.group() if before else ""
+            doc = _doc_before(text, last, start)
         yield name, text.count("\n", 0, start) + 1, text.count("\n", 0, max(start, end - 1)) + 1, head.strip(), doc, parameters, cost, closed
 
 

@@ -54,3 +54,11 @@ def test_files(spark):
     rows = [("x.go", broken), ("y.py", "def f(a):\n    \"\"\"Keeps the newest row of each key.\"\"\"\n    return a\n\ndef g(\n"), ("z.go", None), ("w.txt", "func X() {}")]
     got = {(r.path, r.name): r.complete for r in D.file_pairs(spark.createDataFrame(rows, "path string, content string")).collect()}
     assert got == {("x.go", "Good"): True, ("x.go", "Cut"): False, ("y.py", "f"): True}
+
+
+def test_nested_functions_and_long_comments():
+    js = "/* Ties go to the older edge.\n" + "filler words\n" * 3000 + "*/\nfunction outer(a) {\n  function inner(b) {\n    return b;\n  }\n  return inner(a);\n}\n"
+    got = {f[0]: f for f in D.functions("x.js", js)}
+    assert (got["outer"][2], got["outer"][7]) == (js.count("\n"), True) and "Ties go" in got["outer"][4] and got["inner"][7]
+    py = "def outer(a):\n    def inner(b):\n        return b\n\n    return inner(a)\n\n\nx = 1\n"
+    assert [(f[0], f[1], f[2]) for f in D.functions("x.py", py)][0][:2] == ("outer", 1) and next(D.functions("x.py", py))[2] >= 5
