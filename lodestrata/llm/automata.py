@@ -14,6 +14,11 @@ class Automaton:
         self.nullable, self.first, self.last = self._alternatives()
         if self.at != len(grammar):
             raise ValueError(f"unbalanced at {self.at}: {grammar[self.at:][:40]}")
+        # most positions share what can follow them with many others
+        kinds: dict[frozenset[int], int] = {}
+        self.kind = [kinds.setdefault(frozenset(f), len(kinds)) for f in self.follow]
+        self.follows = list(kinds)
+        del self.follow
         self._states: dict[frozenset[int], dict[str, frozenset[int]]] = {}
 
     def _peek(self) -> str:
@@ -80,7 +85,7 @@ class Automaton:
     def _step(self, state: frozenset[int], letter: str) -> frozenset[int]:
         known = self._states.setdefault(state, {})
         if letter not in known:
-            after = self.first if -1 in state else set().union(*(self.follow[p] for p in state)) if state else set()
+            after = self.first if -1 in state else set().union(*(self.follows[k] for k in {self.kind[p] for p in state}))
             known[letter] = frozenset(p for p in after if letter in self.letters[p])
         return known[letter]
 
@@ -100,4 +105,7 @@ class Automaton:
 
     def pairs(self) -> set[tuple[str, str]]:
         """Letters that can stand next to each other."""
-        return {(a, b) for p, after in enumerate(self.follow) for q in after for a in self.letters[p] for b in self.letters[q]}
+        before: list[set[str]] = [set() for _ in self.follows]
+        for p, k in enumerate(self.kind):
+            before[k] |= self.letters[p]
+        return {(a, b) for letters, after in zip(before, self.follows) for b in set().union(*(self.letters[q] for q in after)) for a in letters}

@@ -1,11 +1,12 @@
 """Source files that aren't valid in their language (problem 4).
 
-Files are lexed into rows of token classes.  Pairs of neighbours are anti-joined
-with the pairs that the language's grammar permits; nesting is checked with
-windows over running bracket depth; groups are reduced to one class each, and
-what stands in a group is checked against the grammar's statement productions.
-Python, JSON and TOML files that are flagged are read once more by an exact
-parser, which can only withdraw a flag.
+Files are lexed once, to a string of token classes, which is opened into rows in
+the JVM: pairs of neighbours, each once a file, are anti-joined with the pairs
+that the language's grammar permits; runs of tokens up to a bracket go through
+windows over running bracket depth, which check nesting and reduce each group to
+one class; what stands in a group is checked against the grammar's statement
+productions.  Python, JSON and TOML files that are flagged are read once more by
+an exact parser, which can only withdraw a flag.
 
 Defined results: a null text counts as empty; an empty file is valid where the
 grammar lets it be; files with an extension without a grammar aren't judged.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import ast
 import json
+import pickle
 import re
 import tomllib
 import warnings
@@ -31,19 +33,29 @@ from pyspark.sql.window import Window
 from lodestrata.llm.automata import Automaton
 from lodestrata.llm.grammars import LANGUAGES
 from lodestrata.llm.lexers import lex
-from lodestrata.session import spread
+from lodestrata.session import settle, spread
 
-#: Token rows that a task holds before it hands them on.
-FRAME_ROWS = 50_000
 _GROUP = {"P": "()", "K": "[]", "Z": "{}"}
-_PLACE = {"(": "P", "[": "K", "{": "Z"}
 
 
-@lru_cache(maxsize=None)
+_PARTS = ("statement", "paren", "bracket", "brace", "top", "fields", "params")
+_known: dict[tuple[str, str], Automaton] = {}
+
+
 def _automaton(language: str, part: str) -> Automaton:
-    return Automaton(getattr(LANGUAGES[language], part))
+    key = (language, part)
+    if key not in _known:
+        _known[key] = Automaton(getattr(LANGUAGES[language], part))
+    return _known[key]
+
 
+@lru_cache(maxsize=1)
+def _pickled() -> bytes:
+    """All automata; building them takes a task longer than reading them."""
+    return pickle.dumps({(k, part): Automaton(getattr(own, part)) for k, own in LANGUAGES.items() for part in _PARTS if getattr(own, part) is not None})
 
+
+@lru_cache(maxsize=None)
 def permitted_pairs(language: str) -> set[tuple[str, str]]:
     """Token classes that the grammar lets stand next to each other."""
     own = LANGUAGES[language]
@@ -93,18 +105,19 @@ def _statement(piece: str, language: str) -> bool:
     return _automaton(language, "statement").accepts(piece)
 
 
-def group_valid(language: str, context: str, letters: str) -> bool:
-    """Whether the reduced content of a group follows a production of its context."""
+@lru_cache(maxsize=200_000)
+def group_valid(language: str, opener: str, letters: str) -> bool:
+    """Whether the reduced content of a group, or of a file where there is no opener, follows a production."""
     own = LANGUAGES[language]
-    if context in ("a", "p"):
+    if opener in ("(", "<"):
         return _automaton(language, "paren").accepts(letters) or own.params is not None and _automaton(language, "params").accepts(letters)
-    if context == "k":
+    if opener == "[":
         return _automaton(language, "bracket").accepts(letters)
-    if context == "f":
+    if opener == "%":
         return all(_automaton(language, "fields").accepts(p) for p in _pieces(letters, language))
-    if context == "b" and _automaton(language, "brace").accepts(letters):
+    if opener == "{" and _automaton(language, "brace").accepts(letters):
         return True
-    if context == "b" and not own.blocks:
+    if opener == "{" and not own.blocks:
         return False
     if own.top is not None:
         return _automaton(language, "top").accepts(letters)
@@ -134,67 +147,85 @@ def language_of(path: str | Column) -> Column:
     return F.lower(F.regexp_extract(column, r"\.([A-Za-z0-9]+)$", 1))
 
 
-def tokens(files: DataFrame) -> DataFrame:
-    """Rows (file_id, pos, language, letter, following, bracket, context) of all files with a grammar."""
+#: Brackets as the lexers write them: what they look like in a file, and the class of their group.
+_SIGNS, _LOOKS, _PLACES = "([{<%", "([{({", "PKZPZ"
+_CLOSERS = ")]})}"
+_RUN = r"[^()\[\]{}<%]*[()\[\]{}<%]|[^()\[\]{}<%]+$"
+
+
+def shapes(files: DataFrame) -> DataFrame:
+    """Rows (file_id, language, shape) of all files with a grammar; the shape has one letter a token."""
     source = spread(files.select("file_id", language_of("path").alias("language"), F.coalesce("content", F.lit("")).alias("content")).where(F.col("language").isin(*LANGUAGES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
         for batch in batches:
-            for key, lang, text in zip(batch.column("file_id").to_pylist(), batch.column("language").to_pylist(), batch.column("content").to_pylist()):
-                found = lex(text, lang)
-                held += [(key, k, lang, t[0], after[0], t[1], t[2]) for k, (t, after) in enumerate(zip(found, [*found[1:], ("",)]))]
-                while len(held) >= FRAME_ROWS:
-                    yield _frame(held[:FRAME_ROWS])
-                    held = held[FRAME_ROWS:]
-        if held:
-            yield _frame(held)
+            found = [lex(text, k) for k, text in zip(batch.column("language").to_pylist(), batch.column("content").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("file_id").cast(pa.int64()), batch.column("language"), pa.array(found, type=pa.string())], names=["file_id", "language", "shape"])
+
+    return source.mapInArrow(run, "file_id bigint, language string, shape string")
+
+
+def odd_pairs(found: DataFrame) -> DataFrame:
+    """file_id of the files in which a pair of neighbours stands that the grammar doesn't permit."""
+    rows = [(k, a + b) for k in LANGUAGES for a, b in sorted(permitted_pairs(k))]
+    permitted = found.sparkSession.createDataFrame(rows, "language string, pair string")  # of a fixed size: the grammars'
+    plain = F.concat(F.lit("^"), F.translate("shape", _SIGNS, _LOOKS), F.lit("$"))
+    pairs = found.select("file_id", "language", F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit(r"(?=(..))"), 1))).alias("pair"))
+    return pairs.join(F.broadcast(permitted), ["language", "pair"], "left_anti").select("file_id")
+
+
+def groups(found: DataFrame) -> DataFrame:
+    """Rows (file_id, language, level, grp, opener, closer, letters): each bracketed group, and the file around them at level 0, with inner groups reduced to one class."""
+    # a run of tokens up to and with a bracket; the windows see one row a bracket, not one a token
+    runs = found.select("file_id", "language", F.posexplode(F.regexp_extract_all("shape", F.lit(_RUN), 0)).alias("pos", "run"))
+    last = F.substring("run", -1, 1)
+    sign = F.when(last.isin(*_SIGNS, *")]}"), last).otherwise("")
+    runs = runs.withColumn("sign", sign).withColumn("step", F.when(F.col("sign").isin(*_SIGNS), 1).when(F.col("sign") != "", -1).otherwise(0))
+    body = F.expr("substring(run, 1, length(run) - length(sign))")
+    deep = runs.select("file_id", "language", "pos", "sign", "step", body.alias("body"), (F.sum("step").over(Window.partitionBy("file_id").orderBy("pos")) - F.col("step")).alias("level"))
+    opens = F.col("step") == 1
+    here = F.struct("level", F.lit(0).alias("begins"), F.lit("").alias("opener"), F.when(F.col("step") == -1, F.col("sign")).otherwise("").alias("closer"), F.when(opens, F.concat("body", F.translate("sign", _SIGNS, _PLACES))).otherwise(F.col("body")).alias("part"))
+    inner = F.struct((F.col("level") + 1).alias("level"), F.lit(1).alias("begins"), F.col("sign").alias("opener"), F.lit("").alias("closer"), F.lit("").alias("part"))
+    both = deep.select("file_id", "language", "pos", F.explode(F.when(opens, F.array(here, inner)).otherwise(F.array(here))).alias("e")).select("file_id", "language", "pos", "e.*")
+    inside = Window.partitionBy("file_id", "level").orderBy("pos", "begins")
+    numbered = both.withColumn("grp", F.sum("begins").over(inside))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "begins", "part"))), lambda x: x["part"])
+    return numbered.groupBy("file_id", "language", "level", "grp").agg(F.max("opener").alias("opener"), F.max("closer").alias("closer"), F.array_join(parts, "").alias("letters"))
 
-    return source.mapInArrow(run, "file_id bigint, pos int, language string, letter string, following string, bracket int, context string")
 
+def flagged(files: DataFrame) -> DataFrame:
+    """file_id of the files whose tokens don't follow the grammar of their language."""
+    found = settle(shapes(files))  # lexed once, read for the pairs and for the groups
+    machines = files.sparkSession.sparkContext.broadcast(_pickled())  # of a fixed size: the grammars'
 
-def _frame(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string())
-    names = ["file_id", "pos", "language", "letter", "following", "bracket", "context"]
-    return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows), kinds)], names=names)
+    @F.pandas_udf(T.BooleanType())
+    def valid(language: pd.Series, opener: pd.Series, letters: pd.Series) -> pd.Series:
+        if not _known:
+            _known.update(pickle.loads(machines.value))
+        return pd.Series([group_valid(k, c, x) for k, c, x in zip(language, opener, letters)], dtype=bool)
 
+    each = groups(found)
+    closed = F.when(F.col("level") == 0, F.col("closer") == "").otherwise((F.col("level") > 0) & (F.col("closer") != "") & (F.translate("opener", _SIGNS, _CLOSERS) == F.col("closer")))
+    broken = each.where(~closed | ~valid("language", "opener", "letters")).select("file_id")
+    # a file without any token has no group; whether it may be empty is for the grammar to say
+    empty = found.where("shape = ''").where(~valid("language", F.lit(""), "shape")).select("file_id")
+    return odd_pairs(found).unionAll(broken).unionAll(empty).distinct()
 
-def invalid_files(files: DataFrame) -> DataFrame:
-    """(file_id, path, root_id, language) of the files that aren't valid."""
-    spark = files.sparkSession
-    rows = tokens(files)
-    pairs = spark.createDataFrame([(k, a, b) for k in LANGUAGES for a, b in sorted(permitted_pairs(k))], "language string, letter string, following string")  # of a fixed size: the grammars'
-    odd = rows.where("following <> ''").join(F.broadcast(pairs), ["language", "letter", "following"], "left_anti").select("file_id").distinct()
-
-    file = Window.partitionBy("file_id").orderBy("pos")
-    deep = rows.drop("following").where("letter not in ('^', '$')").withColumn("after", F.sum("bracket").over(file))
-    level = deep.withColumn("level", F.when(F.col("bracket") == 1, F.col("after") - 1).otherwise(F.col("after")))
-    # an opening bracket stands for its group where it is, and begins the group one level further in
-    shown = F.when(F.col("bracket") == 1, F.translate("letter", "([{", "PKZ")).when(F.col("bracket") == -1, "").otherwise(F.col("letter"))
-    begin = F.struct((F.col("level") + 1).alias("level"), F.lit(1).alias("begins"), F.lit("").alias("shown"), F.lit("").alias("sign"), F.lit(0).alias("closes"), F.col("context"))
-    here = F.struct(F.col("level"), F.lit(0).alias("begins"), shown.alias("shown"), F.col("letter").alias("sign"), F.when(F.col("bracket") == -1, 1).otherwise(0).alias("closes"), F.lit("").alias("context"))
-    both = level.select("file_id", "language", "pos", F.explode(F.when(F.col("bracket") == 1, F.array(here, begin)).otherwise(F.array(here))).alias("e")).select("file_id", "language", "pos", "e.*")
-    inside = Window.partitionBy("file_id", "level").orderBy("pos", "begins")
-    matched = F.when(F.col("closes") == 1, F.coalesce(F.translate(F.lag("sign").over(inside), "([{", ")]}") == F.col("sign"), F.lit(False))).otherwise(True)
-    grouped = both.withColumn("matched", matched).withColumn("grp", F.sum("begins").over(inside))
-    reduced = grouped.groupBy("file_id", "language", "level", "grp").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "shown"))), lambda x: x["shown"]), "").alias("letters"),
-        F.max("context").alias("context"), F.min("matched").alias("matched"), (F.sum("closes")).alias("closed"), F.sum(F.when(F.col("sign").isin("(", "[", "{"), 1).otherwise(0)).alias("opened"),
-    )
 
-    @F.pandas_udf(T.BooleanType())
-    def valid(language: pd.Series, context: pd.Series, letters: pd.Series) -> pd.Series:
-        return pd.Series([group_valid(k, c, x) for k, c, x in zip(language, context, letters)], dtype=bool)
+def invalid_files(files: DataFrame) -> DataFrame:
+    """(file_id, path, root_id, language) of the files that aren't valid.
 
-    broken = reduced.where(~F.col("matched") | (F.col("level") < 0) | (F.col("closed") != F.col("opened")) | ~valid("language", "context", "letters")).select("file_id").distinct()
-    flagged = odd.unionAll(broken).distinct()
+    The exact parsers see the flagged files only: their ids are settled before the contents are joined.
+    """
+    bad = settle(flagged(files))
 
     @F.pandas_udf(T.BooleanType())
     def stands(language: pd.Series, content: pd.Series) -> pd.Series:
         return pd.Series([parses(k, x or "") is not True for k, x in zip(language, content)], dtype=bool)
 
-    found = files.select("file_id", "path", "root_id", language_of("path").alias("language"), "content").join(flagged, "file_id")
-    return found.where(stands("language", "content")).select("file_id", "path", "root_id", "language")
+    found = files.select("file_id", "path", "root_id", language_of("path").alias("language"), "content").join(bad, "file_id")
+    exact = F.col("language").isin("py", "json", "toml")
+    return found.where(~exact | stands("language", F.when(exact, F.col("content")))).select("file_id", "path", "root_id", "language")
 
 
 def invalid_rates(files: DataFrame) -> DataFrame:

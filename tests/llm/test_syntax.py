@@ -30,23 +30,24 @@ BROKEN = {
 def judged(language, text):
     """The whole chain for one file, without Spark."""
     pairs = S.permitted_pairs(language)
-    tokens = lex(text, language)
-    if any((a[0], b[0]) not in pairs for a, b in zip(tokens, tokens[1:])):
+    shape = lex(text, language)
+    plain = "^" + shape.translate(str.maketrans("<%", "({")) + "$"
+    if any((a, b) not in pairs for a, b in zip(plain, plain[1:])):
         return False
-    stack = [("t", [], "")]
-    for letter, bracket, context, _ in tokens[1:-1]:
-        if bracket == 1:
-            stack[-1][1].append({"(": "P", "[": "K", "{": "Z"}[letter])
-            stack.append((context, [], letter))
-        elif bracket == -1:
-            if len(stack) < 2 or "([{".index(stack[-1][2]) != ")]}".index(letter):
+    stack = [("", [])]
+    for letter in shape:
+        if letter in "([{<%":
+            stack[-1][1].append({"(": "P", "[": "K", "{": "Z", "<": "P", "%": "Z"}[letter])
+            stack.append((letter, []))
+        elif letter in ")]}":
+            if len(stack) < 2 or {"(": ")", "<": ")", "[": "]", "{": "}", "%": "}"}[stack[-1][0]] != letter:
                 return False
-            c, inner, _ = stack.pop()
-            if not S.group_valid(language, c, "".join(inner)):
+            opener, inner = stack.pop()
+            if not S.group_valid(language, opener, "".join(inner)):
                 return False
         else:
             stack[-1][1].append(letter)
-    return len(stack) == 1 and S.group_valid(language, "t", "".join(stack[0][1]))
+    return len(stack) == 1 and S.group_valid(language, "", "".join(stack[0][1]))
 
 
 @pytest.mark.parametrize("language,text", [(k, t) for k, v in VALID.items() for t in v])
