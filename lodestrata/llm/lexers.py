@@ -4,7 +4,8 @@ A lexer gives a string with one letter a token.  The class ``!`` is a lexical
 error: an unfinished string or comment, a character or number that the language
 doesn't have, an indentation that fits no block.  Brackets stand for themselves,
 but for Go's ``<``, a parenthesis that opens parameters, and ``%``, a brace that
-opens fields; they close with ``)`` and ``}``.
+opens fields, and for the ``~`` of JavaScript and TypeScript, a brace that begins
+a statement, so a block and no object; they close with ``)`` and ``}``.
 """
 
 from __future__ import annotations
@@ -116,7 +117,7 @@ def _brace(text: str, language: str) -> list[str]:
                 depth -= 1
             put("%" if letter == "{" and last == "C" else "<" if letter == "(" and (last == "F" or before == "F" or last == ")") else letter)
         else:
-            put(letter)
+            put("~" if letter == "{" and script and last in "^t" else letter)
         if letter == "t":
             contextual = False
         before, last, newline = last, letter, False

@@ -148,9 +148,9 @@ def language_of(path: str | Column) -> Column:
 
 
 #: Brackets as the lexers write them: what they look like in a file, and the class of their group.
-_SIGNS, _LOOKS, _PLACES = "([{<%", "([{({", "PKZPZ"
-_CLOSERS = ")]})}"
-_RUN = r"[^()\[\]{}<%]*[()\[\]{}<%]|[^()\[\]{}<%]+$"
+_SIGNS, _LOOKS, _PLACES = "([{<%~", "([{({{", "PKZPZZ"
+_CLOSERS = ")]})}}"
+_RUN = r"[^()\[\]{}<%~]*[()\[\]{}<%~]|[^()\[\]{}<%~]+$"
 
 
 def shapes(files: DataFrame) -> DataFrame:
