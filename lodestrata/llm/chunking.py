@@ -6,9 +6,11 @@ fenced code (lines), tables (rows), lists (nested items) and paragraphs
 that doesn't are merged with their siblings bottom-up as long as they fit.
 
 Defined results: a null text counts as empty; exact duplicates of a section
-give one set of pieces; a null or empty ``heading_path`` adds nothing; a
-heading path longer than half the limit keeps its innermost entries that fit; a
-run without any boundary is cut at the limit.
+give one set of pieces; a null or empty ``heading_path`` adds nothing; every
+piece carries the whole heading path, and where that leaves less than a tenth of
+the limit for text, the path is put in front of the text with a line break and
+cut with it, so nothing of it is lost; a run without any boundary is cut at the
+limit.
 """
 
 from __future__ import annotations
@@ -130,7 +132,8 @@ def tree(text: str) -> Node:
 
 def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     """(start, end, overlapped characters) of the pieces; start lies so many characters before the piece's own text."""
-    budget = max(1, limit - overlap)
+    overlap = min(overlap, limit // 4)
+    budget = limit - overlap
 
     def spans(node: Node) -> list[tuple[int, int]]:
         if node.end - node.start <= budget:
@@ -198,12 +201,11 @@ def section_pieces(sections: DataFrame, limit: int = LIMIT, overlap: int = OVERL
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
-                heading = r[3]
-                while len(heading) + 1 > limit // 2 and " > " in heading:
-                    heading = heading.split(" > ", 1)[1]
-                heading = heading[-(limit // 2 - 1) :] if len(heading) + 1 > limit // 2 else heading
-                found = cut(r[4], limit - (len(heading) + 1 if heading else 0), overlap)
-                rows += [(r[0], r[1], r[2], k, len(found), r[5], heading, a, b, o, r[4][a:b]) for k, (a, b, o) in enumerate(found)]
+                heading, text = r[3], r[4]
+                if heading and limit - len(heading) - 1 < limit // 10:  # no room beside it
+                    heading, text = "", f"{heading}\n{text}"
+                found = cut(text, limit - (len(heading) + 1 if heading else 0), overlap)
+                rows += [(r[0], r[1], r[2], k, len(found), r[5], heading, a, b, o, text[a:b]) for k, (a, b, o) in enumerate(found)]
             out = pd.DataFrame(rows, columns=["section_id", "document_id", "position", "piece", "n_pieces", "section_chars", "heading", "start_char", "end_char", "overlap_chars", "text"])
             out["position"] = out["position"].astype("Int64")
             yield out
@@ -214,5 +216,5 @@ def section_pieces(sections: DataFrame, limit: int = LIMIT, overlap: int = OVERL
 
 
 def oversized_sections(sections: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """The distinct sections that had to be cut."""
-    return section_pieces(sections, limit, overlap, oversized_only=True).where(F.col("section_chars") > limit).select("section_id").distinct()
+    """The distinct sections that the cutter had to take apart."""
+    return section_pieces(sections, limit, overlap, oversized_only=True).where("n_pieces > 1").select("section_id").distinct()

@@ -97,16 +97,6 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capac
     return source.mapInPandas(run, f"_id {kind}, piece int, n_pieces int, start_char int, end_char int, n_tokens int").withColumnRenamed("_id", id_col)
 
 
-def oversized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, **tokenizer: str) -> DataFrame:
-    """Ids of the texts that alone exceed a container.
-
-    A byte-level vocabulary never has more tokens than bytes, so only texts of
-    more bytes than the capacity are measured.
-    """
-    long = df.where(F.octet_length(text_col) > capacity)
-    return measure(long, id_col, text_col, capacity, **tokenizer).where("n_pieces > 1").select(id_col).distinct()
-
-
 class _Lengths:
     """Availability counts of lengths, with lookups of single, pair and triple sums."""
 
@@ -233,3 +223,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
         F.expr("cast(first + (rank - rank_from) % per as int)").alias("position"),
         id_col, "piece", "n_pieces", "start_char", "end_char", "n_tokens",
     )
+
+
+def oversized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, **tokenizer: str) -> DataFrame:
+    """Ids of the texts of which the packing holds more than one piece."""
+    return pack(df, id_col, text_col, capacity, **tokenizer).where("n_pieces > 1").select(id_col).distinct()

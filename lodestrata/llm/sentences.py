@@ -1,11 +1,20 @@
 """Sentence units for documents in any language and script (problem 9).
 
-Boundaries follow the character-property rules of Unicode Standard Annex 29
-(classes ``STerm``, ``ATerm``, ``Close``, ``SContinue``, ``Numeric``, ``Lower``,
-``Upper``, ``OLetter``), read from the ``regex`` module's property tables, so
-every script's own terminator works.  On top of them come abbreviation
-suppression per language, quotation handling and the block rules of the corpus
-(blank lines, headings, list items).
+Boundaries follow the sentence rules of Unicode Standard Annex 29, with the
+character classes read from the ``regex`` module's property tables, so every
+script's own terminator works:
+
+* SB3, SB4: blank lines, headings and list items separate; a single line break is a blank.
+* SB5: format characters and marks are passed over where words are looked up.
+* SB6: no break between a full stop and a figure; SB7: nor in ``U.S``, nor in dotted names.
+* SB8: a lower-case start doesn't suppress a break after a full stop, unless the word before
+  may be an abbreviation; the data begin sentences in lower case, so this rule is tailored.
+* SB8a: no break before what continues a sentence (``SContinue``, another terminator).
+* SB9 to SB11: closing quotes and brackets and blanks belong to the sentence before; then it breaks.
+
+Tailorings for languages suppress breaks after their abbreviations, for quotations
+keep what is inside one in its sentence, for Greek take ``;`` as a terminator, and
+for Thai, Lao and Khmer take blanks as separators.
 
 Defined results: a null, empty or blank text has no units; repeated rows give
 repeated units; a text of any length is processed whole.
@@ -28,7 +37,7 @@ NEVER_FINAL = {
     "de": "hr fr dr prof dipl ing nr bzw ca vgl abb abs bd evtl ggf inkl max min sog str tel z.b d.h u.a i.d.r s.o s.u z.t",
     "fr": "m mm mme mmes mlle mlles dr pr env fig p.ex c.-à-d vol art chap éd réf tél",
     "es": "sr sra sres sras srta dr dra d dña prof núm aprox fig pág págs vol art cap p.ej ee ud uds tel",
-    "ru": "рис стр см гл табл напр т.е ул г-н г-жа проф акад им",
+    "ru": "ок рис стр см гл табл напр т.е ул г-н г-жа проф акад им",
     "el": "κ κα κος π.χ δηλ σελ αρ βλ κεφ",
     "ar": "د أ ص ج",
     "hi": "डॉ श्री प्रो",
@@ -55,15 +64,15 @@ _TOKEN = regex.compile(
     r"|(?P<term>[\p{SB=STerm}\p{SB=ATerm}…‥;;](?:[  ]?[\p{SB=STerm}\p{SB=ATerm}…‥])*)"
 )
 _STERM = regex.compile(r"[\p{SB=STerm}]")
-_WORD_BEFORE = regex.compile(r"[\p{L}\p{M}](?:[\p{L}\p{M}\p{Cf}]|[.\-](?=[\p{L}\p{M}]))*\Z")
-_ABBR_PAIR = regex.compile(r"(?:^|[^\p{L}])(\p{L}\.\s?\p{L})\Z")
+_WORD_BEFORE = regex.compile(r"[\p{L}\p{M}](?:[\p{L}\p{M}\p{Cf}]|[.\-]{1,2}(?=[\p{L}\p{M}]))*\Z")
+_ABBR_PAIR = regex.compile(r"(?:^|[^\p{L}])(\p{L}\.\s?\p{L}{1,4})\Z")
 _CODE_LIKE = regex.compile(r"(?:`|[^\s`]*[_/]|\p{Ll}+-\p{L}|\p{Ll}+\d|\p{Ll}+\p{Lu})")
 _LAST_TOKEN = regex.compile(r"\S+\Z")
 _GREEK, _THAI = regex.compile(r"\p{Greek}"), regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}]")
 _LETTER = regex.compile(r"\p{L}")
 _BLANK, _FORMAT, _FIRST_WORD = regex.compile(r"\s"), regex.compile(r"\p{Cf}"), regex.compile(r"\p{L}*")
 _DOTTED = regex.compile(r"(?:\p{L}\.)+\p{L}")
-_ONE_LETTER, _FIGURE_END = regex.compile(r"[^\p{L}\d]*\p{L}"), regex.compile(r"\d\.\d+%?\Z")
+_LETTER_OR_FIGURE, _FIGURE_END = regex.compile(r"[\p{L}\d]"), regex.compile(r"\d\.\d+%?\Z")
 _NEW_SENTENCE = regex.compile(r"\p{Lu}[\p{L}\p{M}]*(?:['’]\p{L}+)?(?:[ ,.\n…:]|\Z)|\p{Lu}\p{Ll}+\p{Lu}")
 _WORD_END = regex.compile(r"\p{L}[\p{L}\p{M}]\Z|\d\Z")
 _HAN, _BOUND_HYPHEN, _CHUNK = regex.compile(r"\p{Han}"), regex.compile(r"-\S"), regex.compile(r"\S+")
@@ -98,18 +107,20 @@ def _matched(par: str) -> dict[int, int]:
 
 def _final_dot(par: str, start: int, nxt: int) -> bool:
     """Whether a lone full stop at ``start`` ends a sentence, given that a blank follows; ``nxt`` is the next character's place."""
-    head, c = par[max(0, start - 40) : start], par[nxt]
-    following = par[nxt : nxt + 24]
-    plain_lower = c.islower() and not _CODE_LIKE.match(following)
+    head, c = par[max(0, start - 40) : start], par[nxt]  # no abbreviation is longer, and a chain of initials ends as it goes on
+    plain_lower = c.islower() and not _CODE_LIKE.match(par, nxt)
     m = _WORD_BEFORE.search(head)
     if m is None:
         if head[-1:].isdigit():  # an ordinal in front of a month
             number = _LAST_TOKEN.search(head).group()
-            return not (len(number) <= 2 and number.isdigit() and _FIRST_WORD.match(following).group().lower() in _MONTH)
+            return not (len(number) <= 2 and number.isdigit() and _FIRST_WORD.match(par, nxt).group().lower() in _MONTH)
         return True
     word = (m.group() if m.group().isascii() else _FORMAT.sub("", m.group())).lower()
     pair = _ABBR_PAIR.search(head)
-    if pair and _BLANK.sub("", pair.group(1)).lower() in _MAYBE:
+    both = _BLANK.sub("", pair.group(1)).lower() if pair else ""
+    if both in _NEVER:
+        return False
+    if both in _MAYBE:
         return not plain_lower
     if word in _MAYBE:
         return not plain_lower
@@ -122,20 +133,38 @@ def _final_dot(par: str, start: int, nxt: int) -> bool:
     return not ("." in word and _DOTTED.fullmatch(word))  # U.S., e.g.
 
 
-def _joined_dot(par: str, start: int, nxt: int) -> bool:
+class _Token:
+    """What is known of the run of non-blanks that a place lies in; places are asked for in ascending order."""
+
+    def __init__(self, par: str) -> None:
+        self.par, self.runs = par, _CHUNK.finditer(par)
+        self.start = self.end = 0
+
+    def at(self, place: int) -> "_Token":
+        while self.end < place:
+            m = next(self.runs)
+            self.start, self.end = m.span()
+            dot, slash = self.par.find(".", *m.span()), self.par.find("/", *m.span())
+            self.dot, self.slash = dot if dot >= 0 else self.end, slash if slash >= 0 else self.end
+            first = _LETTER_OR_FIGURE.search(self.par, *m.span())
+            self.first = first.start() if first else self.end
+        return self
+
+
+def _joined_dot(par: str, start: int, nxt: int, token: _Token) -> bool:
     """Whether a full stop without a blank behind it ends a sentence."""
-    c = par[nxt]
-    token = _LAST_TOKEN.search(par[max(0, start - 80) : start])
-    before = token.group() if token else ""
-    last = before[-1:]
-    if not before or _ONE_LETTER.fullmatch(before):
+    c, last = par[nxt], par[start - 1 : start]
+    if not last or last.isspace():
+        return False
+    run = token.at(start)
+    if run.first == start - 1 and _LETTER.match(last):  # one letter
         return False
     if last == "." or _final_dot(par, start, nxt) is False:
         return False
-    if "." in before and "/" not in before and not _FIGURE_END.search(before) and last not in "`)\"»”":
+    if run.dot < start and run.slash >= start and not _FIGURE_END.search(par, max(run.start, start - 40), start) and last not in "`)\"»”":
         return False  # a dotted name
     if c.isupper():
-        return _NEW_SENTENCE.match(par[nxt : nxt + 40]) is not None and (_WORD_END.search(before) is not None or last in "`%)»”\"")
+        return _NEW_SENTENCE.match(par, nxt) is not None and (_WORD_END.search(par, max(run.start, start - 40), start) is not None or last in "`%)»”\"")
     if c in "`¿¡«“„\"":
         return last.isalnum() or last in "`%)"
     if c == "(":
@@ -151,7 +180,7 @@ def _ends(par: str) -> Iterator[int]:
     closed_by = {v: k for k, v in closing.items()}
     greek = not par.isascii() and _GREEK.search(par) is not None and len(_GREEK.findall(par)) * 3 > len(_LETTER.findall(par))
     depth, n = 0, len(par)
-    skip = 0
+    skip, token = 0, _Token(par)
     for m in _TOKEN.finditer(par):
         kind, s, e = m.lastgroup, m.start(), m.end()
         if s < skip:
@@ -195,7 +224,7 @@ def _ends(par: str) -> Iterator[int]:
         strong = bool(_STERM.search(marks)) or marks[0] in ";;"
         if _CONTINUES.match(c) and not (c == "-" and _BOUND_HYPHEN.match(par[nxt : nxt + 2])):
             continue
-        lower = c.islower() and not _CODE_LIKE.match(par[nxt : nxt + 24])
+        lower = c.islower() and not _CODE_LIKE.match(par, nxt)
         if (quoted or bracketed) and (lower or (not blank and _LETTER.match(c) and not c.isupper() and not _HAN.match(c))):
             continue
         if not strong:
@@ -206,7 +235,7 @@ def _ends(par: str) -> Iterator[int]:
                 if marks in "．。":
                     if par[s - 1 : s].isdigit() and c.isdigit():
                         continue
-                elif not (_final_dot(par, s, nxt) if blank else _joined_dot(par, s, nxt)):
+                elif not (_final_dot(par, s, nxt) if blank else _joined_dot(par, s, nxt, token)):
                     continue
             elif not blank and c.isdigit():
                 continue

@@ -39,4 +39,15 @@ def test_sections(spark):
     a = sorted((r for r in out if r.section_id == "a"), key=lambda r: r.piece)
     assert len(a) == a[0].n_pieces and "".join(r.text[r.overlap_chars :] for r in a) == long
     assert {r.section_id for r in K.oversized_sections(df).collect()} == {"a", "e", "g"}
+    e = sorted((r for r in out if r.section_id == "e"), key=lambda r: r.piece)
+    assert "".join(r.text[r.overlap_chars :] for r in e) == "x" * 3000 + "\n" + long
+
+
+def test_long_heading_stays_whole(spark):
+    df = spark.createDataFrame([("a", "d", ["h" * 1500, "last"], 1, "One sentence here. " * 60, None, 0), ("b", "d", ["h" * 1990], 1, "y" * 20, None, 0)], "id string, document_id string, heading_path array<string>, depth int, text string, summary string, position int")
+    out = K.section_pieces(df).collect()
+    a = [r for r in out if r.section_id == "a"]
+    assert {r.heading for r in a} == {"h" * 1500 + " > last"} and all(len(r.heading) + 1 + len(r.text) <= 2000 for r in a)
+    assert sorted(len(r.text) for r in out if r.section_id == "b") and sum(r.section_id == "b" for r in out) == 2
+    assert {r.section_id for r in K.oversized_sections(df).collect()} == {"a", "b"}
     assert K.section_pieces(df.limit(0)).count() == 0

@@ -8,6 +8,7 @@ CASES = [
     ("No. 107 in the list is stale, cf. Route. rustc-style names stay.", 2), ("It lists turns, sessions, etc. By default it waits.", 2), ("Удалённые векторы, ссылки и т. д. убирает `x`. См. рис. 2.", 2), ("Die Prüfung läuft z. B. nach jedem Start. Am 3. März kam sie, usw. Bitte nicht!", 3),
     ("記録には「節が古い。作り直すこと。」と残っていた。本当に必要なのか？！", 2), ("日志写着“章节已过期。请重建。”，然后继续运行。版本2.0的预算是3.5倍。", 2), ("Γιατί σταματά το `x` στο 1.20; Μην αλλάζετε το a.md!", 2), ("ทำไมจึงหยุดที่723 ดัชนีเก็บส่วน", 2),
     ("기록에는 \"절이 오래됨. 다시 만들 것.\"이라고 남았다. 왜 멈추나요?", 2), ("سؤال؟ جواب.", 2), ("सूचकांक में 78 खंड हैं। अगला।", 2), ("Pourquoi `x` s'arrête-t-il à 0.5% ? Mme Velm compte 3,5 % de doublons.", 2), ("See https://docs.example.org/a/b.html. Then go.", 2), ("(It waits 5 s (max. 9 s).) Next one.", 2), ("The U.S. mirror at 7:14 p.m. the count fell.", 1),
+    ("Certains appels, p. ex. `x_y`, ne passent jamais. Non !", 2), ("Guarda 7 en memoria, p. ej. las de lib/xy. Sí.", 2), ("En mémoire, c.-à-d. environ 3 Mo. Il faut 2.", 2), ("Насчитал ок. 121 фрагментов. Да.", 2), ("See lib/" + "a" * 90 + ".b.Next one", 1), ("Call " + "a" * 60 + "_box. then go", 2),
 ]
 
 
