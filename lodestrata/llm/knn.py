@@ -20,6 +20,7 @@ the least array counts; ties, at twelve digits of the cosine, go to the lesser i
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +33,12 @@ from lodestrata.session import settle, spread
 
 TABLES, FUNCTIONS, WIDTH, PROBES = 16, 16, 2.0, 10
 CELL_CAP = 2000
-BLOCK = 8192
+#: Entries of the vectors of one side that a task compares: 131,072 vectors of 64.
+BLOCK_ENTRIES = 1 << 23
+#: What a product in single precision of unit vectors is off by, at most.
+MARGIN = 2e-5
 #: Cosines that are equal when rounded so are ties: one direction at different norms differs by less.
-TIE_DIGITS, TIE = 12, 1e-12
+TIE_DIGITS = 12
 SEED = 20
 
 
@@ -139,39 +143,57 @@ def _pairs(own: DataFrame, looks: DataFrame, bits: int) -> DataFrame:
     return a.join(b, (F.col("a.key") == F.col("b.key")) & near).select(F.least("a.id", "b.id").alias("x"), F.greatest("a.id", "b.id").alias("y"))
 
 
-def _block_pairs(asking: DataFrame, asked: DataFrame, k: int, min_cosine: float) -> DataFrame:
-    """(x, y) of exact comparisons of all points that ask with all that are asked, in blocks by matrix products."""
-    n_asking, n_asked = asking.count(), asked.count()
-    na, nb = -(-n_asking // BLOCK), -(-n_asked // BLOCK)
-    block = "cast(pmod(xxhash64(id), {0}) as int)"
-    left = asking.select(F.expr(block.format(na)).alias("i"), F.explode(F.expr(f"sequence(0, {nb - 1})")).alias("j"), F.lit(0).alias("side"), "id", "vector")
-    right = asked.select(F.explode(F.expr(f"sequence(0, {na - 1})")).alias("i"), F.expr(block.format(nb)).alias("j"), F.lit(1).alias("side"), "id", "vector")
-
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id")
-        unit, ids, side = _unit(part["vector"]), part["id"].to_numpy(), part["side"].to_numpy()
-        rows, columns = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        xs, ys, ss = [], [], []
-        keep = min(k + 1, len(columns))  # one may be the point itself
-        for at in range(0, len(rows) if keep else 0, 256):
-            r = rows[at : at + 256]
-            s = unit[r] @ unit[columns].T
-            least = np.partition(s, len(columns) - keep, axis=1)[:, len(columns) - keep]
-            # all that tie with the last one kept, in the order of row, score, id; only then the cut
-            q, c = np.nonzero(s >= np.maximum(least - 2 * TIE, min_cosine - 1e-9)[:, None])
-            score = np.round(s[q, c], TIE_DIGITS)
-            other = ids[r][q] != ids[columns][c]
-            q, c, score = q[other], c[other], score[other]
+def _nearest(asking: np.ndarray, asked: np.ndarray, keep: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of asking, row of asked, cosine) of each asking unit vector's best; ties go to the earlier row of asked.
+
+    Products in single precision pass only what may be among the best so far; that is scored in double precision.
+    """
+    small_q, small_c = asking.astype(np.float32), asked.astype(np.float32)
+    out = []
+    for at in range(0, len(asking), 1024):
+        q32 = small_q[at : at + 1024]
+        floor = np.full(len(q32), least - MARGIN, dtype=np.float32)
+        q, c, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for ct in range(0, len(asked), 4096):
+            s = q32 @ small_c[ct : ct + 4096].T
+            if ct == 0 and keep < s.shape[1]:
+                floor = np.maximum(floor, np.partition(s, s.shape[1] - keep, axis=1)[:, s.shape[1] - keep] - MARGIN)
+            i, j = np.nonzero(s >= floor[:, None])
+            exact = [np.einsum("ij,ij->i", asking[at + i[x : x + 100_000]], asked[ct + j[x : x + 100_000]]) for x in range(0, len(i), 100_000)]
+            q, c, score = np.concatenate((q, i)), np.concatenate((c, ct + j)), np.concatenate((score, *(np.round(e, TIE_DIGITS) for e in exact)))
             order = np.lexsort((c, -score, q))
             q, c, score = q[order], c[order], score[order]
-            first = np.arange(len(q)) - np.searchsorted(q, q) < k
-            xs.append(ids[r][q[first]])
-            ys.append(ids[columns][c[first]])
-            ss.append(score[first])
-        x, y, s = (np.concatenate(v) if v else np.empty(0, dtype=t) for v, t in ((xs, "int64"), (ys, "int64"), (ss, "float64")))
-        return pd.DataFrame({"x": x, "y": y, "s": s})
-
-    found = left.unionByName(right).groupBy("i", "j").applyInPandas(compare, "x bigint, y bigint, s double")
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            last = place == keep - 1
+            floor[q[last]] = np.maximum(floor[q[last]], score[last] - MARGIN)
+            q, c, score = q[place < keep], c[place < keep], score[place < keep]
+        good = score >= least
+        out.append((at + q[good], c[good], score[good]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+
+def _block_pairs(asking: DataFrame, asked: DataFrame, dimension: int, k: int, min_cosine: float) -> DataFrame:
+    """(x, y) of exact comparisons of all points that ask with all that are asked, in blocks by matrix products."""
+    cores = asking.sparkSession.sparkContext.defaultParallelism
+    block = max(1024, BLOCK_ENTRIES // dimension)
+    blocks = lambda n: max(1, min(n, max(-(-n // block), math.isqrt(2 * cores))))
+    na, nb = blocks(asking.count()), blocks(asked.count())
+    part = "cast(pmod(xxhash64(id), {0}) as int)"
+    left = asking.select(F.expr(part.format(na)).alias("i"), F.explode(F.expr(f"sequence(0, {nb - 1})")).alias("j"), F.lit(0).alias("side"), "id", "vector")
+    right = asked.select(F.explode(F.expr(f"sequence(0, {na - 1})")).alias("i"), F.expr(part.format(nb)).alias("j"), F.lit(1).alias("side"), "id", "vector")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        ids, side = rows["id"].to_numpy(), rows["side"].to_numpy()
+        unit = _unit(rows["vector"])
+        asks, others = ids[side == 0], ids[side == 1]
+        q, c, score = _nearest(unit[side == 0], unit[side == 1], k + 1, min_cosine)  # one may be the point itself
+        x, y = asks[q], others[c]
+        q, x, y, score = q[x != y], x[x != y], y[x != y], score[x != y]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return pd.DataFrame({"x": x[first], "y": y[first], "s": score[first]})
+
+    found = left.unionByName(right).repartition(na * nb, "i", "j").groupBy("i", "j").applyInPandas(compare, "x bigint, y bigint, s double")
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("s"), "y"))).where(F.col("r") <= k)
     return best.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
@@ -197,7 +219,7 @@ def similar_pairs(points: DataFrame, dimension: int, k: int = 5, min_cosine: flo
         found = _pairs(own.join(side, "key", "left_anti"), looks.join(side, "key", "left_anti"), bits)
         asked = settle(own.join(side, "key", "left_semi").select("id").distinct().join(points, "id"))
         asking = settle(looks.join(side, "key", "left_semi").select("id").distinct().join(points, "id"))
-        found = found.unionAll(_block_pairs(asking, asked, k, min_cosine))
+        found = found.unionAll(_block_pairs(asking, asked, dimension, k, min_cosine))
     return _scored(points, found).where(F.col("cosine") >= min_cosine)
 
 
@@ -228,7 +250,7 @@ def neighbours(points: DataFrame, dimension: int, k: int = 5, min_cosine: float
         near = settle(near)
         full = near.select(F.explode(F.array("x", "y")).alias("id")).groupBy("id").count().where(F.col("count") >= k)
         short = settle(reps.join(full.select("id"), "id", "left_anti"))
-        near = near.unionByName(_scored(reps, _block_pairs(short, reps, k, -2.0).join(near, ["x", "y"], "left_anti")))
+        near = near.unionByName(_scored(reps, _block_pairs(short, reps, dimension, k, -2.0).join(near, ["x", "y"], "left_anti")))
     both = settle(near.select(F.col("x").alias("class"), F.col("y").alias("other"), "cosine").unionAll(near.select(F.col("y").alias("class"), F.col("x").alias("other"), "cosine")))
     tied = F.round("cosine", TIE_DIGITS).desc()
     order = Window.partitionBy("class").orderBy(tied, "other")
