@@ -5,7 +5,7 @@ credentials in addresses, headers, commands and prose, and values assigned to
 names that mean a secret.  Every literal that may be an encoding (base64, hex,
 percent, backslash escapes) is decoded and scanned again, layer by layer;
 decoded bytes are also read by the grammar of key containers (DER private keys,
-OpenSSH, PKCS#12).  A hit in an inner layer masks the enclosing literal, so the
+OpenSSH, PKCS#12, Java key stores).  A hit in an inner layer masks the enclosing literal, so the
 code around it stays intact.
 
 Defined results: null and empty texts hold nothing; exact duplicate rows give
@@ -53,7 +53,8 @@ _ISSUED = re.compile(
 )
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----")
 _PEM_PUBLIC = re.compile(r"-----BEGIN (?:(?!PRIVATE)[A-Z0-9 ])+-----[\s\S]*?-----END [A-Z0-9 ]+-----")
-_PUTTY = re.compile(r"^PuTTY-User-Key-File-\d", re.M)
+#: Fixed value: the lines of a key file of PuTTY, down to its private part.
+_PUTTY = re.compile(r"^[ \t]*PuTTY-User-Key-File-\d: \S+\r?\n(?:[ \t]*(?:[A-Z][\w\-]*: [^\n]*|[A-Za-z0-9+/=]+)\r?\n)*?[ \t]*Private-Lines: (?P<n>\d+)\r?\n", re.M)
 
 # The last words of names that mean a secret.
 _SECRET_NAME = (
@@ -202,15 +203,63 @@ def _der(data: bytes, at: int) -> tuple[int, int, int] | None:
     return (tag, at, at + length) if at + length <= len(data) else None
 
 
+def _strings(data: bytes, at: int, width: int = 4) -> Iterator[tuple[bytes, int]]:
+    """(bytes, end) of the strings with their length in front that follow one another; stops where one runs past the end."""
+    while at + width <= len(data):
+        end = at + width + int.from_bytes(data[at : at + width], "big")
+        if end > len(data):
+            return
+        yield data[at + width : end], end
+        at = end
+
+
+def _openssh(data: bytes) -> bool:
+    """Cipher, derivation and its options, the number of keys, so many public keys, then one private section."""
+    magic = b"openssh-key-v1\0"
+    if not data.startswith(magic):
+        return False
+    head = [part for _, part in zip(range(3), _strings(data, len(magic)))]
+    if len(head) < 3 or not head[0][0] or not head[1][0]:
+        return False
+    at = head[2][1]
+    n = int.from_bytes(data[at : at + 4], "big")
+    keys = [part for _, part in zip(range(n + 1), _strings(data, at + 4))] if 1 <= n <= len(data) else []
+    return len(keys) == n + 1 and n > 0 and len(keys[-1][0]) >= 16 and len(keys[-1][0]) % 8 == 0 and next(_strings(keys[0][0], 0), (b"", 0))[0].isascii()
+
+
+def _java_store(data: bytes) -> bool:
+    """A Java key store with at least one entry for a private key, the entries being well formed down to it."""
+    if data[:4] not in (bytes.fromhex("feedfeed"), bytes.fromhex("cececece")) or int.from_bytes(data[4:8], "big") not in (1, 2):
+        return False
+    at = 12
+    for _ in range(int.from_bytes(data[8:12], "big")):
+        tag = int.from_bytes(data[at : at + 4], "big")
+        alias = next(_strings(data, at + 4, 2), None)
+        if alias is None:
+            return False
+        at = alias[1] + 8  # its date
+        if tag == 1:
+            key = next(_strings(data, at), None)
+            return key is not None and key[0][:1] == b"\x30"
+        kind = next(_strings(data, at, 2), None) if tag == 2 else None
+        trusted = next(_strings(data, kind[1]), None) if kind else None
+        if trusted is None:
+            return tag == 3 and data[:4] == bytes.fromhex("cececece")  # a secret key, whose length isn't written down
+        at = trusted[1]
+    return False
+
+
 def key_container(data: bytes) -> str | None:
     """The kind of private key container in the bytes, if they follow the grammar of one."""
-    if data.startswith(b"openssh-key-v1\0"):
+    if _openssh(data):
         return "openssh private key"
+    if _java_store(data):
+        return "java key store"
     outer = _der(data, 0)
     if not outer or outer[0] != 0x30 or len(data) < 40:
         return None
     parts, at = [], outer[1]
-    while at < outer[2] and len(parts) < 12:
+    while at < outer[2]:
         e = _der(data[: outer[2]], at)
         if e is None:
             return None
@@ -228,7 +277,8 @@ def key_container(data: bytes) -> str | None:
         return "ec private key"
     if tags == [0x30, 4]:
         inner = _der(data, parts[0][1])
-        if inner and inner[0] == 6 and data[inner[1] : inner[1] + 8] == bytes.fromhex("2a864886f70d0105"):
+        # The identifiers of password-based encryption, PKCS#5 and PKCS#12
+        if inner and inner[0] == 6 and data[inner[1] : inner[1] + 8] in (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c")):
             return "encrypted pkcs8 private key"
     if tags[:2] == [2, 0x30] and first == 3:
         return "pkcs12 store"
@@ -334,16 +384,32 @@ def _wrapped(text: str, depth: int) -> Iterator[tuple[list[tuple[int, int]], tup
                     break
 
 
-def scan(text: str, depth: int = 0) -> list[Finding]:
-    """The secrets of a text, by place; overlapping findings are merged to the first."""
+def _putty_file(text: str, m: re.Match) -> Finding | None:
+    """A key file of PuTTY; its private lines are what is masked."""
+    at, parts = m.end(), []
+    for line in re.compile(r"[ \t]*([A-Za-z0-9+/=]+)[ \t]*(?:\r?\n|\Z)").finditer(text, at):
+        if line.start() != at or len(parts) == int(m.group("n")):
+            break
+        parts.append(line.span(1))
+        at = line.end()
+    return Finding(m.start() + len(m.group()) - len(m.group().lstrip()), m.end(), "private key block", 0, tuple(parts)) if sum(b - a for a, b in parts) >= 40 else None
+
+
+def scan(text: str, depth: int = 0, gated: bool = True) -> list[Finding]:
+    """The secrets of a text, by place; overlapping findings are merged to the first.
+
+    A pattern is tried only where the text has a sign without which it can't match; without ``gated`` all are.
+    """
     if not text:
         return []
     low = text.lower()
-    has = lambda signs: any(x in low for x in signs)
+    has = lambda signs: not gated or any(x in low for x in signs)
     # words long enough to be a value or an encoding, with a figure or mixed cases in them
     words = [w for w in text.split() if len(w) >= 8]
     long = [w for w in words if any(map(str.isdigit, w)) or len(w) >= 12 or not (w.islower() or w.isupper() or w.istitle())]
-    quoted = '"' in text or "'" in text or "`" in text
+    if not gated:
+        long = words = ["x" * 40]
+    quoted = not gated or '"' in text or "'" in text or "`" in text
     named = has(_NAME_SIGNS)
     found: list[Finding] = []
     public = [m.span() for m in _PEM_PUBLIC.finditer(text)] if "-----BEGIN" in text else []
@@ -356,7 +422,11 @@ def scan(text: str, depth: int = 0) -> list[Finding]:
         if block := _pem_block(text, m):
             found.append(block)
             public.append((m.end(), block.rest[-1][1]))
-    for m in _ISSUED.finditer(text) if any(x in text for x in _ISSUED_SIGNS) else ():
+    for m in _PUTTY.finditer(text) if "PuTTY-User-Key-File-" in text else ():
+        if block := _putty_file(text, m):
+            found.append(block)
+            public.append((m.end(), block.rest[-1][1]))
+    for m in _ISSUED.finditer(text) if not gated or any(x in text for x in _ISSUED_SIGNS) else ():
         v = m.group()
         body = re.split(r"[_\-.]", v)[-1]
         if _distinct(v) >= 10 and not re.search(r"(.)\1{7,}", v) and re.search(r"\d|[A-Z]", body + v[4:]) and not _PLACEHOLDER.match(body) and not re.fullmatch(r"(?:sk|key|tok)[-_][a-z\-_]+", v):
@@ -373,8 +443,8 @@ def scan(text: str, depth: int = 0) -> list[Finding]:
             if colon and usable(password):
                 add(*m.span("v"), "basic credentials", layers=depth + 1)
     simple = (
-        (_BEARER, "bearer token", "Bearer" in text or "Token" in text), (_HEADER, "header value", named and ("x-" in low or "private-token" in low or "api-key" in low)), (_NETRC, "login password", "login" in text and "password" in text),
-        (_SHORT_P, "command password", has(_COMMAND_SIGNS)), (_CURL_U, "command password", has(("curl", "wget", "http ")) and ":" in text), (_FLAG, "command password", " --" in text or "\t--" in text),
+        (_BEARER, "bearer token", not gated or "Bearer" in text or "Token" in text), (_HEADER, "header value", named and has(("x-", "private-token", "api-key", "subscription-key"))), (_NETRC, "login password", not gated or "login" in text and "password" in text),
+        (_SHORT_P, "command password", has(_COMMAND_SIGNS)), (_CURL_U, "command password", has(("curl", "wget", "http")) and ":" in text), (_FLAG, "command password", not gated or " --" in text or "\t--" in text),
     )
     for pattern, kind, possible in simple:
         for m in pattern.finditer(text) if possible else ():

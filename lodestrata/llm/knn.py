@@ -158,7 +158,7 @@ def _nearest(asking: np.ndarray, asked: np.ndarray, keep: int, least: float) ->
             s = q32 @ small_c[ct : ct + 4096].T
             if ct == 0 and keep < s.shape[1]:
                 floor = np.maximum(floor, np.partition(s, s.shape[1] - keep, axis=1)[:, s.shape[1] - keep] - MARGIN)
-            i, j = np.nonzero(s >= floor[:, None])
+            i, j = np.divmod(np.flatnonzero(s >= floor[:, None]), s.shape[1])
             exact = [np.einsum("ij,ij->i", asking[at + i[x : x + 100_000]], asked[ct + j[x : x + 100_000]]) for x in range(0, len(i), 100_000)]
             q, c, score = np.concatenate((q, i)), np.concatenate((c, ct + j)), np.concatenate((score, *(np.round(e, TIE_DIGITS) for e in exact)))
             order = np.lexsort((c, -score, q))

@@ -50,7 +50,16 @@ def test_containers():
     integer = lambda b: der(2, b)
     rsa = der(0x30, integer(b"\0") + b"".join(integer(bytes([k]) * 20) for k in range(1, 9)))
     assert C.key_container(rsa) == "rsa private key"
-    assert C.key_container(b"openssh-key-v1\0" + b"x" * 40) == "openssh private key"
+    put = lambda b, width=4: len(b).to_bytes(width, "big") + b
+    public = put(b"ssh-ed25519") + put(b"k" * 32)
+    ssh = b"openssh-key-v1\0" + put(b"none") + put(b"none") + put(b"") + (1).to_bytes(4, "big") + put(public) + put(bytes(range(128)))
+    assert C.key_container(ssh) == "openssh private key"
+    assert C.key_container(b"openssh-key-v1\0junk") is None and C.key_container(ssh[:-5]) is None
+    store = bytes.fromhex("feedfeed") + (2).to_bytes(4, "big") + (2).to_bytes(4, "big")
+    trusted = (2).to_bytes(4, "big") + put(b"ca", 2) + bytes(8) + put(b"X.509", 2) + put(b"\x30\x03abc")
+    own = (1).to_bytes(4, "big") + put(b"me", 2) + bytes(8) + put(der(0x30, bytes(60))) + bytes(4)
+    assert C.key_container(store + trusted + own + bytes(20)) == "java key store"
+    assert C.key_container(store + trusted + trusted + bytes(20)) is None and C.key_container(store + own[:9]) is None
     assert C.key_container(b"\x30\x03\x02\x01\x01") is None
     assert C.scan("blob: " + base64.b64encode(rsa).decode())[0].kind == "rsa private key"
 
@@ -106,3 +115,22 @@ def test_wrapped_and_deep_layers():
         deep = base64.b64encode(deep.encode()).decode()
     assert C.scan(f'x = "{deep}"')[0].layers == 8
     assert C.scan("x = " + "%" + "25" * 700 + "41bcdefgh") == []
+
+
+def test_putty_file():
+    lines = ["AAAAB3NzaC1yc2EAAAADAQABAAABAQ" + "Qk9j" * 8, "VtHc2wLm9Xa7Rb3Yd5" + "Zq1K" * 10, "T0pS8eCr3tPrIvAt3" + "Lm4N" * 9]
+    text = f"notes\nPuTTY-User-Key-File-3: ssh-rsa\nEncryption: none\nComment: c\nPublic-Lines: 1\n{lines[0]}\nPrivate-Lines: 2\n{lines[1]}\n{lines[2]}\nPrivate-MAC: 00\n"
+    found = C.scan(text)
+    assert [(f.kind, text.count("\n", 0, f.start) + 1) for f in found] == [("private key block", 2)]
+    masked = C.redact(text)
+    assert lines[0] in masked and lines[1] not in masked and lines[2] not in masked and masked.count("\n") == text.count("\n")
+    assert C.scan(text.replace("Private-Lines: 2", "Private-Lines: x")) == []
+
+
+def test_signs_are_necessary(spark, data):
+    """What is found with signs looked for first is found without them too, and nothing more."""
+    texts = [r[0] for r in spark.read.parquet(f"{data}/sections.parquet").select("text").distinct().collect() if r[0]]
+    texts += [r[0] for r in spark.read.parquet(f"{data}/symbols.parquet").select("signature").distinct().collect() if r[0]]
+    for t in [*texts, *SECRETS, *PLAIN, "Ocp-Apim-Subscription-Key: 7f3Kq9Zx2LmWb8Rt5Yc1"]:
+        assert C.scan(t) == C.scan(t, gated=False), t
+    assert C.scan("Ocp-Apim-Subscription-Key: 7f3Kq9Zx2LmWb8Rt5Yc1")
