@@ -35,6 +35,25 @@ def test_classes(spark):
     assert "a/lib/copy.py" not in {r.path for r in P.classify(files, upstream.limit(0)).collect()}
 
 
+def test_copies_of_dependencies_in_other_repositories(spark):
+    dep = "".join(f"def helper_{w}(items, limit):\n    return [x * {k} for x in items if x > limit + {k * 7}]\n\n\n" for k, w in enumerate("alpha beta gamma delta epsilon zeta".split(), 1))
+    edited = "# local notes\n" + dep.replace("helper_zeta(items, limit)", "helper_zeta(items, limit, extra)")
+    part = dep[: len(dep) // 2]
+    rows = [(1, "a", "a/vendor/lib/h.py", dep), (2, "b", "b/src/h.py", edited), (3, "c", "c/src/part.py", part), (4, "a", "a/vendor/lib/one.py", "import os\nVALUE = 12345\n"), (5, "c", "c/src/one.py", "import os\nVALUE = 12345\n"), (6, "d", "d/node_modules/h.py", dep), (6, "d", "d/node_modules/h.py", dep), (7, "e", "e/src/own.py", CODE)]
+    files = spark.createDataFrame(rows, "file_id bigint, root_id string, path string, content string")
+    none = spark.createDataFrame([], "upstream_id bigint, pkg string, pkg_version string, content string")
+    got = {r.path for r in P.classify(files, none).collect()}
+    assert got == {"a/vendor/lib/h.py", "b/src/h.py", "a/vendor/lib/one.py", "d/node_modules/h.py"}
+
+
+def test_headers_of_the_file_itself():
+    go = "package a\n\nfunc F(x int) int {\n\treturn x + 1\n}\n"
+    for line in ("// Utilities that inspect files generated by protoc.", "// The tool marks what it wrote with DO NOT EDIT.", "// Reads output that was automatically generated by x.", "// See how the stubs get generated from the schema."):
+        assert P.composition(line + "\n\n" + go, "go") is None, line
+    for line in ("// DO NOT EDIT, made from a.tmpl (the writer tool).", "// This file was automatically generated by x; changes will be lost.", "/* Généré par x */", "// Diese Datei wurde automatisch erzeugt", "// このファイルは自動生成されました", "// Changes to this file will be overwritten."):
+        assert P.composition(line + "\n\n" + go, "go") == "generated", line
+
+
 def test_headers_in_block_comments():
     js = "export function a(x) {\n  return x + 1;\n}\n"
     for head in ("/*\n This file was generated by X.\n Do not edit.\n*/\n", "/* Copyright.\n\n   Code generated by x. */\n", "<!--\n generated by x\n-->\n"):
