@@ -1,8 +1,9 @@
 """Functions paired with their documentation (problem 6).
 
-Headers are parsed with one ambiguous, left-recursive grammar for the
-languages of the corpus, by an error-recovering generalised LL parser; a broken
-header still gives its name and the parameters that can be read.  Of the
+Whole files are parsed by :mod:`items`.  Headers are parsed with one ambiguous,
+left-recursive grammar for the languages of the corpus, by an error-recovering
+generalised LL parser; a broken header still gives its name and the parameters
+that can be read.  Of the
 documentation everything is taken away that the header already says, that is
 markup, or that is a note about documentation; what is left must say something.
 Descriptions that many functions of the corpus share word for word, and that
@@ -23,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm import items
 from lodestrata.llm.gll import Grammar, Parser
 from lodestrata.session import settle, spread
 
@@ -261,38 +263,33 @@ def pairs(symbols: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["symbol_id", "file_path", "kind", "name", "parameters", "repairs", "signature", "description", "content", "n_words"])
 
     shape = "symbol_id string, file_path string, kind string, name string, parameters array<string>, repairs int, signature string, description string, content string, n_words int"
-    described = settle(spread(source).mapInPandas(run, shape).withColumn("content_hash", F.xxhash64(F.lower(F.regexp_replace("content", r"[^\p{L}\p{N}]+", " ")))))
+    return without_templates(spread(source).mapInPandas(run, shape)).drop("n_words")
+
+
+def without_templates(described: DataFrame) -> DataFrame:
+    """Rows (name, content, n_words, …) but for those whose short description many names share word for word, by exact counts of hashes."""
+    described = settle(described.withColumn("content_hash", F.xxhash64(F.lower(F.regexp_replace("content", r"[^\p{L}\p{N}]+", " ")))))
     total = described.count()
     short = described.where(f"n_words <= {TEMPLATE_WORDS} and not content rlike '[\\\\p{{N}}\\\\p{{IsHan}}\\\\p{{IsHiragana}}\\\\p{{IsThai}}]'")
-    templates = short.groupBy("content_hash").agg(F.approx_count_distinct("name", 0.01).alias("names")).where((F.col("names") >= TEMPLATE_NAMES) & (F.col("names") >= TEMPLATE_SHARE * total))
-    return described.join(templates, "content_hash", "left_anti").drop("content_hash", "n_words")
+    shared = short.select("content_hash", "name").distinct().groupBy("content_hash").agg(F.count("*").alias("names"))
+    templates = shared.where((F.col("names") >= TEMPLATE_NAMES) & (F.col("names") >= TEMPLATE_SHARE * total))
+    return described.join(templates, "content_hash", "left_anti").drop("content_hash")
 
 
 # --- functions in files ---------------------------------------------------------
 
-_START = {
-    "py": regex.compile(r"^[ \t]*(?:async[ \t]+)?def[ \t]+\w", regex.M),
-    "rs": regex.compile(r"^[ \t]*(?:pub(?:\([^)\n]*\))?[ \t]+)?(?:(?:async|const|unsafe|extern(?:[ \t]+\"\w+\")?)[ \t]+)*fn[ \t]+\w", regex.M),
-    "go": regex.compile(r"^func\b[ \t]*(?:\([^)\n]*\)[ \t]*)?\w", regex.M),
-    "js": regex.compile(r"^[ \t]*(?:export[ \t]+(?:default[ \t]+)?)?(?:async[ \t]+)?function\b|^[ \t]+(?!(?:if|for|while|switch|return|catch|else|do)\b)(?:(?:static|async|public|private|protected|get|set)[ \t]+)*\w+[ \t]*\([^()\n]*\)[^;{}\n]*\{", regex.M),
-    "c": regex.compile(r"^[ \t]*(?!(?:if|for|while|switch|return|else|do|new|throw|case|typedef|package|import)\b)(?:[A-Za-z_][\w<>\[\],.]*[ \t*&]+)+[A-Za-z_]\w*[ \t]*\((?=[^;{}]*\{)", regex.M),
-}
-_START |= {"ts": _START["js"], "java": _START["c"], "h": _START["c"]}
 _COMMENT_BEFORE = regex.compile(r"[ \t]*(?://|\#|@\w)")
 _DOCSTRING = regex.compile(r"\s*[rRuU]?(\"\"\"|\'\'\')([\s\S]*?)(?:\1|\Z)")
 
 
-_BRACKETS = regex.compile(r"\"(?:\\.|[^\"\\\n])*\"|//[^\n]*|/\*[\s\S]*?\*/|[()\[\]{}]")
-
-
-def _doc_before(text: str, least: int, start: int) -> str:
+def _doc_before(text: str, start: int) -> str:
     """The comments and annotations on the lines right before a place."""
-    at = start
-    while at > least:
-        begin = max(least, text.rfind("\n", least, at - 1) + 1)
+    at = start = text.rfind("\n", 0, start) + 1
+    while at > 0:
+        begin = text.rfind("\n", 0, at - 1) + 1
         if text[begin:at].rstrip().endswith("*/") and not _COMMENT_BEFORE.match(text, begin, at):
-            opened = text.rfind("/*", least, at)
-            begin = max(least, text.rfind("\n", least, max(least, opened)) + 1)
+            opened = text.rfind("/*", 0, at)
+            begin = text.rfind("\n", 0, max(0, opened)) + 1
             if opened < 0 or text[begin:opened].strip():
                 break
         elif not _COMMENT_BEFORE.match(text, begin, at):
@@ -301,45 +298,19 @@ def _doc_before(text: str, least: int, start: int) -> str:
     return text[at:start]
 
 
-def _closing(text: str, at: int, opened: str, closed: str, stop: int) -> int:
-    depth = 0
-    for m in _BRACKETS.finditer(text, at, stop):
-        depth += (m.group() == opened) - (m.group() == closed)
-        if depth == 0 and m.group() == closed:
-            return m.end()
-    return -1
-
-
 def functions(path: str, text: str) -> Iterator[tuple[str, int, int, str, str, list[str], int, bool]]:
-    """(name, first line, last line, header, documentation, parameters, repairs, body is closed) of the functions in a file, valid or not."""
+    """(name, first line, last line, header, documentation, parameters, repairs, complete) of the functions in a file, valid or not."""
     language = path.rsplit(".", 1)[-1].lower()
-    if language not in _START:
-        return
-    starts = [m.start() for m in _START[language].finditer(text)]
-    for last, start, following in zip([0, *starts], starts, [*starts[1:], len(text)]):
-        opened = text.find("(", start, following)
-        if opened < 0:
-            continue
-        after = _closing(text, opened, "(", ")", following)
-        sign = ":" if language == "py" else "{"
-        mark = text.find(sign, after if after > 0 else opened, following)
-        head = text[start : mark if mark >= 0 else text.find("\n", opened, following) if "\n" in text[opened:following] else following]
+    for f in items.functions(text, language):
+        head = text[f.start : f.head].strip().removesuffix(":")
         name, parameters, cost = header(head)
-        if not name:
-            continue
-        doc, closed, end = "", False, following
-        if language == "py":
-            indent = len(text[start:]) - len(text[start:].lstrip(" \t"))
-            body = regex.compile(r"\n(?=[^\s#])|\n(?=[ \t]{0,%d}\S)" % max(0, indent) if indent else r"\n(?=\S)").search(text, mark if mark >= 0 else start, len(text) if mark >= 0 else following)
-            end, closed = (body.start() if body else len(text) if mark >= 0 else following), mark >= 0
-            inner = _DOCSTRING.match(text, mark + 1) if mark >= 0 else None
-            doc = inner.group(2) if inner else ""
-        elif mark >= 0:
-            stop = _closing(text, mark, "{", "}", len(text))
-            closed, end = stop > 0, stop if stop > 0 else following
-        if not doc:
-            doc = _doc_before(text, last, start)
-        yield name, text.count("\n", 0, start) + 1, text.count("\n", 0, max(start, end - 1)) + 1, head.strip(), doc, parameters, cost, closed
+        if (cost or name != f.name) and f.params is not None:  # an assigned function: its parameters by themselves
+            short = header(f.name + text[f.params.start : f.params.end])
+            if name != f.name or 0 <= short[2] < cost:
+                parameters, cost = short[1:]
+        inner = _DOCSTRING.match(text, f.body) if language == "py" else None
+        doc = inner.group(2) if inner else _doc_before(text, f.start)
+        yield f.name, text.count("\n", 0, f.start) + 1, text.count("\n", 0, max(f.start, f.end - 1)) + 1, head, doc, parameters, max(cost, f.repairs), f.complete and cost == 0
 
 
 def file_pairs(files: DataFrame) -> DataFrame:
@@ -350,10 +321,11 @@ def file_pairs(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for path, text in zip(batch["path"], batch["_text"]):
-                for name, a, b, head, doc, parameters, cost, closed in functions(path or "", text):
+                for name, a, b, head, doc, parameters, cost, complete in functions(path or "", text):
                     said = content(doc, name, parameters)
                     if said:
-                        rows.append((path, name, a, b, head, said, parameters, cost, closed and cost == 0))
-            yield pd.DataFrame(rows, columns=["path", "name", "line_start", "line_end", "signature", "description", "parameters", "repairs", "complete"])
+                        rows.append((path, name, a, b, head, said, parameters, cost, complete, len(_WORDS.findall(said))))
+            yield pd.DataFrame(rows, columns=["path", "name", "line_start", "line_end", "signature", "content", "parameters", "repairs", "complete", "n_words"])
 
-    return source.mapInPandas(run, "path string, name string, line_start int, line_end int, signature string, description string, parameters array<string>, repairs int, complete boolean")
+    shape = "path string, name string, line_start int, line_end int, signature string, content string, parameters array<string>, repairs int, complete boolean, n_words int"
+    return without_templates(source.mapInPandas(run, shape)).select("path", "name", "line_start", "line_end", "signature", F.col("content").alias("description"), "parameters", "repairs", "complete")

