@@ -59,6 +59,18 @@ class WaveletMatrix:
             self.zeros.append(len(bits) - int(counts[-1]))
             current = np.concatenate((current[~bits], current[bits]))
 
+    def __getstate__(self) -> dict:
+        """Stored as bits; the counts are made anew when it is read."""
+        return {"levels": self.levels, "n": len(self.ones[0]) - 1, "bits": [np.packbits(np.diff(c).astype(bool)) for c in self.ones]}
+
+    def __setstate__(self, state: dict) -> None:
+        self.levels, self.ones, self.zeros = state["levels"], [], []
+        for packed in state["bits"]:
+            counts = np.zeros(state["n"] + 1, dtype=np.int32)
+            np.cumsum(np.unpackbits(packed, count=state["n"]), out=counts[1:])
+            self.ones.append(counts)
+            self.zeros.append(state["n"] - int(counts[-1]))
+
     def rank(self, symbols: np.ndarray, *ends: np.ndarray) -> list[np.ndarray]:
         """Occurrences of each symbol before each end."""
         at = [np.zeros_like(ends[0]), *ends]
@@ -98,6 +110,14 @@ class FMIndex:
         self.marks = np.cumsum(self.marked) - 1
         self.samples = sa[self.marked]
 
+    def __getstate__(self) -> dict:
+        return {k: np.packbits(v) if k == "marked" else v for k, v in self.__dict__.items() if k != "marks"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.marked = np.unpackbits(self.marked, count=self.n).astype(bool)
+        self.marks = np.cumsum(self.marked) - 1
+
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Half-open suffix-array intervals of the rows of ``patterns`` (one pattern a row)."""
         low = np.zeros(len(patterns), dtype=np.int64)

@@ -49,3 +49,23 @@ def test_places_match_words(text):
     assert len(L.word_places(text)) in (len(L.words(text)), len(L.word_places(text)))
     for a, b in L.word_places(text):
         assert 0 <= a < b <= len(text)
+
+
+def test_stored_index_and_blocks(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    text = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 40, n))
+    docs = [(k, text(300)) for k in range(30)]
+    items = [(k, " ".join(docs[k][1].split()[40 : 40 + 8 + k])) for k in range(12)]
+    df, asked = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    grams = lambda t: {" ".join(t.split()[k : k + 12]) for k in range(len(t.split()) - 11)}
+    want = {(d, i) for d, t in docs for i, u in items if grams(t) & grams(u)}
+    at = str(tmp_path / "index")
+    L.index_shards(df).write.parquet(at)
+    stored = spark.read.parquet(at)
+    assert {(r.doc_id, r.item_id) for r in L.search_shards(stored, asked).collect()} == want and want
+    monkeypatch.setattr(L, "BLOCK_BYTES", 100)
+    assert {(r.doc_id, r.item_id) for r in L.find_leaks(df, asked).collect()} == want
+
+
+def test_place_by_counting():
+    assert L._place("ab cd ef", 1) == 1 and L._place("ab cd ef", 2) == 4 and L._place("ab", 5) == 2
