@@ -81,6 +81,12 @@ def camel_to_snake(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, r"([\p{Ll}])(\p{Lu})", "$1_$2"))
 
 
+def snake_to_camel(name: Column) -> Column:
+    """Each letter after an underscore is upper case, the underscores go."""
+    parts = F.split(name, "_")
+    return F.concat_ws("", F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1_000_000)))))
+
+
 def binding_key(key: Column) -> Column:
     """A key with an underscore stays; another becomes snake case."""
     return F.when(key.contains("_"), key).otherwise(camel_to_snake(key))
@@ -101,10 +107,11 @@ def normalize_url(url: Column) -> Column:
 
 
 def arity(signature: Column) -> Column:
-    """Parameters in the first parenthesised group, at most five."""
-    inner = F.trim(F.regexp_extract(signature, r"\(([^()]*(?:\([^()]*\)[^()]*)*)\)", 1))
-    flat = F.regexp_replace(F.regexp_replace(inner, r"\([^()]*\)|<[^<>]*>|\[[^\[\]]*\]|\"[^\"]*\"", ""), r",\s*$", "")
-    return F.when(F.coalesce(inner, F.lit("")) == "", 0).otherwise(F.least(F.size(F.split(flat, ",")), F.lit(5)))
+    """Parameters in the first parenthesised group, counted by its commas outside inner parentheses, at most five."""
+    inner = F.regexp_extract(signature, r"\(([^()]*(?:\((?:[^()]|\([^()]*\))*\)[^()]*)*)", 1)
+    flat = F.regexp_replace(inner, r"\((?:[^()]|\([^()]*\))*\)", "P")
+    commas = F.length(flat) - F.length(F.replace(flat, F.lit(","), F.lit("")))
+    return F.when(F.coalesce(F.regexp_replace(flat, r"[ \t\n]", ""), F.lit("")) == "", 0).otherwise(F.least(commas + 1, F.lit(5)))
 
 
 def risk(symbols: Column, files: Column, tests: Column) -> Column:
@@ -112,6 +119,84 @@ def risk(symbols: Column, files: Column, tests: Column) -> Column:
     return F.when((score > 50) | (files > 10), "high").when((score > 15) | (files > 3), "medium").otherwise("low")
 
 
+# --- texts by role ------------------------------------------------------------------
+
+# With what a line of source begins.
+SOURCE_PREFIXES = ["///", "//!", "//", "#", "/*", "* ", "pub ", "fn ", "def ", "class ", "func ", "function ", "struct ", "impl ", "public ", "private ", "type ", "@", "package ", "import ", "use ", "template"]
+
+
+def roles(text: Column) -> Column:
+    """A struct (doc, sig, body): the lines before the first one that looks like source, that one, and the rest."""
+    lines = F.split(text, r"\r?\n")
+    first = F.array_position(F.transform(lines, lambda x: F.exists(F.array(*[F.lit(p) for p in SOURCE_PREFIXES]), lambda p: F.startswith(F.regexp_replace(x, r"^\s+", ""), p))), F.lit(True))
+    none = first == 0
+    doc = F.when(none, lines).otherwise(F.slice(lines, F.lit(1), F.greatest(first - 1, F.lit(0)).cast("int")))
+    sig = F.when(none, "").otherwise(F.element_at(lines, F.greatest(first, F.lit(1)).cast("int")))
+    body = F.when(none, F.array().cast("array<string>")).otherwise(F.slice(lines, (first + 1).cast("int"), F.size(lines)))
+    return F.struct(F.array_join(doc, " ").alias("doc"), sig.alias("sig"), F.array_join(body, " ").alias("body"))
+
+
+def name_from_id(vector_id: Column) -> Column:
+    """The anchor after the last ``#``, else the last ``::`` part; inner ``::`` are blanks."""
+    anchor = F.when(vector_id.contains("#"), F.substring_index(vector_id, "#", -1)).otherwise(F.substring_index(vector_id, "::", -1))
+    return F.replace(anchor, F.lit("::"), F.lit(" "))
+
+
+# Kinds of syntax nodes, and what stands in names of kinds that aren't listed.
+NODE_KINDS = {
+    "function": "function_item function_definition function_declaration method_declaration method_definition arrow_function generator_function_declaration func_literal",
+    "struct": "struct_item struct_specifier union_specifier class_definition class_declaration class_specifier decorated_definition", "enum": "enum_item enum_specifier enum_declaration",
+    "trait": "trait_item interface_declaration interface_definition abstract_type_declaration", "impl": "impl_item", "module": "mod_item module_declaration package_declaration module",
+    "type": "type_item type_alias_declaration type_declaration type_spec alias_declaration", "const": "const_item const_declaration const_spec lexical_declaration", "static": "static_item",
+}
+NODE_PARTS = [("function", "function"), ("method", "function"), ("class", "struct"), ("interface", "trait"), ("struct", "struct"), ("enum", "enum"), ("trait", "trait"), ("module", "module"), ("namespace", "module"), ("type_alias", "type"), ("typedef", "type")]
+
+
+def item_kind(node_kind: Column) -> Column:
+    """The kind of item that a syntax node is; null for none."""
+    listed = F.create_map(*[F.lit(x) for kind, nodes in NODE_KINDS.items() for node in nodes.split() for x in (node, kind)])[node_kind]
+    return F.coalesce(listed, *[F.when(node_kind.contains(part), kind) for part, kind in NODE_PARTS])
+
+
+# --- questions ------------------------------------------------------------------------
+
+# Words that name no symbol, and words that ask about bridges between languages.
+HINT_STOP = (
+    "the and for from with what how does are that this which where when before after into not its has have had been will was were being about between each all any both but can did get got may use used using method function struct fields response handler called returns returned why dropped"
+).split()
+BRIDGE_WORDS = ["tauri", "invoke", "ffi", "napi", "pyo3", "wasm", "ipc", "http route", "endpoint", "frontend", "backend", "rust side", "js side", "ts side"]
+#: Fixed value: the least score of a first hit that is worth a follow-up.
+FOLLOW_UP = 0.5
+
+
+def _words_of(text: Column, least: int) -> Column:
+    return F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda w: F.octet_length(w) >= least)
+
+
+def symbol_hints(query: Column) -> Column:
+    return F.filter(_words_of(query, 3), lambda w: ~F.lower(w).isin(*HINT_STOP))
+
+
+def bridge_relevant(query: Column) -> Column:
+    out = F.lit(False)
+    for word in BRIDGE_WORDS:
+        out = out | F.lower(query).contains(word)
+    return out
+
+
+def covered(question: Column, snippets: Column) -> Column:
+    """Whether any snippet holds any word of four or more of the question; without such words, whether there is a snippet."""
+    words = F.transform(_words_of(question, 4), lambda w: F.lower(w))
+    return F.when(F.size(words) == 0, F.size(snippets) > 0).otherwise(F.exists(snippets, lambda s: F.exists(words, lambda w: F.lower(s).contains(w))))
+
+
+def next_action(score: Column, resolution: Column, content_id: Column) -> Column:
+    """A struct (action, id): the definition of a symbol, else the section of what was found; null below the least score."""
+    symbol = resolution.startswith("symbol")
+    target = F.when(resolution == "claim", F.coalesce(parent_of_claim(content_id), content_id)).otherwise(content_id)
+    return F.when(score >= FOLLOW_UP, F.struct(F.when(symbol, "definition").otherwise("read").alias("action"), F.when(symbol, content_id).otherwise(target).alias("id")))
+
+
 # --- vectors ---------------------------------------------------------------------
 
 

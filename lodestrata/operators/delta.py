@@ -10,36 +10,35 @@ from pyspark.sql import DataFrame
 
 
 def line_delta(old: str, new: str) -> list[tuple[str, str]]:
-    """(op, line) with op context, removed or added, by a longest common subsequence; on ties an added line comes last.
+    """(op, line) with op context, removed or added, by a longest common subsequence, read from the ends.
 
-    Common heads and tails are taken off first, so the table is only as large as
-    what differs.
+    Equal last lines are context; else a last line of the new text counts as added
+    unless leaving it out costs a common line.  So the common tail is always
+    context and is taken off first; of the table only two rows of lengths and one
+    mark a cell are kept.
     """
     a, b = old.split("\n") if old else [], new.split("\n") if new else []
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
     tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+    while tail < min(len(a), len(b)) and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i, u in enumerate(x):
-        for j, v in enumerate(y):
-            table[i + 1][j + 1] = table[i][j] + 1 if u == v else max(table[i][j + 1], table[i + 1][j])
-    out: list[tuple[str, str]] = []
+    x, y = a[: len(a) - tail], b[: len(b) - tail]
+    same, add, drop = 0, 1, 2
+    marks = [bytearray([add]) * (len(y) + 1)]
+    above = [0] * (len(y) + 1)
+    for u in x:
+        row, lengths = bytearray([drop]) * (len(y) + 1), [0] * (len(y) + 1)
+        for j, v in enumerate(y, 1):
+            lengths[j] = above[j - 1] + 1 if u == v else max(above[j], lengths[j - 1])
+            row[j] = same if u == v else add if lengths[j - 1] >= above[j] else drop
+        marks.append(row)
+        above = lengths
+    out = [("context", line) for line in reversed(a[len(a) - tail :])]
     i, j = len(x), len(y)
     while i or j:
-        if i and j and x[i - 1] == y[j - 1]:
-            out.append(("context", x[i - 1]))
-            i, j = i - 1, j - 1
-        elif j and (not i or table[i][j - 1] >= table[i - 1][j]):
-            out.append(("added", y[j - 1]))
-            j -= 1
-        else:
-            out.append(("removed", x[i - 1]))
-            i -= 1
-    return [("context", s) for s in a[:head]] + out[::-1] + [("context", s) for s in (a[len(a) - tail :] if tail else [])]
+        mark = marks[i][j]
+        i, j = i - (mark != add), j - (mark != drop)
+        out.append((("context", "added", "removed")[mark], y[j] if mark == add else x[i]))
+    return out[::-1]
 
 
 def deltas(pairs: DataFrame) -> DataFrame:

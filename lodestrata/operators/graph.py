@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,7 +50,7 @@ def call_edges(refs: DataFrame, kinds: list[str] = ["calls"]) -> DataFrame:  # n
 
 
 def impact(edges: DataFrame, roots: DataFrame, incoming: bool = True, depth: int = MAX_DEPTH) -> DataFrame:
-    """(root, id, depth): what is reached from each root within the depth, roots themselves left out.
+    """(root, id, depth): what is reached from each root within the depth, roots themselves left out; with a column ``root`` several ids are one root.
 
     A frontier join a round; the reached rows are written to the shared
     checkpoint folder every round, so plans stay short and lost executors do no harm.
@@ -55,7 +58,7 @@ def impact(edges: DataFrame, roots: DataFrame, incoming: bool = True, depth: int
     depth = max(1, min(MAX_DEPTH, depth))
     step = edges.select(F.col("dst").alias("at"), F.col("src").alias("next")) if incoming else edges.select(F.col("src").alias("at"), F.col("dst").alias("next"))
     step = settle(step)
-    frontier = settle(roots.select(F.col("id").alias("root"), F.col("id").alias("id")).distinct())
+    frontier = settle(roots.select((F.col("root") if "root" in roots.columns else F.col("id")).alias("root"), F.col("id").alias("id")).distinct())
     seen = frontier
     out = None
     for d in range(1, depth + 1):
@@ -69,6 +72,11 @@ def impact(edges: DataFrame, roots: DataFrame, incoming: bool = True, depth: int
     return out if out is not None else frontier.withColumn("depth", F.lit(0)).limit(0)
 
 
+def diff_impact(edges: DataFrame, changed: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+    """(id, depth): what calls the changed symbols, by least depth, these themselves left out; all are one root, so a symbol is reached once."""
+    return impact(edges, changed.select(F.lit("changed").alias("root"), "id"), True, depth).select("id", "depth")
+
+
 def transitive_callers(edges: DataFrame, roots: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """(id, callers): distinct symbols on paths into each root within the depth; on a cycle the root counts itself."""
     step = settle(edges.select(F.col("dst").alias("at"), F.col("src").alias("next")))
@@ -128,14 +136,27 @@ def bridge_links(exports: DataFrame, imports: DataFrame) -> DataFrame:
     return exact.unionByName(loose)
 
 
-def package_of(path: Column) -> Column:
-    return F.split(path, "/")[0]
+def corpus_root(symbols: DataFrame) -> str:
+    """The leading path segments that all files share, with a closing slash; empty if there are none.
+
+    What the least and the greatest path share, all share; so one row is read.
+    """
+    ends = symbols.where("file_path is not null").agg(F.min(F.split("file_path", "/")).alias("a"), F.max(F.split("file_path", "/")).alias("b")).collect()[0]
+    shared = [x for x, _ in itertools.takewhile(lambda e: e[0] == e[1], zip(ends.a or [], ends.b or []))]
+    return "/".join(shared) + "/" if any(shared) else ""
+
+
+def package_of(path: Column, root: str = "") -> Column:
+    """The first segment after the root that all files share."""
+    rest = F.when(path.startswith(root), F.substring(path, len(root) + 1, 1_000_000)).otherwise(path) if root else path
+    return F.coalesce(F.try_element_at(F.filter(F.split(rest, "/"), lambda x: x != ""), F.lit(1)), F.lit(""))
 
 
 def package_edges(symbols: DataFrame, refs: DataFrame, kinds: list[str]) -> DataFrame:
     """(from_pkg, to_pkg, edges) between packages; tests and twins of one name are left out."""
+    root = corpus_root(symbols)
     r = references(symbols, refs, kinds).where(~S.is_test_path(F.col("from_file")) & ~S.is_test_path(F.col("to_file")) & (F.col("from_name") != F.col("to_name")))
-    p = r.select(package_of(F.col("from_file")).alias("from_pkg"), package_of(F.col("to_file")).alias("to_pkg")).where("from_pkg <> to_pkg")
+    p = r.select(package_of(F.col("from_file"), root).alias("from_pkg"), package_of(F.col("to_file"), root).alias("to_pkg")).where("from_pkg <> to_pkg")
     return p.groupBy("from_pkg", "to_pkg").agg(F.count("*").alias("edges"))
 
 
@@ -213,45 +234,145 @@ def _alike_edges(part: pd.DataFrame, min_cosine: float, min_overlap: float) -> p
     return pd.DataFrame({"a": a, "b": b}, dtype=object)
 
 
+def _in_blocks(rows: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
+    """Rows (keys, id, …) with the pair of blocks (i, j) in which they are compared and their own block ``p``; no pair of blocks holds more than about two blocks."""
+    size = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    same = functools.reduce(lambda x, y: x & y, [rows[k].eqNullSafe(size[k]) for k in keys])
+    held = rows.join(size.withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int")), same).drop(*[size[k] for k in keys])
+    placed = held.withColumn("p", F.expr("cast(pmod(xxhash64(id), _blocks) as int)")).withColumn("_q", F.explode(F.expr("sequence(0, _blocks - 1)")))
+    return placed.withColumn("i", F.least("p", "_q")).withColumn("j", F.greatest("p", "_q")).drop("_n", "_blocks", "_q")
+
+
+def alike_edges(rows: DataFrame, keys: list[str], min_cosine: float, min_overlap: float = 0.0) -> DataFrame:
+    """(a, b): a forest that connects what is alike within the keys, of rows (keys, id, v, targets); the least cosine is above 0."""
+    wide = rows.withColumn("_width", F.size("v"))
+    pairs = _in_blocks(wide.select(*keys, "_width", "id", "v", "targets"), [*keys, "_width"])
+    return pairs.groupBy(*keys, "_width", "i", "j").applyInPandas(lambda part: _alike_edges(part, min_cosine, min_overlap), "a string, b string").where("a <> b")
+
+
+def _pair_sums(part: pd.DataFrame, min_cosine: float | None, min_overlap: float) -> tuple[int, float, float]:
+    """(pairs, sum of cosines, sum of overlaps) of the pairs of a block, or across two, that reach both least values."""
+    first = int(part["p"].min())
+    left, right = np.flatnonzero(part["p"] == first), np.flatnonzero(part["p"] != first) if part["p"].nunique() > 1 else np.flatnonzero(part["p"] == first)
+    place: dict[str, int] = {}
+    entries = [(k, place.setdefault(t, len(place))) for k, targets in enumerate(part["targets"]) for t in set(targets)]
+    sizes = np.bincount([k for k, _ in entries], minlength=len(part)) if entries else np.zeros(len(part))
+    columns: dict[int, list[int]] = {}
+    for k, t in entries:
+        columns.setdefault(t, []).append(k)
+    unit = None
+    if min_cosine is not None:
+        unit = np.stack(part["v"].to_numpy()).astype(np.float64)
+        length = np.linalg.norm(unit, axis=1, keepdims=True)
+        unit = np.divide(unit, length, out=np.zeros_like(unit), where=length > 0)
+    n, cosines, overlaps = 0, 0.0, 0.0
+    where_right = np.full(len(part), -1)
+    where_right[right] = np.arange(len(right))
+    by_row: dict[int, list[int]] = {}
+    for k, t in entries:
+        by_row.setdefault(k, []).append(t)
+    for at in range(0, len(left), 512):
+        rows = left[at : at + 512]
+        shared = np.zeros((len(rows), len(right)))
+        for r, k in enumerate(rows):
+            for t in by_row.get(int(k), ()):
+                other = where_right[columns[t]]
+                shared[r, other[other >= 0]] += 1
+        union = sizes[rows][:, None] + sizes[right][None, :] - shared
+        overlap = np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
+        good = overlap >= min_overlap
+        if right is left or np.array_equal(left, right):
+            good &= right[None, :] > rows[:, None]
+        if unit is not None:
+            cosine = unit[rows] @ unit[right].T
+            good &= cosine >= min_cosine
+            cosines += float(cosine[good].sum())
+        n += int(good.sum())
+        overlaps += float(overlap[good].sum())
+    return n, cosines, overlaps
+
+
+def pair_sums(rows: DataFrame, keys: list[str], min_cosine: float | None = None, min_overlap: float = 0.0) -> DataFrame:
+    """(keys, pairs, cosines, overlaps): how many pairs of rows (keys, id, v, targets) reach the least values, and their sums; pairs themselves aren't emitted."""
+    names = [*keys, "pairs", "cosines", "overlaps"]
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*(part[k].iloc[0] for k in keys), *_pair_sums(part.sort_values("id").reset_index(drop=True), min_cosine, min_overlap))], columns=names)
+
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    blocks = _in_blocks(rows, keys).groupBy(*keys, "i", "j").applyInPandas(run, f"{kinds}, pairs long, cosines double, overlaps double")
+    return blocks.groupBy(*keys).agg(F.sum("pairs").alias("pairs"), F.sum("cosines").alias("cosines"), F.sum("overlaps").alias("overlaps"))
+
+
+#: The kinds of references that make a symbol's targets.
+TARGET_KINDS = ["calls", "uses", "imports"]
+
+
 def redundancy(symbols: DataFrame, refs: DataFrame, vectors: DataFrame, min_cosine: float = 0.86, min_overlap: float = 0.4, max_pairs: int | None = None) -> DataFrame:
-    """(id, cluster) of functions that do the same: alike vectors and alike callees within one (kind, arity); the least cosine is above 0.
+    """(id, cluster, members, canonical, avg_cosine, avg_jaccard, cross_module) of functions that do the same: alike vectors and alike targets within one (kind, arity).
 
-    Buckets are compared whole, in pairs of blocks of at most about BLOCK rows.
-    With ``max_pairs``, a bucket with more pairs is skipped, as the reference does.
+    Buckets are compared whole, in pairs of blocks of at most about BLOCK rows; the
+    averages are over all alike pairs of a cluster.  The canonical member has the
+    most lines, then the least file and id.  With ``max_pairs``, a bucket with more
+    pairs is skipped, as the reference does.
     """
-    s = symbols.dropDuplicates(["id"]).select("id", F.lower(F.trim("kind")).alias("kind"), S.arity(F.col("signature")).alias("arity")).where("kind in ('function', 'method')")
-    v = s.join(vectors.select("id", S.as_double(F.col("vector")).alias("v")).where("size(v) > 0"), "id").join(neighbour_sets(refs, ["calls", "uses"]), "id", "left").withColumn("targets", F.coalesce("targets", F.array().cast("array<string>")))
-    size = v.groupBy("kind", "arity").agg(F.count("*").alias("n"))
+    s = symbols.dropDuplicates(["id"]).select("id", F.lower(F.trim("kind")).alias("kind"), S.arity(F.col("signature")).alias("arity"), "file_path", (F.col("line_end") - F.col("line_start")).alias("lines")).where("kind in ('function', 'method')")
+    v = s.join(vectors.select("id", S.as_double(F.col("vector")).alias("v")).where("size(v) > 0"), "id").join(neighbour_sets(refs, TARGET_KINDS), "id", "left").withColumn("targets", F.coalesce("targets", F.array().cast("array<string>")))
     if max_pairs is not None:
-        size = size.where(F.expr(f"n * (n - 1) / 2 <= {max_pairs}"))
-    v = v.join(F.broadcast(size.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))), ["kind", "arity"])  # one row a kind and arity: at most a dozen
-    p = v.withColumn("p", F.expr("cast(pmod(xxhash64(id), blocks) as int)")).withColumn("q", F.explode(F.expr("sequence(0, blocks - 1)")))
-    pairs = p.select("kind", F.coalesce("arity", F.lit(-1)).alias("arity"), F.size("v").alias("width"), F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "id", "v", "targets")
-    alike = pairs.groupBy("kind", "arity", "width", "i", "j").applyInPandas(lambda part: _alike_edges(part, min_cosine, min_overlap), "a string, b string")
-    return components(settle(alike.where("a <> b"))).withColumnsRenamed({"node": "id", "component": "cluster"})
-
-
-def shotgun(symbols: DataFrame, refs: DataFrame, min_files: int = 3, min_packages: int = 2) -> DataFrame:
-    """(name, kind, files, packages): one name in many files and packages, conventional names left out."""
-    s = symbols.dropDuplicates(["id"]).where(~F.col("name").isin(*S.CONVENTIONAL_NAMES)).select("name", F.lower(F.trim("kind")).alias("kind"), "file_path")
-    out = s.groupBy("name", "kind").agg(F.countDistinct("file_path").alias("files"), F.countDistinct(package_of(F.col("file_path"))).alias("packages"))
-    return out.where((F.col("files") >= min_files) & (F.col("packages") >= min_packages))
-
-
-def low_cohesion(methods: DataFrame, calls: DataFrame, min_methods: int = 4) -> DataFrame:
-    """(container, methods, parts): containers whose methods fall into two or more parts of two or more that share no callee.
-
-    ``methods``: container, id.  Methods are joined to their callees, not to each
-    other, so a popular callee costs its callers, not their pairs.
+        small = v.groupBy("kind", "arity").agg(F.count("*").alias("n")).where(F.expr(f"n * (n - 1) / 2 <= {max_pairs}"))
+        v = v.join(F.broadcast(small.drop("n")), ["kind", "arity"], "left_semi")  # one row a kind and arity: at most a dozen
+    v = settle(v)
+    clusters = settle(components(settle(alike_edges(v, ["kind", "arity"], min_cosine, min_overlap))).withColumnsRenamed({"node": "id", "component": "cluster"}))
+    members = v.join(clusters, "id")
+    facts = members.groupBy("cluster").agg(F.count("*").alias("members"), F.min(F.struct((-F.col("lines")).alias("n"), "file_path", "id"))["id"].alias("canonical"), (F.countDistinct("file_path") > 1).alias("cross_module"))
+    sums = pair_sums(members.select("cluster", "id", "v", "targets"), ["cluster"], min_cosine, min_overlap)
+    averages = sums.select("cluster", (F.col("cosines") / F.greatest("pairs", F.lit(1))).alias("avg_cosine"), (F.col("overlaps") / F.greatest("pairs", F.lit(1))).alias("avg_jaccard"))
+    return clusters.join(facts, "cluster").join(averages, "cluster").select("id", "cluster", "members", "canonical", "avg_cosine", "avg_jaccard", "cross_module")
+
+
+def one_site_a_file(symbols: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the symbols with the same keys in a file the one with the least first line, ties by id."""
+    first = Window.partitionBy(*keys, "file_path").orderBy("line_start", "id")
+    return symbols.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+
+
+def shotgun(symbols: DataFrame, refs: DataFrame, min_files: int = 3, min_packages: int = 2, max_overlap: float = 0.5) -> DataFrame:
+    """(name, kind, files, packages, avg_jaccard): one function name in many files and packages whose targets mostly differ; conventional names are left out."""
+    root = corpus_root(symbols)
+    s = symbols.dropDuplicates(["id"]).withColumn("kind", F.lower(F.trim("kind"))).where(F.col("kind").isin("function", "method") & ~F.col("name").isin(*S.CONVENTIONAL_NAMES))
+    sites = one_site_a_file(s.select("id", "name", "kind", "file_path", "line_start"), ["name", "kind"]).withColumn("package", package_of(F.col("file_path"), root))
+    wide = sites.groupBy("name", "kind").agg(F.count("*").alias("files"), F.countDistinct(F.when(F.col("package") != "", F.col("package"))).alias("packages")).where((F.col("files") >= min_files) & (F.col("packages") >= min_packages))
+    own = sites.join(wide, ["name", "kind"]).join(neighbour_sets(refs, TARGET_KINDS), "id", "left").select("name", "kind", "id", F.coalesce("targets", F.array().cast("array<string>")).alias("targets"))
+    sums = pair_sums(own, ["name", "kind"]).select("name", "kind", (F.col("overlaps") / F.col("pairs")).alias("avg_jaccard"))
+    return wide.join(sums, ["name", "kind"]).where(F.col("avg_jaccard") <= max_overlap)
+
+
+def low_cohesion(methods: DataFrame, calls: DataFrame, vectors: DataFrame | None = None, min_methods: int = 4, min_cosine: float = 0.7) -> DataFrame:
+    """(container, methods, parts): containers whose methods fall into two or more parts of two or more that share no callee and have no alike vectors.
+
+    ``methods``: container, id; ``vectors``: id, vector.  Methods are joined to
+    their callees, not to each other, so a popular callee costs its callers, not
+    their pairs.
     """
     many = methods.groupBy("container").agg(F.countDistinct("id").alias("methods")).where(F.col("methods") >= min_methods)
-    m = methods.join(many.select("container"), "container").distinct()
-    e = m.join(calls.select(F.col("src").alias("id"), "dst"), "id").select(F.concat_ws("\u0001", "container", "id").alias("a"), F.concat_ws("\u0001", "container", F.lit(""), "dst").alias("b")).distinct()
-    parts = components(e).where(~F.col("node").contains("\u0001\u0001")).select(F.split("node", "\u0001")[0].alias("container"), "component")
+    m = settle(methods.join(many.select("container"), "container").distinct())
+    key = lambda c: F.concat_ws("\u0001", "container", c)
+    e = m.join(calls.select(F.col("src").alias("id"), "dst"), "id").select(key("id").alias("a"), F.concat_ws("\u0001", "container", F.lit(""), "dst").alias("b")).distinct()
+    if vectors is not None:
+        v = m.join(vectors.select("id", S.as_double(F.col("vector")).alias("v")).where("size(v) > 0"), "id").select("container", key("id").alias("id"), "v", F.array().cast("array<string>").alias("targets"))
+        e = e.unionByName(alike_edges(v, ["container"], min_cosine))
+    parts = components(settle(e)).where(~F.col("node").contains("\u0001\u0001")).select(F.split("node", "\u0001")[0].alias("container"), "component")
     sized = parts.groupBy("container", "component").agg(F.count("*").alias("n")).where("n >= 2").groupBy("container").agg(F.count("*").alias("parts")).where("parts >= 2")
     return sized.join(many, "container").select("container", "methods", "parts")
 
 
+def representatives(items: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
+    """(keys, kept, omitted): the first items (id) of each group and how many are left out; 0 keeps all."""
+    ranked = items.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    kept = F.array_sort(F.collect_list(F.when(F.lit(most == 0) | (F.col("_r") <= most), F.struct("_r", "id"))))
+    return ranked.groupBy(*keys).agg(F.transform(kept, lambda x: x["id"]).alias("kept"), (F.count("*") if most else F.lit(0)).alias("_n")).withColumn("omitted", F.greatest(F.lit(0), F.col("_n") - F.size("kept")) if most else F.lit(0).cast("long")).drop("_n")
+
+
 def fat_interfaces(interface_methods: DataFrame, used: DataFrame, min_methods: int = 6, share: float = 0.33) -> DataFrame:
     """(interface, methods, implementors, under_using): at least half the implementors use no more than a third of the methods.
 
@@ -266,9 +387,10 @@ def fat_interfaces(interface_methods: DataFrame, used: DataFrame, min_methods: i
 
 def concrete_dependencies(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     """(from_symbol_id, to_symbol_id): functions that use a concrete type of another package whose trait they don't reference."""
+    root = corpus_root(symbols)
     r = references(symbols, refs, ["uses"])
     s = symbols.dropDuplicates(["id"]).select(F.col("id").alias("from_symbol_id"), F.lower(F.trim("kind")).alias("kind")).where("kind in ('function', 'method')")
-    across = r.where(package_of(F.col("from_file")) != package_of(F.col("to_file"))).join(s.select("from_symbol_id"), "from_symbol_id", "left_semi").select("from_symbol_id", "to_symbol_id").distinct()
+    across = r.where(package_of(F.col("from_file"), root) != package_of(F.col("to_file"), root)).join(s.select("from_symbol_id"), "from_symbol_id", "left_semi").select("from_symbol_id", "to_symbol_id").distinct()
     traits = refs.where("ref_kind = 'implements'").select(F.col("from_symbol_id").alias("to_symbol_id"), F.col("to_symbol_id").alias("trait")).distinct()
     known = refs.select("from_symbol_id", F.col("to_symbol_id").alias("trait")).distinct()
     has = across.join(traits, "to_symbol_id")
@@ -278,9 +400,10 @@ def concrete_dependencies(symbols: DataFrame, refs: DataFrame) -> DataFrame:
 
 def resolve_references(raw: DataFrame, symbols: DataFrame) -> DataFrame:
     """(ref_id, symbol_id) of raw references (ref_id, file_path, name): the same file first, then the same package, then the least id."""
+    root = corpus_root(symbols)
     s = symbols.dropDuplicates(["id"]).select("id", "name", F.col("file_path").alias("f"))
     j = raw.join(s, "name")
-    order = F.when(F.col("file_path") == F.col("f"), 0).when(package_of(F.col("file_path")) == package_of(F.col("f")), 1).otherwise(2)
+    order = F.when(F.col("file_path") == F.col("f"), 0).when(package_of(F.col("file_path"), root) == package_of(F.col("f"), root), 1).otherwise(2)
     return j.groupBy("ref_id").agg(F.min(F.struct(order.alias("o"), "id"))["id"].alias("symbol_id"))
 
 
@@ -309,3 +432,44 @@ def semantic_links(exports: DataFrame, imports: DataFrame, min_cosine: float = 0
     e = exports.select(F.col("id").alias("export_id"), "kind", S.as_double(F.col("vector")).alias("u"))
     i = imports.select(F.col("id").alias("import_id"), "kind", S.as_double(F.col("vector")).alias("v"))
     return e.join(i, "kind").where(S.cosine(F.col("u"), F.col("v")) >= min_cosine).select("kind", "export_id", "import_id", F.lit(0.7).alias("confidence"))
+
+
+def link_details(links: DataFrame, endpoints: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Links (kind, export_id, import_id, confidence) with both endpoints and, of each, the symbol of its name that encloses its line; the least id of several.
+
+    Endpoints: id, file_path, binding_key, symbol_name, language, line.
+    """
+    s = symbols.dropDuplicates(["id"]).select(F.col("id").alias("symbol_id"), F.col("file_path").alias("_f"), F.col("name").alias("_n"), "line_start", "line_end")
+    inside = (F.col("file_path") == F.col("_f")) & (F.col("symbol_name") == F.col("_n")) & F.col("line").between(F.col("line_start"), F.col("line_end"))
+    named = endpoints.join(s, inside, "left").groupBy(*[F.col(c) for c in ("id", "file_path", "binding_key", "symbol_name", "language", "line")]).agg(F.min("symbol_id").alias("symbol_id"))
+    side = lambda end: named.select(*[F.col(c).alias(f"{end}_{c}") for c in named.columns])
+    return links.join(side("export"), "export_id").join(side("import"), "import_id")
+
+
+def filter_links(details: DataFrame, query: str | None = None, kind: str | None = None, language: str | None = None, file_path: str | None = None) -> DataFrame:
+    """Links in which a key or symbol name contains the query, without case; a language or file may be that of either side."""
+    either = lambda c: [F.col(f"export_{c}"), F.col(f"import_{c}")]
+    out = details
+    if query is not None:
+        found = [F.coalesce(F.lower(c).contains(query.lower()), F.lit(False)) for c in either("binding_key") + either("symbol_name")]
+        out = out.where(functools.reduce(lambda a, b: a | b, found))
+    out = out.where(F.col("kind") == kind) if kind is not None else out
+    if language is not None:
+        a, b = either("language")
+        out = out.where((F.lower(a) == language.lower()) | (F.lower(b) == language.lower()))
+    if file_path is not None:
+        a, b = either("file_path")
+        out = out.where((a == file_path) | (b == file_path))
+    return out
+
+
+def bridge_graph(details: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of links: one node an endpoint, one edge a link."""
+    side = lambda end, role: details.select(F.col(f"{end}_id").alias("id"), F.lit(role).alias("role"), F.col(f"{end}_file_path").alias("file_path"), F.col(f"{end}_symbol_name").alias("label"), F.col(f"{end}_language").alias("language"))
+    return side("export", "export").unionByName(side("import", "import")).distinct(), details.select(F.col("export_id").alias("source"), F.col("import_id").alias("target"), "kind", "confidence").distinct()
+
+
+def references_over_bridges(symbols: DataFrame, refs: DataFrame, details: DataFrame) -> DataFrame:
+    """(from_symbol_id, to_symbol_id, ref_kind): the references, and the links whose ends are known symbols as references of kind bridge."""
+    links = details.where("export_symbol_id is not null and import_symbol_id is not null").select(F.col("import_symbol_id").alias("from_symbol_id"), F.col("export_symbol_id").alias("to_symbol_id"), F.lit("bridge").alias("ref_kind"))
+    return references(symbols, refs).select("from_symbol_id", "to_symbol_id", "ref_kind").unionByName(links).distinct()

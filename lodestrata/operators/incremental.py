@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestrata.functions import scalar as S
 
@@ -23,12 +24,68 @@ def freshness(files: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def changes(files: DataFrame, stored: DataFrame, extractor: int, resolver: int) -> DataFrame:
-    """(path, action): skip, reindex or resolve; content first, then the extractor's and the resolver's versions."""
-    j = files.select("path", S.content_hash(F.col("content")).alias("now")).join(latest_hashes(stored), "path", "left")
-    action = F.when(F.col("content_hash").isNull() | (F.col("now") != F.col("content_hash")) | (F.col("extractor_version") < extractor), "reindex").when(F.col("resolver_version") < resolver, "resolve").otherwise("skip")
+    """(path, action): skip, reindex or resolve; content first, then the extractor's and the resolver's versions.
+
+    Where files have a column ``mtime_ns`` and it is the stored one, the content
+    counts as unchanged and isn't hashed.
+    """
+    j = files.join(latest_hashes(stored).withColumnRenamed("mtime_ns", "_mtime"), "path", "left")
+    same = F.col("_mtime").isNotNull() & (F.col("mtime_ns") == F.col("_mtime")) if "mtime_ns" in files.columns else F.lit(False)
+    content = F.coalesce(same, F.lit(False)) | (S.content_hash(F.col("content")) == F.col("content_hash"))
+    action = F.when(F.col("content_hash").isNull() | ~F.coalesce(content, F.lit(False)) | (F.col("extractor_version") < extractor), "reindex").when(F.col("resolver_version") < resolver, "resolve").otherwise("skip")
     return j.select("path", action.alias("action"))
 
 
+def short_circuit(now: DataFrame, stored: DataFrame, extractor: int) -> DataFrame:
+    """(root_id, files, skipped): roots (root_id, files, root_hash) whose stored hash and extractor version are the same are skipped whole."""
+    j = now.join(stored.select("root_id", F.col("root_hash").alias("_hash"), "extractor_version"), "root_id", "left")
+    same = (F.col("root_hash") == F.col("_hash")) & (F.col("extractor_version") == extractor)
+    return j.select("root_id", "files", F.when(same, F.col("files")).otherwise(0).alias("skipped"))
+
+
+def rebinds(files: DataFrame, stored: DataFrame) -> DataFrame:
+    """(old_path, new_path): paths that went away and came back under another name with the same content; each at most once, least to least."""
+    now = files.select("path", S.content_hash(F.col("content")).alias("content_hash")).where("content_hash is not null")
+    before = latest_hashes(stored).select("path", "content_hash")
+    nth = F.row_number().over(Window.partitionBy("content_hash").orderBy("path"))
+    gone = before.join(now.select("path"), "path", "left_anti").withColumn("n", nth)
+    came = now.join(before.select("path"), "path", "left_anti").withColumn("n", nth)
+    return gone.withColumnRenamed("path", "old_path").join(came.withColumnRenamed("path", "new_path"), ["content_hash", "n"]).select("old_path", "new_path")
+
+
+def rebound(rows: DataFrame, moves: DataFrame, path_col: str) -> DataFrame:
+    """Rows with the new path where theirs was rebound; ids and vectors stay."""
+    m = moves.select(F.col("old_path").alias("_old"), F.col("new_path").alias("_new"))
+    return rows.join(m, F.col(path_col) == F.col("_old"), "left").withColumn(path_col, F.coalesce("_new", path_col)).drop("_old", "_new")
+
+
+def rollback(rows: DataFrame, runs: DataFrame, run_col: str = "run_id") -> DataFrame:
+    """Rows without those of failed runs (run_id, state); rows without a run stay."""
+    failed = runs.where("state = 'failed'").select(F.col("run_id").alias("_run"))
+    return rows.join(failed, F.col(run_col) == F.col("_run"), "left_anti")
+
+
+def throughput(events: DataFrame, seconds: int = 60) -> DataFrame:
+    """(begin, events, per_second) in windows of so many seconds of events (ts)."""
+    w = events.groupBy(F.window("ts", f"{seconds} seconds")).agg(F.count("*").alias("events"))
+    return w.select(F.col("window.start").alias("begin"), "events", F.round(F.col("events") / seconds, 6).alias("per_second"))
+
+
+def backlog(submitted: DataFrame, done: DataFrame) -> DataFrame:
+    """(waiting): how many submitted ids aren't done."""
+    return submitted.select("id").distinct().join(done.select("id"), "id", "left_anti").agg(F.count("*").alias("waiting"))
+
+
+def recent(events: DataFrame, most: int, keys: list[str] | None = None, where: dict[str, str] | None = None, order: str = "seq") -> DataFrame:
+    """The last so many events, of each key where there are keys, that have the given values: a ring buffer's content."""
+    for column, value in (where or {}).items():
+        events = events.where(F.col(column) == value)
+    if not keys:
+        return events.orderBy(F.desc(order)).limit(most)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
+    return events.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
+
+
 def sweep(stored: DataFrame, discovered: DataFrame) -> DataFrame:
     """Stored paths that are no longer there; none if nothing was discovered at all."""
     gone = stored.select("path").distinct().join(discovered.select("path"), "path", "left_anti")
@@ -70,6 +127,11 @@ def valid_answers(sources: DataFrame, current: DataFrame) -> DataFrame:
     return sources.select("query_hash").distinct().join(j.groupBy("query_hash").agg(F.min(F.col("now") == F.col("section_hash")).alias("ok")), "query_hash", "left").select("query_hash", F.coalesce("ok", F.lit(True)).alias("valid"))
 
 
+def kept_answers(cache: DataFrame, sources: DataFrame, current: DataFrame) -> DataFrame:
+    """Cached answers (query_hash, …) without those whose sources have changed."""
+    return cache.join(valid_answers(sources, current).where("not valid").select("query_hash"), "query_hash", "left_anti")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``old`` without those that ``new`` replaces, and ``new``; for writing to a new version of a table."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)

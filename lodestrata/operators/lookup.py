@@ -17,9 +17,12 @@ def language(path: str) -> F.Column:
     return F.coalesce(F.create_map(*[x for k, v in LANGUAGES.items() for x in (F.lit(k), F.lit(v))])[ext], F.lit("other"))
 
 
-def toc(sections: DataFrame) -> DataFrame:
-    """Sections in document order with their words; exact duplicates once."""
+def toc(sections: DataFrame, claims: DataFrame | None = None) -> DataFrame:
+    """Sections in document order with their words and, given claims (section_id), their number; exact duplicates once."""
     s = sections.dropDuplicates(["id"])
+    if claims is not None:
+        n = claims.groupBy(F.col("section_id").alias("id")).agg(F.count("*").alias("claims"))
+        return toc(sections).join(n, "id", "left").withColumn("claims", F.coalesce("claims", F.lit(0)))
     return s.select("document_id", "position", "id", "depth", F.array_join(F.coalesce("heading_path", F.array().cast("array<string>")), " > ").alias("heading"), F.when(F.col("text").isNull(), 0).otherwise(S.word_count(F.col("text"))).alias("words"))
 
 
@@ -66,3 +69,18 @@ def resolve_content(sections: DataFrame, symbols: DataFrame) -> DataFrame:
         .unionByName(y.select(F.lit("symbol-stub").alias("resolution"), F.col("id").alias("content_id"), F.concat_ws("\n", "signature", "doc_comment").alias("text")))
         .unionByName(y.select(F.lit("symbol-full").alias("resolution"), F.col("id").alias("content_id"), F.concat_ws("\n", F.format_string("%s:%d-%d", "file_path", "line_start", "line_end"), "signature").alias("text")))
     )
+
+
+def document_list(documents: DataFrame, sections: DataFrame) -> DataFrame:
+    """(source_path, title, root_id, sections): documents with how many sections they have."""
+    n = sections.select("id", "document_id").distinct().groupBy(F.col("document_id").alias("source_path")).agg(F.count("*").alias("sections"))
+    return documents.join(n, "source_path", "left").select("source_path", "title", "root_id", F.coalesce("sections", F.lit(0)).alias("sections"))
+
+
+def absolute_paths(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """(path, absolute): a path under a known root (root_id, folder) in its folder; absolute paths and those of unknown roots as they are."""
+    r = roots.select(F.col("root_id").alias("_root"), "folder")
+    first = F.substring_index("path", "/", 1)
+    j = files.select("path").join(r, ~F.col("path").startswith("/") & (first == F.col("_root")), "left")
+    rest = F.expr("substring(path, length(_root) + 2)")
+    return j.select("path", F.when(F.col("folder").isNotNull(), F.concat(F.regexp_replace("folder", "/+$", ""), F.lit("/"), rest)).otherwise(F.col("path")).alias("absolute"))

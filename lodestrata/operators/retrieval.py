@@ -38,7 +38,8 @@ def knn_exact(points: DataFrame, queries: DataFrame, k: int, pool: bool = False)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best: dict = {}
+            # a content among the k nearest of all is among the k nearest of its task, so each task holds and gives k a query
+            held = pd.DataFrame({"q": pd.Series(dtype="int64"), "content": pd.Series(dtype=object), "id": pd.Series(dtype=object), "distance": pd.Series(dtype="float64")})
             for batch in batches:
                 own = batch[batch["vector"].map(len) == wide]
                 for at in range(0, len(own), 2048):
@@ -46,21 +47,28 @@ def knn_exact(points: DataFrame, queries: DataFrame, k: int, pool: bool = False)
                     x = np.stack(part["vector"].to_numpy()).astype(np.float64)
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
                     d = np.round(1 - q @ x.T, 9)
-                    names, contents = part["id"].to_numpy(), part["content"].to_numpy()
-                    keep = len(part) if pool else min(k, len(part))
-                    for i in range(len(ids)):
-                        row = d[i]
-                        near = np.arange(len(row)) if keep == len(row) else np.flatnonzero(row <= np.partition(row, keep - 1)[keep - 1])
-                        if pool:
-                            held = best.setdefault(i, {})
-                            for j in near:
-                                new = (row[j], names[j])
-                                if contents[j] not in held or new < held[contents[j]]:
-                                    held[contents[j]] = new
-                        else:
-                            best[i] = sorted(best.get(i, []) + [(row[j], names[j]) for j in near])[:k]
-            rows = [(ids[i], c, n, s) for i, held in best.items() for c, (s, n) in (held.items() if pool else ((n, (s, n)) for s, n in held))]
-            yield pd.DataFrame(rows, columns=["query_id", "content", "id", "distance"])
+                    if pool:  # the best point of each content in the part
+                        codes, contents = pd.factorize(part["content"])
+                        order = np.lexsort((part["id"].to_numpy(), codes))
+                        starts = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0])
+                        d, names = d[:, order], part["id"].to_numpy()[order]
+                        best = np.minimum.reduceat(d, starts, axis=1)
+                    else:
+                        best, names, contents = d, part["id"].to_numpy(), None
+                    keep = min(k, best.shape[1])
+                    limit = np.partition(best, keep - 1, axis=1)[:, keep - 1]
+                    r, c = np.nonzero(best <= limit[:, None])
+                    if pool:
+                        first = [starts[j] + int(np.argmax(d[i, starts[j] : (starts[j + 1] if j + 1 < len(starts) else d.shape[1])] == best[i, j])) for i, j in zip(r, c)]
+                        found = pd.DataFrame({"q": r, "content": np.asarray(contents, dtype=object)[codes[order][starts[c]]], "id": names[first], "distance": best[r, c]})
+                    else:
+                        found = pd.DataFrame({"q": r, "content": "", "id": names[c], "distance": best[r, c]})
+                    held = pd.concat([held, found]) if len(held) else found
+                    held = held.sort_values(["q", "distance", "content", "id"] if pool else ["q", "distance", "id"], kind="stable")
+                    if pool:
+                        held = held.drop_duplicates(["q", "content"])
+                    held = held[held.groupby("q").cumcount() < k]
+            yield pd.DataFrame({"query_id": ids[held["q"].to_numpy(dtype=np.int64)], "content": held["content"] if pool else held["id"], "id": held["id"], "distance": held["distance"]})
 
         kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, content {key}, id {points.schema['id'].dataType.simpleString()}, distance double"
         return use.mapInPandas(run, kinds)
@@ -130,6 +138,42 @@ def rescore(candidates: DataFrame, full: DataFrame, queries: DataFrame, depth: i
     return scored.select("query_id", "id", F.col("new").alias("score"), F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("new"), "id")).alias("rank"))
 
 
+def rerank(candidates: DataFrame, scores: DataFrame, k: int, blend: float = 0.8) -> DataFrame:
+    """(query_id, id, score, rank): prior scores blended with those of a cross-encoder (query_id, id, rerank), both scaled by min and max; without such a score the prior counts alone."""
+    j = candidates.select("query_id", "id", "score").join(scores, ["query_id", "id"], "left")
+    w = Window.partitionBy("query_id")
+    prior = S.min_max(F.col("score"), F.min("score").over(w), F.max("score").over(w))
+    own = S.min_max(F.col("rerank"), F.min("rerank").over(w), F.max("rerank").over(w))
+    blended = j.select("query_id", "id", F.round(F.when(F.col("rerank").isNull(), prior).otherwise(blend * own + (1 - blend) * prior), 9).alias("new"))
+    ranked = blended.select("query_id", "id", F.col("new").alias("score"), F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("new"), "id")).alias("rank"))
+    return ranked.where(F.col("rank") <= k)
+
+
+def resolved(candidates: DataFrame, texts: DataFrame) -> DataFrame:
+    """Candidates (query_id, id, …) with their text (id, text), without those that have none or only a placeholder for it."""
+    return candidates.join(texts.select("id", "text"), "id").where(F.col("text").isNotNull() & ~S.is_placeholder(F.col("text")))
+
+
+def survey(dense: DataFrame, sparse: DataFrame, texts: DataFrame, scores: DataFrame | None, k: int, sparse_weight: float = 0.5, over_fetch: int = 3) -> DataFrame:
+    """(query_id, id, score, rank, text): both lists fused, more than asked for; texts resolved and placeholders dropped; then reranked and cut."""
+    found = resolved(fuse(dense, sparse, sparse_weight, over_fetch * k), texts)
+    if scores is not None:
+        return rerank(found, scores, k).join(found.select("query_id", "id", "text"), ["query_id", "id"])
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "score", "rank", "text")
+
+
+def uncovered(questions: DataFrame, kept: DataFrame) -> DataFrame:
+    """(query_id, question) of the sub-questions that no kept source (query_id, text) answers; they are asked in a second round."""
+    held = kept.groupBy("query_id").agg(F.collect_list("text").alias("texts"))  # at most the kept sources of a question
+    return questions.join(held, "query_id", "left").where(~S.covered(F.col("question"), F.coalesce("texts", F.array().cast("array<string>")))).select("query_id", "question")
+
+
+def second_round(first: DataFrame, second: DataFrame, least: float = 3.0, most: int = 8) -> DataFrame:
+    """Kept sources (query_id, id, score) of both rounds, the better score of what both found."""
+    return kept_sources(first.unionByName(second).groupBy("query_id", "id").agg(F.max("score").alias("score")), least, most)
+
+
 def merge_corpora(results: DataFrame, boosts: dict[str, float], k: int) -> DataFrame:
     """(query_id, corpus_id, id, score, rank): scores times the corpus's boost, held within 0..10; a boost that is no number is 1."""
     clean = {c: 1.0 if b != b or b in (float("inf"), float("-inf")) else max(0.0, min(10.0, b)) for c, b in boosts.items()}

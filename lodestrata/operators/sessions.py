@@ -6,6 +6,7 @@ Turns are unique within a session.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,6 +23,8 @@ CONTIGUITY = 0.1
 # What each compression tier keeps.
 RETENTION = {"full": 1.0, "extractive": 0.30, "abstractive": 0.10}
 BOOKMARK_TOKENS = 5
+# What a prefetch of each strategy weighs.
+STRATEGY_WEIGHTS = {"sequential": 1.0, "topical": 0.7, "structural": 0.8, "cross_session": 0.6, "survey_expand": 0.9, "agent_plan": 0.5}
 
 
 def _map(values: dict[str, float], key: Column, default: float) -> Column:
@@ -113,35 +116,110 @@ def memory_states(accesses: DataFrame) -> DataFrame:
     return folded.select("session_id", "content_id", F.round("m.s", 6).alias("stability"), F.round("m.d", 6).alias("difficulty"), F.col("m.t").alias("last_turn"), F.col("m.n").alias("accesses"))
 
 
+class _Memory:
+    """The memory state of one content; the same rules as ``memory_states``."""
+
+    def __init__(self, turn: int) -> None:
+        self.stability, self.difficulty, self.turn = 1.0, 0.3, turn
+
+    def recall(self, turn: int) -> float:
+        return 1 / (1 + (turn - self.turn) / (9 * max(self.stability, 0.1)))
+
+    def accessed(self, turn: int, rating: str) -> None:
+        r = self.recall(turn)
+        if rating == "again":
+            self.difficulty = min(1.0, self.difficulty + 0.2)
+            self.stability = max(0.1, self.stability * 0.5)
+        else:
+            self.difficulty = max(0.0, self.difficulty - 0.1) if rating == "easy" else self.difficulty
+            growth = 1 + math.exp(0.1) * max(1.0, 11 - self.difficulty * 10) * self.stability**-0.2 * (math.exp(0.05 * (1 - r)) - 1)
+            self.stability *= max(1.01, growth)
+        self.turn = turn
+
+
+def _by_session(rows: DataFrame, order: str = "turn") -> DataFrame:
+    """Rows with each session in one partition, in order, so a fold can stream over it with nothing but its state held."""
+    return rows.repartition("session_id").sortWithinPartitions("session_id", order)
+
+
 def window_simulation(deliveries: DataFrame, capacity: int, policy: str = "fifo") -> DataFrame:
     """(session_id, content_id, evicted_turn): evictions of a context window of limited tokens; policies fifo, lru, fsrs.
 
-    The state of a session is its window, bounded by the capacity; sessions are
-    independent, so each is folded in order by itself.
+    A content that comes again leaves its place and goes to the end, whatever the
+    policy.  fifo and lru evict from the front, the fresh content too if it alone
+    exceeds the window; fsrs evicts what is recalled least, the earliest of equals,
+    the fresh content counting as wholly recalled.  A column ``rating`` (again, good,
+    easy) is used where there is one.  Rows are streamed by session; what is held is
+    the window and, for fsrs, one state a content.
     """
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        held: dict[str, list[int]] = {}
-        out, used = [], 0
-        for r in part.sort_values("turn").itertuples(index=False):
-            if r.content_id in held:
-                if policy == "fifo":
-                    continue
-                used -= held[r.content_id][0]
-                entered, count = held.pop(r.content_id)[1:]
-            else:
-                entered, count = r.turn, 0
-            held[r.content_id] = [int(r.tokens), r.turn if policy != "fifo" else entered, count + 1]
-            used += int(r.tokens)
-            while used > capacity and len(held) > 1:
-                others = [c for c in held if c != r.content_id]
-                victim = others[0] if policy != "fsrs" else min(others, key=lambda c: (1 / (1 + (r.turn - held[c][1]) / (9.0 * held[c][2])), c))
-                used -= held.pop(victim)[0]
-                out.append((r.session_id, victim, r.turn))
-        return pd.DataFrame(out, columns=["session_id", "content_id", "evicted_turn"])
+    if "rating" not in deliveries.columns:
+        deliveries = deliveries.withColumn("rating", F.lit("good"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, held, memory, used = None, {}, {}, 0
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if r.session_id != session:
+                    session, held, memory, used = r.session_id, {}, {}, 0
+                used += int(r.tokens) - held.pop(r.content_id, 0)
+                held[r.content_id] = int(r.tokens)
+                if policy == "fsrs":
+                    if r.content_id in memory:
+                        memory[r.content_id].accessed(r.turn, r.rating)
+                    else:
+                        memory[r.content_id] = _Memory(r.turn)
+                while used > capacity and held:
+                    victim = next(iter(held)) if policy != "fsrs" else min(held, key=lambda c: 1.0 if c == r.content_id else memory[c].recall(r.turn))
+                    used -= held.pop(victim)
+                    out.append((session, victim, r.turn))
+            yield pd.DataFrame(out, columns=["session_id", "content_id", "evicted_turn"])
 
     kind = deliveries.schema["session_id"].dataType.simpleString()
-    return deliveries.select("session_id", "content_id", "tokens", "turn").groupBy("session_id").applyInPandas(fold, f"session_id {kind}, content_id string, evicted_turn long")
+    rows = _by_session(deliveries.select("session_id", "content_id", F.col("tokens").cast("long").alias("tokens"), F.col("turn").cast("long").alias("turn"), "rating"))
+    return rows.mapInPandas(run, f"session_id {kind}, content_id string, evicted_turn long")
+
+
+def priority_cache(requests: DataFrame, capacity: int = 50) -> DataFrame:
+    """(session_id, requests, hits, misses, evictions) of a prefetch cache over requests (session_id, turn, op, key, strategy, confidence), op being get or put.
+
+    A put of a new key evicts the key of the least priority once the cache is full,
+    recomputed at that turn; of equals the least key.  A get raises the count of its key.
+    """
+
+    def priority(e: tuple[int, int, float, float], turn: int) -> float:
+        entered, hits, confidence, weight = e
+        return confidence * weight * 0.95 ** (turn - entered) * (1 + math.log2(1 + hits))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, cache, counts = None, {}, [0, 0, 0, 0]
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if r.session_id != session:
+                    out += [(session, *counts)] if session is not None else []
+                    session, cache, counts = r.session_id, {}, [0, 0, 0, 0]
+                counts[0] += 1
+                held = cache.get(r.key)
+                if r.op == "get":
+                    counts[1 if held else 2] += 1
+                    if held:
+                        cache[r.key] = (held[0], held[1] + 1, held[2], held[3])
+                elif held:
+                    cache[r.key] = (held[0], held[1], r.confidence, r.weight)
+                elif capacity > 0:
+                    if len(cache) >= capacity:
+                        del cache[min(cache, key=lambda k: (priority(cache[k], r.turn), k))]
+                        counts[3] += 1
+                    cache[r.key] = (r.turn, 0, r.confidence, r.weight)
+            yield pd.DataFrame(out, columns=["session_id", "requests", "hits", "misses", "evictions"])
+        if session is not None:
+            yield pd.DataFrame([(session, *counts)], columns=["session_id", "requests", "hits", "misses", "evictions"])
+
+    kind = requests.schema["session_id"].dataType.simpleString()
+    weight = _map(STRATEGY_WEIGHTS, F.col("strategy"), 1.0)
+    rows = _by_session(requests.select("session_id", F.col("turn").cast("long").alias("turn"), "op", "key", F.col("confidence").cast("double").alias("confidence"), weight.alias("weight")))
+    return rows.mapInPandas(run, f"session_id {kind}, requests long, hits long, misses long, evictions long")
 
 
 def outcomes(reads: DataFrame, edits: DataFrame) -> DataFrame:
@@ -166,6 +244,30 @@ def co_access(accesses: DataFrame) -> DataFrame:
     return x.join(y, (F.col("x.session_id") == F.col("y.session_id")) & (F.col("x.section_id") < F.col("y.section_id"))).groupBy(F.col("x.section_id").alias("a"), F.col("y.section_id").alias("b")).agg(F.count("*").alias("sessions"))
 
 
+def co_access_incremental(new: DataFrame, previous: DataFrame) -> DataFrame:
+    """(a, b, sessions), a < b: pairs among the new sections of a session, and of new with previously counted ones; so each pair counts once a session however often this runs."""
+    fresh, known = new.select("session_id", "section_id").distinct(), previous.select("session_id", "section_id").distinct()
+    x, y, z = fresh.alias("x"), fresh.alias("y"), known.alias("z")
+    inner = x.join(y, (F.col("x.session_id") == F.col("y.session_id")) & (F.col("x.section_id") < F.col("y.section_id"))).select(F.col("x.session_id").alias("s"), F.col("x.section_id").alias("p"), F.col("y.section_id").alias("q"))
+    across = x.join(z, (F.col("x.session_id") == F.col("z.session_id")) & (F.col("x.section_id") != F.col("z.section_id"))).select(F.col("x.session_id").alias("s"), F.col("x.section_id").alias("p"), F.col("z.section_id").alias("q"))
+    pairs = inner.unionByName(across).select("s", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("sessions"))
+
+
+def co_accessed(pairs: DataFrame, k: int) -> DataFrame:
+    """(section_id, partner, sessions, rank): of each section the k others that it shares the most sessions with."""
+    both = pairs.select(F.col("a").alias("section_id"), F.col("b").alias("partner"), "sessions").unionByName(pairs.select(F.col("b").alias("section_id"), F.col("a").alias("partner"), "sessions"))
+    rank = F.row_number().over(Window.partitionBy("section_id").orderBy(F.desc("sessions"), "partner"))
+    return both.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def totals(deliveries: DataFrame, evictions: DataFrame, compressions: DataFrame) -> DataFrame:
+    """The metrics of sessions with their evictions and compressions (both: session_id)."""
+    count = lambda df, name: df.groupBy("session_id").agg(F.count("*").alias(name))
+    out = metrics(deliveries).join(count(evictions, "evictions"), "session_id", "left").join(count(compressions, "compressions"), "session_id", "left")
+    return out.withColumn("evictions", F.coalesce("evictions", F.lit(0))).withColumn("compressions", F.coalesce("compressions", F.lit(0)))
+
+
 def topic_vectors(accesses: DataFrame, decay: float = 0.3, last: int = 5) -> DataFrame:
     """(session_id, turn, topic): of the last accesses, the normalised sum of vectors weighted by (1 - decay) ** age."""
     w = Window.partitionBy("session_id").orderBy("turn").rowsBetween(-(last - 1), 0)
@@ -187,6 +289,32 @@ def prefetch_candidates(accesses: DataFrame, sections: DataFrame, siblings: int
     return sequential.unionByName(near)
 
 
+def prefetch_related(accesses: DataFrame, related: DataFrame, strategy: str, most: int) -> DataFrame:
+    """(session_id, turn, candidate, strategy): of related sections (section_id, candidate, score) the best so many of each access, but for those that the session has seen.
+
+    Topical candidates come from section similarities, cross-session ones from
+    co-accesses, survey expansions from results of the session's own surveys.
+    """
+    j = accesses.join(related, "section_id").where("candidate <> section_id")
+    seen = accesses.select("session_id", F.col("section_id").alias("candidate"), F.col("turn").alias("_t"))
+    fresh = j.join(seen.groupBy("session_id", "candidate").agg(F.min("_t").alias("_t")), ["session_id", "candidate"], "left").where(F.col("_t").isNull() | (F.col("_t") > F.col("turn")))
+    rank = F.row_number().over(Window.partitionBy("session_id", "turn").orderBy(F.desc("score"), "candidate"))
+    return fresh.withColumn("_r", rank).where(F.col("_r") <= most).select("session_id", "turn", "candidate", F.lit(strategy).alias("strategy"))
+
+
+def prefetch_planned(calls: DataFrame, surveys: DataFrame, most: int = 3) -> DataFrame:
+    """(session_id, turn, candidate, strategy): after a survey (session_id, turn, section_id, rank) whose results the session begins to read (calls: session_id, turn, section_id), the best results not yet read."""
+    last = surveys.select("session_id", F.col("turn").alias("asked"), F.col("section_id").alias("candidate"), "rank")
+    read = calls.select("session_id", "turn", "section_id")
+    newest = read.join(last.select("session_id", "asked").distinct(), "session_id").where("asked < turn").groupBy("session_id", "turn", "section_id").agg(F.max("asked").alias("asked"))
+    begun = newest.join(last.select("session_id", "asked", F.col("candidate").alias("section_id")), ["session_id", "asked", "section_id"], "left_semi")
+    open_ = begun.join(last, ["session_id", "asked"]).where("candidate <> section_id")
+    before = read.select("session_id", F.col("section_id").alias("candidate"), F.col("turn").alias("_t")).groupBy("session_id", "candidate").agg(F.min("_t").alias("_t"))
+    fresh = open_.join(before, ["session_id", "candidate"], "left").where(F.col("_t").isNull() | (F.col("_t") > F.col("turn")))
+    order = F.row_number().over(Window.partitionBy("session_id", "turn").orderBy("rank", "candidate"))
+    return fresh.withColumn("_r", order).where(F.col("_r") <= most).select("session_id", "turn", "candidate", F.lit("agent_plan").alias("strategy"))
+
+
 def hit_rates(prefetches: DataFrame) -> DataFrame:
     """(strategy, hits, rate): hits of each strategy over all prefetches (strategy, hit)."""
     total = prefetches.agg(F.count("*").alias("all"))

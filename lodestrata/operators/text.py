@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -214,3 +218,84 @@ def compression_quality(pairs: DataFrame) -> DataFrame:
     density = F.when(F.col("wc") > 0, F.col("tb") / F.col("wc")).otherwise(0.0)
     quality = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.6 * retention + 0.3 * (1 - ratio) + 0.1 * density))
     return base.select("id", F.round(ratio, 6).alias("ratio"), F.round(retention, 6).alias("retention"), F.round(quality, 6).alias("quality"))
+
+
+def term_index(claims_df: DataFrame) -> DataFrame:
+    """(term, claim_id): the inverted index of the claims' significant terms, a row a posting."""
+    return claims_df.select("claim_id", F.explode(significant_terms(F.col("text"))).alias("term")).select("term", "claim_id")
+
+
+# --- ways to compress a text ---------------------------------------------------------
+
+# Endings that mark the id of code, and with what a line of a definition begins.
+CODE_ENDINGS = [".rs", ".py", ".ts", ".tsx", ".js", ".jsx", ".go", ".java", ".c", ".cpp", ".h", ".hpp", ".cs", ".rb", ".swift", ".kt", ".scala", ".zig", ".lua", ".sh", ".bash", ".toml", ".yaml", ".yml", ".json"]
+DEFINITION_PREFIXES = ["pub ", "fn ", "struct ", "impl ", "trait ", "enum ", "type ", "const ", "def ", "class ", "func ", "function "]
+
+
+def shorter(made: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, compressed) of what was made where it is shorter than the text."""
+    return made.join(texts.select("id", "text"), "id").where("octet_length(compressed) < octet_length(text)").select("id", "compressed")
+
+
+def salient_summaries(sections: DataFrame, keywords: list[str], k: int = 3) -> DataFrame:
+    """(id, compressed): of the 2k best sentences first those with a keyword, in their order, then the others, k in all; only of texts with more than k sentences."""
+    if not keywords:
+        return shorter(summaries(sections, k).withColumnRenamed("summary", "compressed"), sections)
+    long = sections.where(F.size(summary_sentences(F.col("text"))) > k)
+    parts = summaries(long, 2 * k).select("id", F.posexplode(summary_sentences(F.col("summary"))).alias("pos", "sentence"))
+    hit = functools.reduce(lambda a, b: a | b, [F.lower("sentence").contains(w) for w in keywords])
+    order = F.row_number().over(Window.partitionBy("id").orderBy(F.when(hit, 0).otherwise(1), "pos"))
+    best = parts.withColumn("r", order).where(F.col("r") <= k)
+    made = best.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "sentence"))), lambda x: x["sentence"]), " ").alias("compressed"))  # k entries
+    return shorter(made, sections)
+
+
+def structured_claims(sections: DataFrame) -> DataFrame:
+    """(id, compressed): the claims of a text, joined."""
+    c = claims(sections).groupBy(F.col("section_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]), " | ").alias("compressed"))
+    return shorter(c, sections)
+
+
+def code_outline(text: Column) -> Column:
+    """Of more than five lines of code: the doc comment and the definition after it, or the lines down to the first definition or blank line."""
+    lines = F.split(F.regexp_replace(text, r"\r\n", "\n"), "\n")
+    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+    starts = lambda x, prefixes: F.exists(F.array(*[F.lit(p) for p in prefixes]), lambda p: F.startswith(F.trim(x), p))
+    state = F.struct(F.lit(0).alias("n"), F.lit(False).alias("doc"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("kept"))
+
+    def step(acc: Column, x: Column) -> Column:
+        bare = F.trim(x)
+        doc = starts(x, ["///", "//!", "#"])
+        signature = acc["doc"] & ~doc & (bare != "") & ~bare.startswith("//")
+        blank = ~acc["doc"] & ~doc & (bare == "") & (F.size(acc["kept"]) > 0)
+        plain = ~acc["doc"] & ~doc & ~blank
+        keep = ~acc["done"] & (doc | signature | plain)
+        done = acc["done"] | signature | blank | (plain & starts(x, DEFINITION_PREFIXES))
+        return F.struct((acc["n"] + 1).alias("n"), (acc["doc"] | (doc & ~acc["done"])).alias("doc"), done.alias("done"), F.when(keep, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
+
+    return F.when(F.size(lines) <= 5, text).otherwise(F.array_join(F.aggregate(lines, state, step)["kept"], "\n"))
+
+
+def compressed_by_kind(contents: DataFrame, k: int = 3) -> DataFrame:
+    """(id, method, compressed) of contents (id, text): claims stay as they are, ids of code are outlined, all else is summarised."""
+    low = F.lower("id")
+    code = functools.reduce(lambda a, b: a | b, [low.contains(e) for e in CODE_ENDINGS])
+    typed = contents.where("text is not null").withColumn("_kind", F.when(F.col("id").rlike(r":c\d+$"), "claim").when(code, "code").otherwise("prose"))
+    prose, source = typed.where("_kind = 'prose'"), typed.where("_kind = 'code'")
+    made = shorter(summaries(prose, k).withColumnRenamed("summary", "compressed"), prose).withColumn("method", F.lit("extractive"))
+    outlined = shorter(source.select("id", code_outline(F.col("text")).alias("compressed")), source).withColumn("method", F.lit("code_summary"))
+    return made.unionByName(outlined).select("id", "method", "compressed")
+
+
+def abstractive(sections: DataFrame, model: Callable[[list[str]], list[str | None]] | None, k: int = 3) -> DataFrame:
+    """(id, method, compressed): what a model makes of a text; the best sentences where there is no model or it gives nothing shorter."""
+    fallback = shorter(summaries(sections.where("text is not null"), k).withColumnRenamed("summary", "compressed"), sections).withColumn("method", F.lit("extractive"))
+    if model is None:
+        return fallback.select("id", "method", "compressed")
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(model(texts.tolist()), dtype=object, index=texts.index)
+
+    made = shorter(sections.where("text is not null").select("id", run("text").alias("compressed")).where("compressed is not null"), sections).withColumn("method", F.lit("abstractive"))
+    return made.unionByName(fallback.join(made.select("id"), "id", "left_anti")).select("id", "method", "compressed")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import scalar as S
 from lodestrata.operators import graph as G
 from lodestrata.operators import incremental as I
-from lodestrata.plans.lookups import SYMBOLS, TEST_PATH
+from lodestrata.plans.lookups import ARITY, SYMBOLS, TEST_PATH
 from lodestrata.session import table
 from lodestrata.sources import code
 
@@ -67,13 +67,10 @@ def transitive_callers(s, d):
 
 
 def diff_impact(s, d):
-    """Symbols reached from those in the first 40 lines of stale files, by least depth."""
+    """Symbols outside stale files' symbols that these are called by, by least depth; whole files count as changed."""
     y, r = _t(s, d)
-    stale = I.freshness(table(s, d, "source_files"), table(s, d, "file_hashes")).where("state = 'stale'").select(F.col("path").alias("file_path"), F.lit(1).alias("lo"), F.lit(40).alias("hi"))
-    seeds = G.overlapping(y, stale).select("id")
-    edges = G.call_edges(r)
-    one = G.impact(edges.select(F.col("src"), F.col("dst")), seeds, depth=2)
-    return one.groupBy("id").agg(F.min("depth").alias("depth"))
+    stale = I.freshness(table(s, d, "source_files"), table(s, d, "file_hashes")).where("state = 'stale'").select(F.col("path").alias("file_path"), F.lit(1).alias("lo"), F.lit(2**31 - 1).alias("hi"))
+    return G.diff_impact(G.call_edges(r), G.overlapping(y, stale))
 
 
 def enclosing_symbols(s, d):
@@ -88,9 +85,50 @@ def _endpoints(s, d, endings):
     return named.select("id", F.lit("call").alias("kind"), F.col("name").alias("binding_key"), F.lit(1.0).alias("confidence"))
 
 
+EXPORTS, IMPORTS = ["rs", "py"], ["ts", "js", "java"]
+
+
 def bridge_links(s, d):
     """Rust and Python functions called by their names in TypeScript, JavaScript and Java."""
-    return G.bridge_links(_endpoints(s, d, ["rs", "py"]), _endpoints(s, d, ["ts", "js", "java"]))
+    return G.bridge_links(_endpoints(s, d, EXPORTS), _endpoints(s, d, IMPORTS))
+
+
+def _details(s, d):
+    y = table(s, d, "symbols").dropDuplicates(["id"])
+    places = y.select("id", "file_path", F.col("name").alias("binding_key"), F.col("name").alias("symbol_name"), F.regexp_extract("file_path", r"\.([a-z]+)$", 1).alias("language"), F.col("line_start").alias("line"))
+    return G.link_details(bridge_links(s, d), places, y)
+
+
+def bridge_details(s, d):
+    return _details(s, d)
+
+
+def bridge_filtered(s, d):
+    """Links that have to do with rings, with TypeScript on either side."""
+    return G.filter_links(_details(s, d), query="SE", language="TS").select("kind", "export_id", "import_id", "confidence")
+
+
+def bridge_nodes(s, d):
+    return G.bridge_graph(_details(s, d))[0]
+
+
+def bridge_references(s, d):
+    """References, with links of endpoints as references of kind bridge."""
+    y, r = _t(s, d)
+    return G.references_over_bridges(y, r, _details(s, d)).groupBy("ref_kind").agg(F.count("*").alias("refs"), F.countDistinct("to_symbol_id").alias("targets"))
+
+
+def endpoint_links(s, d):
+    """Links between the endpoints that are read from the source files themselves."""
+    e = code.read_endpoints(table(s, d, "source_files")).withColumn("id", F.sha2(F.concat_ws("\u0001", "kind", "role", "path", "line", "binding_key"), 256)).dropDuplicates(["id"])
+    side = lambda role: e.where(F.col("role") == role).select("id", "kind", "binding_key", F.lit(1.0).alias("confidence"))
+    return G.bridge_links(side("export"), side("import")).groupBy("kind").agg(F.count("*").alias("links"))
+
+
+def site_representatives(s, d):
+    """Three places of each function name, in the order of files, and how many more there are."""
+    y = table(s, d, "symbols").dropDuplicates(["id"]).where("lower(trim(kind)) in ('function', 'method')")
+    return G.representatives(G.one_site_a_file(y, ["name"]), ["name"], ["file_path", "id"], 3)
 
 
 def package_edges(s, d):
@@ -103,14 +141,21 @@ def package_cycles(s, d):
 
 
 def shotgun(s, d):
-    return G.shotgun(*_t(s, d), min_files=2)
+    return G.shotgun(*_t(s, d), min_files=2).withColumn("avg_jaccard", F.round("avg_jaccard", 6))
+
+
+def _stubs(s, d):
+    """Vectors of symbols (id, vector) of the index's length; of several the least array."""
+    v = table(s, d, "vectors").join(F.broadcast(table(s, d, "hnsw_config").select("dimension").limit(1)), F.size("vector") == F.col("dimension"))  # one row
+    good = v.where("resolution = 'symbol-full'").where(~S.degenerate(S.as_double(F.col("vector"))))
+    return good.groupBy(F.col("content_id").alias("id")).agg(F.min("vector").alias("vector"))
 
 
 def low_cohesion(s, d):
-    """Files as containers of their functions."""
+    """Files as containers of their functions, which belong together by callees or alike vectors."""
     y, r = _t(s, d)
     m = y.dropDuplicates(["id"]).where("lower(trim(kind)) in ('function', 'method')").select(F.col("file_path").alias("container"), "id")
-    return G.low_cohesion(m, G.call_edges(r, ["calls", "uses"]))
+    return G.low_cohesion(m, G.call_edges(r, ["calls"]), _stubs(s, d))
 
 
 def fat_interfaces(s, d):
@@ -133,10 +178,10 @@ def call_components(s, d):
 
 
 def redundancy(s, d):
+    """Functions alike in vector and targets; the least values are lower than the default, which these data never reach."""
     y, r = _t(s, d)
-    v = table(s, d, "vectors").where("resolution = 'symbol-full' and size(vector) = 96").select(F.col("content_id").alias("id"), "vector").dropDuplicates(["id"])
-    v = v.where(~S.degenerate(S.as_double(F.col("vector"))))
-    return G.redundancy(y, r, v, min_cosine=0.6, min_overlap=0.0)
+    out = G.redundancy(y, r, _stubs(s, d), min_cosine=0.3, min_overlap=0.1)
+    return out.withColumn("avg_cosine", F.round("avg_cosine", 5)).withColumn("avg_jaccard", F.round("avg_jaccard", 5))
 
 
 def resolved_references(s, d):
@@ -160,7 +205,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         implementor_references, occurrence_symbols, references, reference_counts, pending_refs, dead_code, symbol_search, impact, impact_outgoing, impact_risk, transitive_callers, diff_impact, enclosing_symbols, bridge_links,
-        package_edges, package_cycles, shotgun, low_cohesion, fat_interfaces, concrete_dependencies, call_components, redundancy, resolved_references,
+        bridge_details, bridge_filtered, bridge_nodes, bridge_references, endpoint_links, site_representatives, package_edges, package_cycles, shotgun, low_cohesion, fat_interfaces, concrete_dependencies, call_components, redundancy, resolved_references,
     )
 }
 
@@ -175,6 +220,16 @@ _TOKENS = r"list_sort(list_distinct(list_filter(list_transform(string_split(rege
 _EDGES = f"p AS (SELECT {_PKG.format('from_file')} AS from_pkg, {_PKG.format('to_file')} AS to_pkg FROM J WHERE ref_kind IN ('uses', 'imports') AND from_name <> to_name AND NOT {TEST_PATH.replace('lower(p)', 'lower(from_file)')} AND NOT {TEST_PATH.replace('lower(p)', 'lower(to_file)')}), pe AS (SELECT from_pkg, to_pkg, count(*) AS edges FROM p WHERE from_pkg <> to_pkg GROUP BY 1, 2)"
 _SNAKE = r"CASE WHEN contains({0}, '_') THEN {0} ELSE lower(regexp_replace({0}, '(\p{{Ll}})(\p{{Lu}})', '\1_\2', 'g')) END"
 
+_REF_ONLY = _REF
+_BRIDGE = f"""S AS {SYMBOLS}, xx AS (SELECT name AS k, min(id) AS id FROM S WHERE {_FUN} AND regexp_extract(file_path, '\\.([a-z]+)$', 1) IN ('rs', 'py') GROUP BY 1), yy AS (SELECT name AS k, min(id) AS id FROM S WHERE {_FUN} AND regexp_extract(file_path, '\\.([a-z]+)$', 1) IN ('ts', 'js', 'java') GROUP BY 1),
+ bl AS (SELECT 'call' AS kind, xx.id AS export_id, yy.id AS import_id, 1.0::DOUBLE AS confidence FROM xx JOIN yy ON xx.k = yy.k UNION ALL SELECT 'call', xx.id, yy.id, 0.9::DOUBLE FROM xx JOIN yy ON {_SNAKE.format('xx.k')} = {_SNAKE.format('yy.k')} AND xx.k <> yy.k WHERE xx.k NOT IN (SELECT k FROM yy) AND yy.k NOT IN (SELECT k FROM xx)),
+ ep AS (SELECT a.id, a.file_path, a.name AS binding_key, a.name AS symbol_name, regexp_extract(a.file_path, '\\.([a-z]+)$', 1) AS language, a.line_start AS line, min(b.id) AS symbol_id FROM S a LEFT JOIN S b ON b.file_path = a.file_path AND b.name = a.name AND a.line_start BETWEEN b.line_start AND b.line_end GROUP BY ALL),
+ bd AS (SELECT kind, confidence, {", ".join(f"{q}.{c} AS {e}_{c}" for q, e in (("ex", "export"), ("im", "import")) for c in ("id", "file_path", "binding_key", "symbol_name", "language", "line", "symbol_id"))} FROM bl JOIN ep ex ON ex.id = bl.export_id JOIN ep im ON im.id = bl.import_id)"""
+_TARGETS = "tg AS (SELECT from_symbol_id AS id, list(DISTINCT to_symbol_id) AS t FROM symbol_refs WHERE ref_kind IN ('calls', 'uses', 'imports') GROUP BY 1)"
+_JACCARD = "CASE WHEN len(a.t) + len(b.t) > 0 THEN len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))::DOUBLE ELSE 0.0 END"
+_STUBS = """sv AS (SELECT content_id AS id, min(vector)::DOUBLE[] AS v FROM vectors, hnsw_config WHERE resolution = 'symbol-full' AND len(vector) = dimension AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+ AND list_sum(list_transform(vector, lambda x: x::DOUBLE * x)) >= 1e-12 GROUP BY 1)"""
+
 ORACLE = {
     "implementor_references": """WITH i AS (SELECT DISTINCT from_symbol_id AS impl, to_symbol_id AS trait FROM symbol_refs WHERE ref_kind = 'implements' AND from_symbol_id <> to_symbol_id)
         SELECT DISTINCT trait, r.from_symbol_id FROM symbol_refs r JOIN i ON i.impl = r.to_symbol_id WHERE r.ref_kind IN ('calls', 'uses') AND (trait, r.from_symbol_id) NOT IN (SELECT (to_symbol_id, from_symbol_id) FROM symbol_refs)""",
@@ -194,8 +249,8 @@ ORACLE = {
     "transitive_callers": f"""WITH RECURSIVE {_ROOTS}, {_CALLS}, b AS (SELECT id AS root, id, 0 AS depth FROM roots UNION SELECT root, src, depth + 1 FROM b JOIN e ON e.dst = b.id WHERE depth < 10)
         SELECT root AS id, count(DISTINCT id) AS callers FROM b WHERE depth > 0 GROUP BY 1""",
     "diff_impact": f"""WITH RECURSIVE h AS (SELECT path, arg_max(content_hash, {{'m': coalesce(mtime_ns, -1), 'e': extractor_version, 'r': resolver_version, 'c': content_hash}}) AS content_hash FROM file_hashes GROUP BY 1),
-        st AS (SELECT f.path FROM source_files f JOIN h ON h.path = f.path WHERE sha256(f.content) <> h.content_hash), roots AS (SELECT DISTINCT s.id FROM {SYMBOLS} s JOIN st ON st.path = s.file_path WHERE line_start <= 40 AND 1 <= line_end),
-        {_CALLS}, {_BFS.format(next='src', at='dst', n=2)} SELECT id, min(depth) AS depth FROM m WHERE depth > 0 GROUP BY 1""",
+        st AS (SELECT f.path FROM source_files f JOIN h ON h.path = f.path WHERE sha256(f.content) <> h.content_hash), roots AS (SELECT DISTINCT s.id FROM {SYMBOLS} s JOIN st ON st.path = s.file_path WHERE 1 <= line_end),
+        {_CALLS}, b AS (SELECT id, 0 AS depth FROM roots UNION SELECT src, depth + 1 FROM b JOIN e ON e.dst = b.id WHERE depth < 10) SELECT id, min(depth) AS depth FROM b GROUP BY 1 HAVING min(depth) > 0""",
     "enclosing_symbols": f"""WITH S AS {SYMBOLS} SELECT a.id AS pos_id, arg_min(b.id, {{'n': b.line_end - b.line_start, 'i': b.id}}) AS symbol_id FROM S a JOIN S b ON a.file_path = b.file_path AND a.line_start BETWEEN b.line_start AND b.line_end GROUP BY 1""",
     "bridge_links": f"""WITH S AS {SYMBOLS}, x AS (SELECT name AS k, min(id) AS id FROM S WHERE {_FUN} AND regexp_extract(file_path, '\\.([a-z]+)$', 1) IN ('rs', 'py') GROUP BY 1), y AS (SELECT name AS k, min(id) AS id FROM S WHERE {_FUN} AND regexp_extract(file_path, '\\.([a-z]+)$', 1) IN ('ts', 'js', 'java') GROUP BY 1)
         SELECT 'call' AS kind, x.id AS export_id, y.id AS import_id, 1.0::DOUBLE AS confidence FROM x JOIN y ON x.k = y.k
@@ -203,7 +258,31 @@ ORACLE = {
     "package_edges": f"WITH {_REF}, {_EDGES} SELECT from_pkg, to_pkg, edges FROM pe",
     "package_cycles": f"""WITH RECURSIVE {_REF}, {_EDGES}, st AS (SELECT from_pkg AS a, to_pkg AS b FROM pe WHERE edges >= 2), rc AS (SELECT a, b FROM st UNION SELECT rc.a, st.b FROM rc JOIN st ON rc.b = st.a),
         mu AS (SELECT x.a AS package, x.b AS other FROM rc x JOIN rc y ON x.a = y.b AND x.b = y.a) SELECT package, least(package, min(other)) AS cycle FROM mu GROUP BY package HAVING count(DISTINCT other) >= 2""",
-    "shotgun": "SELECT name, lower(trim(kind)) AS kind, count(DISTINCT file_path) AS files, count(DISTINCT string_split(file_path, '/')[1]) AS packages FROM symbols WHERE name NOT IN (" + ", ".join(f"'{n}'" for n in S.CONVENTIONAL_NAMES) + ") GROUP BY 1, 2 HAVING files >= 2 AND packages >= 2",
+    "bridge_details": f"WITH {_BRIDGE} SELECT * FROM bd",
+    "bridge_filtered": f"""WITH {_BRIDGE} SELECT kind, export_id, import_id, confidence FROM bd WHERE (contains(lower(export_binding_key), 'se') OR contains(lower(import_binding_key), 'se') OR contains(lower(export_symbol_name), 'se') OR contains(lower(import_symbol_name), 'se'))
+        AND (lower(export_language) = 'ts' OR lower(import_language) = 'ts')""",
+    "bridge_nodes": f"WITH {_BRIDGE} SELECT DISTINCT export_id AS id, 'export' AS role, export_file_path AS file_path, export_symbol_name AS label, export_language AS language FROM bd UNION SELECT import_id, 'import', import_file_path, import_symbol_name, import_language FROM bd",
+    "bridge_references": f"""WITH {_REF_ONLY}, {_BRIDGE.replace('S AS ' + SYMBOLS + ', ', '', 1)}, al AS (SELECT from_symbol_id, to_symbol_id, ref_kind FROM J UNION SELECT import_symbol_id, export_symbol_id, 'bridge' FROM bd WHERE import_symbol_id IS NOT NULL AND export_symbol_id IS NOT NULL)
+        SELECT ref_kind, count(*) AS refs, count(DISTINCT to_symbol_id) AS targets FROM al GROUP BY 1""",
+    "site_representatives": f"""WITH x AS (SELECT name, id, file_path, row_number() OVER (PARTITION BY name, file_path ORDER BY line_start, id) AS q FROM {SYMBOLS} WHERE {_FUN}), y AS (SELECT name, id, row_number() OVER (PARTITION BY name ORDER BY file_path, id) AS r FROM x WHERE q = 1)
+        SELECT name, list(id ORDER BY r) FILTER (r <= 3) AS kept, greatest(0, count(*) - 3) AS omitted FROM y GROUP BY 1""",
+    "shotgun": f"""WITH x AS (SELECT *, lower(trim(kind)) AS k FROM {SYMBOLS} WHERE {_FUN} AND name NOT IN ({", ".join(f"'{n}'" for n in S.CONVENTIONAL_NAMES)})), si AS (SELECT name, k, id, file_path FROM x QUALIFY row_number() OVER (PARTITION BY name, k, file_path ORDER BY line_start, id) = 1),
+        w AS (SELECT name, k, count(*) AS files, count(DISTINCT {_PKG.format('file_path')}) AS packages FROM si GROUP BY 1, 2 HAVING files >= 2 AND packages >= 2), {_TARGETS},
+        o AS (SELECT si.name, si.k, si.id, coalesce(t, []) AS t FROM si JOIN w USING (name, k) LEFT JOIN tg ON tg.id = si.id),
+        pr AS (SELECT a.name, a.k, {_JACCARD} AS jac FROM o a JOIN o b ON a.name = b.name AND a.k = b.k AND a.id < b.id), av AS (SELECT name, k, avg(jac) AS aj FROM pr GROUP BY 1, 2)
+        SELECT w.name, w.k AS kind, files, packages, round(aj, 6) AS avg_jaccard FROM w JOIN av USING (name, k) WHERE aj <= 0.5""",
+    "low_cohesion": f"""WITH RECURSIVE {_STUBS}, m AS (SELECT file_path AS c, id FROM {SYMBOLS} WHERE {_FUN}), mn AS (SELECT c, count(*) AS n FROM m GROUP BY 1 HAVING count(*) >= 4), mm AS (SELECT m.* FROM m JOIN mn USING (c)),
+        ca AS (SELECT DISTINCT from_symbol_id AS id, to_symbol_id AS dst FROM symbol_refs WHERE ref_kind = 'calls' AND from_symbol_id <> to_symbol_id),
+        ed AS (SELECT a.c, a.id AS x, b.id AS y FROM mm a JOIN mm b ON a.c = b.c AND a.id <> b.id JOIN ca p ON p.id = a.id JOIN ca q ON q.id = b.id AND q.dst = p.dst
+          UNION SELECT a.c, a.id, b.id FROM mm a JOIN mm b ON a.c = b.c AND a.id <> b.id JOIN sv u ON u.id = a.id JOIN sv v ON v.id = b.id WHERE list_cosine_similarity(u.v, v.v) >= 0.7),
+        rc AS (SELECT c, id AS x, id AS y FROM mm UNION SELECT rc.c, rc.x, ed.y FROM rc JOIN ed ON ed.c = rc.c AND ed.x = rc.y), co AS (SELECT c, x, min(y) AS k FROM rc GROUP BY 1, 2), sz AS (SELECT c, k, count(*) AS n FROM co GROUP BY 1, 2 HAVING count(*) >= 2)
+        SELECT c AS container, mn.n AS methods, count(*) AS parts FROM sz JOIN mn USING (c) GROUP BY 1, 2 HAVING count(*) >= 2""",
+    "redundancy": f"""WITH RECURSIVE {_STUBS}, {_TARGETS}, f AS (SELECT x.id, lower(trim(kind)) AS k, {ARITY} AS ar, file_path, line_end - line_start AS n, sv.v, coalesce(t, []) AS t FROM {SYMBOLS} x JOIN sv ON sv.id = x.id LEFT JOIN tg ON tg.id = x.id WHERE {_FUN}),
+        pr AS (SELECT a.id AS x, b.id AS y, list_cosine_similarity(a.v, b.v) AS cos, {_JACCARD} AS jac FROM f a JOIN f b ON a.k = b.k AND a.ar = b.ar AND a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.3 AND {_JACCARD} >= 0.1),
+        ed AS (SELECT x, y FROM pr UNION SELECT y, x FROM pr), rc AS (SELECT x, x AS y FROM ed UNION SELECT rc.x, ed.y FROM rc JOIN ed ON ed.x = rc.y), co AS (SELECT x AS id, min(y) AS cluster FROM rc GROUP BY 1),
+        fa AS (SELECT cluster, count(*) AS members, arg_min(id, {{'n': -n, 'f': file_path, 'i': id}}) AS canonical, count(DISTINCT file_path) > 1 AS cross_module FROM co JOIN f USING (id) GROUP BY 1),
+        av AS (SELECT cluster, avg(cos) AS c, avg(jac) AS j FROM pr JOIN co ON co.id = pr.x GROUP BY 1)
+        SELECT id, cluster, members, canonical, round(c, 5) AS avg_cosine, round(j, 5) AS avg_jaccard, cross_module FROM co JOIN fa USING (cluster) JOIN av USING (cluster)""",
     "fat_interfaces": f"""WITH {_REF}, im AS (SELECT {_PKG.format('file_path')} AS interface, id AS method FROM S WHERE {_FUN}), sz AS (SELECT interface, count(*) AS methods FROM im GROUP BY 1 HAVING count(*) >= 6),
         us AS (SELECT DISTINCT {_PKG.format('to_file')} AS interface, from_file AS implementor, to_symbol_id AS method FROM J WHERE ref_kind = 'calls'), ov AS (SELECT interface, implementor, count(*) AS n FROM us JOIN im USING (interface, method) GROUP BY 1, 2),
         ev AS (SELECT DISTINCT interface, implementor FROM us), z AS (SELECT interface, methods, count(*) AS implementors, sum(CASE WHEN coalesce(n, 0) <= floor(0.33::DOUBLE * methods) THEN 1 ELSE 0 END)::BIGINT AS under_using FROM ev LEFT JOIN ov USING (interface, implementor) JOIN sz USING (interface) GROUP BY 1, 2)

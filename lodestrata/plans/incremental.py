@@ -53,13 +53,58 @@ def answer_cache(s, d):
 
 
 def affected_sections(s, d):
-    """Sections of a stated tenth of the documents, those with ids that end in 9, taken as the changed ones."""
-    sec = table(s, d, "sections")
-    changed = table(s, d, "documents").where("doc_id % 10 = 9").select(F.col("source_path").alias("path"))
+    """Sections of the documents that came in within the week before the newest one."""
+    sec, docs = table(s, d, "sections"), table(s, d, "documents")
+    newest = docs.agg(F.max("ingested_at").alias("newest"))
+    changed = docs.crossJoin(F.broadcast(newest)).where("ingested_at > newest - interval 7 days").select(F.col("source_path").alias("path"))  # one row
     return I.affected_sections(sec, sec.where("position < 3"), changed).select("document_id", "id")
 
 
-QUERIES = {f.__name__: f for f in (freshness, latest_hashes, change_actions, stale_sweep, fingerprint, coalesced_events, coherence_stream, answer_cache, affected_sections)}
+def _stored_roots(s, d):
+    """What was stored of the roots: hashes of those with an even number of letters are as they are, others are older; versions by the first letter."""
+    f = fingerprint(s, d)
+    return f.select("root_id", F.when(F.length("root_id") % 2 == 0, F.col("root_hash")).otherwise("older").alias("root_hash"), F.when(F.substring("root_id", 1, 1) < "n", 4).otherwise(3).alias("extractor_version"))
+
+
+def short_circuit(s, d):
+    return I.short_circuit(fingerprint(s, d), _stored_roots(s, d), extractor=4)
+
+
+def rebinds(s, d):
+    """Files of today against the hashes of themselves under other names, for all whose path holds a ``g``."""
+    f = table(s, d, "source_files")
+    before = f.select(F.when(F.col("path").contains("g"), F.concat(F.lit("old/"), F.col("path"))).otherwise(F.col("path")).alias("path"), S.content_hash(F.col("content")).alias("content_hash"), F.lit(1).cast("long").alias("mtime_ns"), F.lit(4).cast("long").alias("extractor_version"), F.lit(2).cast("long").alias("resolver_version"))
+    return I.rebinds(f, before)
+
+
+def rollback(s, d):
+    """Documents but for those of the runs that failed; a source is a run, and it failed if its name ends in 3."""
+    docs = table(s, d, "documents")
+    runs = docs.select(F.col("source").alias("run_id")).distinct().withColumn("state", F.when(F.col("run_id").endswith("3"), "failed").otherwise("done"))
+    return I.rollback(docs, runs, "source").groupBy("source").agg(F.count("*").alias("documents"))
+
+
+def throughput(s, d):
+    return I.throughput(table(s, d, "events"), 3600)
+
+
+def recent_activity(s, d):
+    """The last five events of each user."""
+    return I.recent(table(s, d, "events").select("user_id", "event_type", F.col("event_id").alias("seq")), 5, ["user_id"])
+
+
+def recent_errors(s, d):
+    """The last hundred errors of all users."""
+    return I.recent(table(s, d, "events").select("user_id", "event_type", F.col("event_id").alias("seq")), 100, where={"event_type": "error"})
+
+
+def backlog(s, d):
+    """Files with a hash but without a current one."""
+    f = freshness(s, d)
+    return I.backlog(f.select(F.col("path").alias("id")), f.where("state = 'current'").select(F.col("path").alias("id")))
+
+
+QUERIES = {f.__name__: f for f in (short_circuit, rebinds, rollback, throughput, recent_activity, recent_errors, backlog, freshness, latest_hashes, change_actions, stale_sweep, fingerprint, coalesced_events, coherence_stream, answer_cache, affected_sections)}
 
 _H = "h AS (SELECT path, max({'m': coalesce(mtime_ns, -1), 'e': extractor_version, 'r': resolver_version, 'c': content_hash}) AS k FROM file_hashes GROUP BY 1)"
 _EV = """ev AS (SELECT user_id::VARCHAR || '/' || json_extract_string(props, '$.k') AS path, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'removed' ELSE 'modified' END AS kind, event_id AS seq FROM events)"""
@@ -75,5 +120,16 @@ ORACLE = {
     "coherence_stream": f"WITH {_EV} SELECT path, arg_max(kind, seq) AS kind, max(seq) AS seq FROM ev GROUP BY 1",
     "answer_cache": """WITH x AS (SELECT DISTINCT id, document_id, depth, text, sha256(text) AS h FROM sections WHERE text IS NOT NULL), s AS (SELECT document_id AS q, id, CASE WHEN h[1] IN ('1', '3') THEN 'old' ELSE h END AS sh FROM x),
         j AS (SELECT q, bool_and(h = sh) AS ok FROM s JOIN x ON x.id = s.id AND x.depth > 0 GROUP BY 1) SELECT DISTINCT s.q AS query_hash, coalesce(ok, true) AS valid FROM s LEFT JOIN j ON j.q = s.q""",
-    "affected_sections": "SELECT DISTINCT document_id, id FROM sections WHERE document_id IN (SELECT source_path FROM documents WHERE doc_id % 10 = 9)",
+    "affected_sections": "SELECT DISTINCT document_id, id FROM sections WHERE document_id IN (SELECT source_path FROM documents WHERE ingested_at > (SELECT max(ingested_at) FROM documents) - INTERVAL 7 DAY)",
+}
+_FP = ORACLE["fingerprint"]
+ORACLE |= {
+    "short_circuit": f"WITH fp AS ({_FP}) SELECT root_id, files, CASE WHEN length(root_id) % 2 = 0 AND root_id[1] < 'n' THEN files ELSE 0 END AS skipped FROM fp",
+    "rebinds": """WITH f AS (SELECT path, sha256(content) AS h FROM source_files WHERE content IS NOT NULL AND contains(path, 'g')), n AS (SELECT h, 'old/' || path AS p, row_number() OVER (PARTITION BY h ORDER BY 'old/' || path) AS k FROM f), m AS (SELECT h, path AS p, row_number() OVER (PARTITION BY h ORDER BY path) AS k FROM f)
+        SELECT n.p AS old_path, m.p AS new_path FROM n JOIN m ON n.h = m.h AND n.k = m.k""",
+    "rollback": "SELECT source, count(*) AS documents FROM documents WHERE source IS NULL OR NOT ends_with(source, '3') GROUP BY 1",
+    "throughput": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS begin, count(*) AS events, round(count(*) / 3600::DOUBLE, 6) AS per_second FROM events GROUP BY 1",
+    "recent_activity": "SELECT user_id, event_type, event_id AS seq FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 5",
+    "recent_errors": "SELECT user_id, event_type, event_id AS seq FROM events WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 100",
+    "backlog": f"WITH st AS ({ORACLE['freshness']}) SELECT count(*) FILTER (state <> 'current') AS waiting FROM st",
 }

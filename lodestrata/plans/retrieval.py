@@ -7,9 +7,13 @@ against all rows.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestrata.functions import scalar as S
+from lodestrata.operators import cells
+from lodestrata.operators import embedding as E
 from lodestrata.operators import retrieval as R
+from lodestrata.operators import text as T
 from lodestrata.plans.lookups import SYMBOLS
 from lodestrata.session import settle, table
 
@@ -99,6 +103,63 @@ def hybrid_survey(s, d):
     return _hybrid(s, d).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+def _rerank_scores(results, s, d):
+    """Stand-ins for a cross-encoder's scores: the length of the name over that of the query; none for constants."""
+    y = table(s, d, "symbols").dropDuplicates(["id"]).where("lower(trim(kind)) <> 'constant'").select("id", F.length("name").alias("n"))
+    q = _queries(s, d).select("query_id", F.length("query").alias("m"))
+    return results.select("query_id", "id").join(y, "id").join(q, "query_id").select("query_id", "id", (F.col("n") / F.col("m")).alias("rerank"))
+
+
+def reranked(s, d):
+    r = _sparse(s, d, 30).select("query_id", F.col("doc_id").alias("id"), "score")
+    return R.rerank(r, _rerank_scores(r, s, d), 10).select("query_id", "id", F.round("score", 5).alias("score"), "rank")
+
+
+def survey_chain(s, d):
+    """The whole chain: both lists fused beyond what is asked for, texts resolved, placeholders dropped, reranked, cut."""
+    p = settle(_vectors(s, d))
+    asked = p.join(_queries(s, d), p["content"] == F.col("query_id"), "inner").groupBy("query_id").agg(F.min_by("vector", "id").alias("vector"))
+    dense = R.knn_exact(p, asked, 30, pool=True).select("query_id", F.col("content").alias("id"), "rank")
+    sparse = _sparse(s, d, 30).select("query_id", F.col("doc_id").alias("id"), "rank")
+    texts = table(s, d, "symbols").dropDuplicates(["id"]).select("id", F.when(F.col("doc_comment").isNull(), F.concat(F.lit("[symbol not found: "), F.col("id"), F.lit("]"))).otherwise(F.concat_ws("\n", "signature", "doc_comment")).alias("text"))
+    found = settle(R.fuse(dense, sparse, 0.5, 30))
+    out = R.survey(dense, sparse, texts, _rerank_scores(found, s, d), 10)
+    return out.select("query_id", "id", F.round("score", 5).alias("score"), "rank", F.length("text").alias("chars"))
+
+
+def follow_ups(s, d):
+    """What to do with the first result of each search, scores being shares of the query's best."""
+    r = _sparse(s, d, 2).withColumn("share", F.col("score") / F.max("score").over(Window.partitionBy("query_id"))).where("rank = 2")
+    act = S.next_action(F.col("share"), F.lit("symbol-stub"), F.col("doc_id"))
+    return r.select("query_id", act.alias("a")).select("query_id", "a.action", "a.id")
+
+
+def merged_sources(s, d):
+    """Sparse and dense results as lists of their resolutions, fused with the authority of each."""
+    dense = R.knn_exact(_vectors(s, d), _asked_vectors(s, d), 10, pool=True).select("query_id", F.col("content").alias("id"), "rank", F.lit("symbol-full").alias("resolution"))
+    sparse = _sparse(s, d, 10).select("query_id", F.col("doc_id").alias("id"), "rank", F.lit("summary").alias("resolution"))
+    return R.merge_ranked(dense.unionByName(sparse)).withColumn("score", F.round("score", 7))
+
+
+def _asked_vectors(s, d):
+    p = _vectors(s, d)
+    return p.join(_queries(s, d), p["content"] == F.col("query_id"), "inner").groupBy("query_id").agg(F.min_by("vector", "id").alias("vector"))
+
+
+def knn_cells(s, d):
+    """Approximate search in stored cells, over-fetched for what was deleted since: every id that ends in 7."""
+    p = _points(s, d)
+    centres = cells.fit_cells(p, 32)
+    return cells.search_cells(cells.index_cells(p, centres), centres, _asked(p), 10, 14, p.where("id % 10 = 7"))
+
+
+def embedded_claims(s, d):
+    """The three claims of a section that are most like its heading, by the default embedder."""
+    sec = table(s, d, "sections").where("text is not null").dropDuplicates(["id"])
+    asked = sec.select(F.col("id").alias("query_id"), F.col("id").alias("section_id"), F.array_join(F.coalesce("heading_path", F.array().cast("array<string>")), " ").alias("query"))
+    return E.claims_by_similarity(settle(T.claims(sec)), asked, 3).withColumn("similarity", F.round("similarity", 5))
+
+
 def survey_excluding(s, d):
     """The same without what was delivered: the symbols that the query's symbol refers to."""
     refs = table(s, d, "symbol_refs").select(F.col("from_symbol_id").alias("query_id"), F.col("to_symbol_id").alias("id")).distinct()
@@ -138,7 +199,7 @@ def graph_expansion(s, d):
     return R.expand(r, e, 5).select("query_id", "id", F.round("score", 4).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (knn_exact, knn_scores, knn_maxpool, matryoshka_rescore, vector_health, term_df, postings, sparse_search, hybrid_survey, survey_excluding, cross_corpus, ir_metrics, mean_metrics, embedding_needs, graph_expansion)}
+QUERIES = {f.__name__: f for f in (reranked, survey_chain, follow_ups, merged_sources, knn_cells, embedded_claims, knn_exact, knn_scores, knn_maxpool, matryoshka_rescore, vector_health, term_df, postings, sparse_search, hybrid_survey, survey_excluding, cross_corpus, ir_metrics, mean_metrics, embedding_needs, graph_expansion)}
 
 _KNN = """e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), q AS (SELECT id AS query_id, v AS qv, label AS ql FROM e WHERE id % 100 = 0),
  dd AS (SELECT query_id, ql, id, label, round(1 - list_cosine_similarity(qv, v), 9) AS distance FROM q, e),
@@ -206,3 +267,17 @@ ORACLE = {
         c AS (SELECT query_id, id, score FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5)
         SELECT query_id, id, round(score, 4) AS score FROM r UNION ALL SELECT query_id, id, round(score, 4) FROM c""",
 }
+_SCORES = f"rs AS (SELECT x.query_id, x.id, length(y.name) / length(q.query)::DOUBLE AS rerank FROM cand x JOIN {SYMBOLS} y ON y.id = x.id AND lower(trim(y.kind)) <> 'constant' JOIN asked q ON q.query_id = x.query_id)"
+_BLEND = """w AS (SELECT c.query_id, c.id, score, rerank, min(score) OVER p AS l1, max(score) OVER p AS h1, min(rerank) OVER p AS l2, max(rerank) OVER p AS h2 FROM cand c LEFT JOIN rs ON rs.query_id = c.query_id AND rs.id = c.id WINDOW p AS (PARTITION BY c.query_id)),
+ n AS (SELECT query_id, id, CASE WHEN h1 - l1 < 1.1920929e-07 THEN 0.5 ELSE (score - l1) / (h1 - l1) END AS a, CASE WHEN rerank IS NULL THEN NULL WHEN h2 - l2 < 1.1920929e-07 THEN 0.5 ELSE (rerank - l2) / (h2 - l2) END AS b FROM w),
+ z AS (SELECT query_id, id, round(CASE WHEN b IS NULL THEN a ELSE 0.8 * b + 0.2 * a END, 9) AS score FROM n), fin AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM z QUALIFY rank <= 10)"""
+ORACLE |= {
+    "reranked": f"WITH {_POST}, {_ASKED}, cand AS (SELECT query_id, doc_id AS id, score FROM sp), {_SCORES}, {_BLEND} SELECT query_id, id, round(score, 5) AS score, rank::INT AS rank FROM fin",
+    "survey_chain": f"""WITH {_POST}, {_ASKED}, {_DENSE}, u AS (SELECT query_id, content_id AS id, 0.5 / (60 + rank - 1 + 1) AS s FROM dn UNION ALL SELECT query_id, doc_id, 0.5 / (60 + rank - 1 + 1) FROM sp),
+        t AS (SELECT query_id, id, round(sum(s), 9) AS score FROM u GROUP BY 1, 2), k AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 30),
+        cand AS (SELECT query_id, k.id, score, concat_ws(chr(10), signature, doc_comment) AS text FROM k JOIN {SYMBOLS} y ON y.id = k.id WHERE doc_comment IS NOT NULL), {_SCORES}, {_BLEND}
+        SELECT fin.query_id, fin.id, round(fin.score, 5) AS score, rank::INT AS rank, length(text)::INT AS chars FROM fin JOIN cand ON cand.query_id = fin.query_id AND cand.id = fin.id""",
+    "follow_ups": f"WITH {_POST}, {_ASKED}, s2 AS (SELECT query_id, doc_id, rank, score / max(score) OVER (PARTITION BY query_id) AS share FROM sp WHERE rank <= 2) SELECT query_id, CASE WHEN share >= 0.5 THEN 'definition' END AS action, CASE WHEN share >= 0.5 THEN doc_id END AS id FROM s2 WHERE rank = 2",
+    "merged_sources": f"""WITH {_POST}, {_ASKED}, {_DENSE}, u AS (SELECT query_id, content_id AS id, 'symbol-full' AS resolution, 1.3 / (60 + rank)::DOUBLE AS s FROM dn WHERE rank <= 10 UNION ALL SELECT query_id, doc_id, 'summary', 0.85 / (60 + rank)::DOUBLE FROM sp WHERE rank <= 10)
+        SELECT query_id, id, round(s, 7) AS score FROM u""",
+}

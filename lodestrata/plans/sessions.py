@@ -110,7 +110,7 @@ def prefetch_candidates(s, d):
 
 def topic_vectors(s, d):
     e = table(s, d, "embeddings")
-    a = e.select(F.col("label").alias("session_id"), F.col("vec_id").alias("turn"), F.slice("embedding", 1, 8).alias("vector"))
+    a = e.select(F.col("label").alias("session_id"), F.col("vec_id").alias("turn"), F.col("embedding").alias("vector"))
     t = X.topic_vectors(a)
     return t.select("session_id", "turn", F.transform("topic", lambda x: F.round(x, 5)).alias("topic"))
 
@@ -120,10 +120,51 @@ def hit_rates(s, d):
     return X.hit_rates(e.select(F.col("event_type").alias("strategy"), (F.col("value") > 50).alias("hit")))
 
 
+def _orders(s, d):
+    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_partkey").alias("section_id"), F.col("l_linenumber").alias("turn"))
+
+
+def co_access_flush(s, d):
+    """The second flush of each session: lines from the third on, against the first two, which were counted."""
+    o = _orders(s, d)
+    return X.co_access_incremental(o.where("turn > 2"), o.where("turn <= 2")).where("sessions >= 2")
+
+
+def co_accessed(s, d):
+    return X.co_accessed(co_access(s, d), 3)
+
+
+def prefetch_cross_session(s, d):
+    """Parts bought together in two or more orders, as candidates for each line of an order."""
+    both = X.co_accessed(co_access(s, d), 1_000_000).select("section_id", F.col("partner").alias("candidate"), F.col("sessions").alias("score"))
+    return X.prefetch_related(_orders(s, d), both, "cross_session", 2)
+
+
+def prefetch_planned(s, d):
+    """Users that begin to read the results of a search: signups and errors are searches with the next four keys as results."""
+    v = deliveries(s, d)
+    key = F.split("content_id", "/")[1].cast("int")
+    searches = v.where(F.col("content_id").startswith("signup/") | F.col("content_id").startswith("error/"))
+    surveys = searches.select("session_id", "turn", F.explode(F.array(*[F.lit(k) for k in range(1, 5)])).alias("rank"), key.alias("k")).select("session_id", "turn", ((F.col("k") + F.col("rank")) % 100).cast("string").alias("section_id"), "rank")
+    calls = v.where(F.col("content_id").startswith("view/")).select("session_id", "turn", key.cast("string").alias("section_id"))
+    return X.prefetch_planned(calls, surveys)
+
+
+def priority_cache(s, d):
+    """A cache of five entries that every delivery asks for and then puts."""
+    v = deliveries(s, d).select("session_id", "turn", F.split("content_id", "/")[1].alias("key"), F.when(F.col("resolution") == "section", "sequential").otherwise("structural").alias("strategy"), (F.col("tokens") / 500).alias("confidence"))
+    asked = v.select("session_id", (2 * F.col("turn")).alias("turn"), F.lit("get").alias("op"), "key", "strategy", "confidence")
+    return X.priority_cache(asked.unionByName(v.select("session_id", (2 * F.col("turn") + 1).alias("turn"), F.lit("put").alias("op"), "key", "strategy", "confidence")), 5)
+
+
+def session_totals(s, d):
+    return X.totals(deliveries(s, d), window_lru(s, d), tier_promotion(s, d))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        read_protocol, session_metrics, usage_level, drop_ranking, drop_ranking_salient, tier_promotion, fsrs_memory, window_fifo, window_lru, window_fsrs, outcomes, top_sections, co_access,
+        co_access_flush, co_accessed, prefetch_cross_session, prefetch_planned, priority_cache, session_totals, read_protocol, session_metrics, usage_level, drop_ranking, drop_ranking_salient, tier_promotion, fsrs_memory, window_fifo, window_lru, window_fsrs, outcomes, top_sections, co_access,
         prefetch_priority, prefetch_candidates, topic_vectors, hit_rates,
     )
 }
@@ -168,8 +209,22 @@ ORACLE = {
     "prefetch_candidates": """WITH s AS (SELECT DISTINCT id, document_id, position FROM sections), x AS (SELECT id, lead(id) OVER o AS nx, list(id) OVER (PARTITION BY document_id ORDER BY position ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS ar FROM s WINDOW o AS (PARTITION BY document_id ORDER BY position)),
         c AS (SELECT 'sequential' AS strategy, nx AS candidate FROM x WHERE nx IS NOT NULL UNION ALL SELECT 'structural', unnest(list_filter(ar, lambda z: z <> id)[1:3]) FROM x)
         SELECT strategy, count(*) AS candidates, count(DISTINCT candidate) AS different FROM c GROUP BY 1""",
-    "topic_vectors": """WITH v AS (SELECT label AS session_id, vec_id AS turn, embedding[1:8]::DOUBLE[] AS v FROM embeddings), h AS (SELECT session_id, turn, list(v) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS hs FROM v),
-        t AS (SELECT session_id, turn, [list_sum([hs[i][j] * pow(0.7, len(hs) - i) FOR i IN range(1, len(hs) + 1)]) FOR j IN range(1, 9)] AS t FROM h), n AS (SELECT *, sqrt(list_sum([x * x FOR x IN t])) AS n FROM t)
+    "topic_vectors": """WITH v AS (SELECT label AS session_id, vec_id AS turn, embedding::DOUBLE[] AS v FROM embeddings), h AS (SELECT session_id, turn, list(v) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS hs FROM v),
+        t AS (SELECT session_id, turn, [list_sum([hs[i][j] * pow(0.7, len(hs) - i) FOR i IN range(1, len(hs) + 1)]) FOR j IN range(1, 65)] AS t FROM h), n AS (SELECT *, sqrt(list_sum([x * x FOR x IN t])) AS n FROM t)
         SELECT session_id, turn, [round(x / n, 5) FOR x IN t] AS topic FROM n""",
     "hit_rates": "SELECT event_type AS strategy, sum((value > 50)::INT)::BIGINT AS hits, round(sum((value > 50)::INT) / (SELECT count(*) FROM events)::DOUBLE, 6) AS rate FROM events GROUP BY 1",
 }
+_CO = ORACLE["co_access"]
+ORACLE |= {
+    "co_access_flush": """WITH n AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_linenumber > 2), q AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_linenumber <= 2),
+        pr AS (SELECT a.o, a.p AS a, b.p AS b FROM n a JOIN n b ON a.o = b.o AND a.p < b.p UNION SELECT n.o, least(n.p, q.p), greatest(n.p, q.p) FROM n JOIN q ON n.o = q.o AND n.p <> q.p) SELECT a, b, count(*) AS sessions FROM pr GROUP BY 1, 2 HAVING count(*) >= 2""",
+    "co_accessed": f"WITH c AS ({_CO}), d AS (SELECT a AS section_id, b AS partner, sessions FROM c UNION ALL SELECT b, a, sessions FROM c) SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY sessions DESC, partner)::INT AS rank FROM d QUALIFY rank <= 3",
+    "prefetch_cross_session": f"""WITH c AS ({_CO}), r AS (SELECT a AS section_id, b AS candidate, sessions FROM c UNION ALL SELECT b, a, sessions FROM c), a AS (SELECT l_orderkey AS s, l_partkey AS p, l_linenumber AS t FROM lineitem),
+        f AS (SELECT s, p, min(t) AS ft FROM a GROUP BY 1, 2), j AS (SELECT a.s, a.t, candidate, sessions FROM a JOIN r ON r.section_id = a.p LEFT JOIN f ON f.s = a.s AND f.p = candidate WHERE ft IS NULL OR ft > a.t)
+        SELECT s AS session_id, t AS turn, candidate, 'cross_session' AS strategy FROM j QUALIFY row_number() OVER (PARTITION BY s, t ORDER BY sessions DESC, candidate) <= 2""",
+    "prefetch_planned": f"""WITH {_D}, k AS (SELECT session_id, turn, content_id, string_split(content_id, '/')[2]::INT AS k FROM h), sv AS (SELECT session_id, turn AS asked, (k + r) % 100 AS c, r FROM k, range(1, 5) t(r) WHERE starts_with(content_id, 'signup/') OR starts_with(content_id, 'error/')),
+        rd AS (SELECT session_id, turn, k AS c FROM k WHERE starts_with(content_id, 'view/')), nw AS (SELECT rd.session_id, rd.turn, rd.c, max(asked) AS asked FROM rd JOIN (SELECT DISTINCT session_id, asked FROM sv) q ON q.session_id = rd.session_id AND asked < rd.turn GROUP BY 1, 2, 3),
+        bg AS (SELECT * FROM nw WHERE EXISTS (SELECT 1 FROM sv WHERE sv.session_id = nw.session_id AND sv.asked = nw.asked AND sv.c = nw.c)), fr AS (SELECT session_id, c, min(turn) AS ft FROM rd GROUP BY 1, 2),
+        op AS (SELECT bg.session_id, bg.turn, sv.c, sv.r FROM bg JOIN sv ON sv.session_id = bg.session_id AND sv.asked = bg.asked AND sv.c <> bg.c LEFT JOIN fr ON fr.session_id = bg.session_id AND fr.c = sv.c WHERE ft IS NULL OR ft > bg.turn)
+        SELECT session_id, turn, c::VARCHAR AS candidate, 'agent_plan' AS strategy FROM op QUALIFY row_number() OVER (PARTITION BY session_id, turn ORDER BY r, c::VARCHAR) <= 3""",
+}

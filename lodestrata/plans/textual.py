@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestrata.operators import lookup as L
 from lodestrata.operators import text as T
 from lodestrata.plans.lookups import SECTIONS
 from lodestrata.session import table
@@ -39,8 +40,21 @@ QUERIES = {
     "code_sections": lambda s, d: _sections(s, d).where(T.looks_like_code(F.col("text"))).select("id"),
     "contextualised": lambda s, d: _sections(s, d).select("id", T.contextualised(F.col("text"), F.col("heading_path")).alias("text")),
     "compression_quality": _compressed,
+    "toc_claims": lambda s, d: L.toc(table(s, d, "sections"), T.claims(_sections(s, d))).select("id", "words", "claims"),
+    "claim_terms": lambda s, d: T.term_index(T.claims(_sections(s, d))).groupBy("term").agg(F.count("*").alias("claims")),
+    "document_summaries": lambda s, d: T.summaries(table(s, d, "documents").where("text is not null").withColumnRenamed("doc_id", "id"), 5),
+    "structured_claims": lambda s, d: T.structured_claims(_sections(s, d).where("text is not null")),
+    "salient_summaries": lambda s, d: T.salient_summaries(_sections(s, d).where("text is not null"), ["budget", "session", "index"], 2),
+    "compressed_by_kind": lambda s, d: T.compressed_by_kind(_contents(s, d), 2),
 }
 
+
+def _contents(s, d):
+    """Sections, source files, and claims, each under its own id."""
+    sections = _sections(s, d)
+    return sections.select("id", "text").unionByName(table(s, d, "source_files").select(F.col("path").alias("id"), F.col("content").alias("text"))).unionByName(T.claims(sections).select(F.col("claim_id").alias("id"), "text"))
+
+
 _CUT, _MASK = "chr(1)", "chr(2)"
 _WORDS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> '')"
 _CLAIM_SENTENCES = rf"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '{T.masked_pattern()}', '\1\2' || {_MASK}, 'g'), '([.!?])(\s*)([\p{{Lu}}"])', '\1' || {_CUT} || '\2\3', 'g'), {_CUT}),
@@ -89,3 +103,10 @@ ORACLE = {
         q AS (SELECT id, CASE WHEN wo > 0 THEN wc / wo ELSE 1.0 END AS ratio, CASE WHEN len(ta) > 0 THEN len(list_intersect(ta, tb)) / len(ta) ELSE 1.0 END AS retention, CASE WHEN wc > 0 THEN len(tb) / wc ELSE 0.0 END AS density FROM b)
         SELECT id, round(ratio, 6) AS ratio, round(retention, 6) AS retention, round(least(1.0, greatest(0.0, 0.6 * retention + 0.3 * (1 - ratio) + 0.1 * density)), 6) AS quality FROM q""",
 }
+_COUNT = _WORDS.format("text")
+ORACLE |= {
+    "toc_claims": _CLAIMS + f"SELECT x.id, CASE WHEN x.text IS NULL THEN 0 ELSE len({_COUNT.replace('text', 'x.text')}) END::INT AS words, count(k.section_id) AS claims FROM {SECTIONS} x LEFT JOIN kept k ON k.section_id = x.id GROUP BY x.id, x.text",
+    "claim_terms": _CLAIMS + f"SELECT term, count(*) AS claims FROM (SELECT unnest({_TERMS.format('text')}) AS term FROM kept) GROUP BY 1",
+    "document_summaries": _SUMMARY.replace(SECTIONS, "(SELECT doc_id AS id, text FROM documents)") + "SELECT id, string_agg(s, ' ' ORDER BY i) AS summary FROM rk WHERE r <= 5 GROUP BY 1",
+    "structured_claims": _CLAIMS + f"SELECT x.id, c AS compressed FROM (SELECT section_id, string_agg(text, ' | ' ORDER BY position) AS c FROM kept GROUP BY 1) k JOIN {SECTIONS} x ON x.id = k.section_id WHERE strlen(c) < strlen(x.text)",
+}
