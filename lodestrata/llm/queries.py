@@ -105,7 +105,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+_LIVE = """live AS (SELECT int_id AS id, min(vector)::DOUBLE[] AS v FROM vectors, hnsw_config JOIN id_map ON NOT coalesce(deleted, false) AND int_id IS NOT NULL WHERE vector_id = resolution || '::' || content_id AND len(vector) = dimension
+  AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY 1),
+ pr AS (SELECT a.id AS id, b.id AS other, list_cosine_similarity(a.v, b.v) AS cosine FROM live a JOIN live b ON a.id <> b.id),
+ nn AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(cosine, 12) DESC, other) AS r FROM pr QUALIFY r <= 5)"""
+
 ORACLE: dict[str, str] = {
+    "p3_found": f"WITH {_LIVE} SELECT DISTINCT least(id, other) AS int_a, greatest(id, other) AS int_b FROM nn WHERE cosine >= 0.85",
+    "p3_neighbours": f"WITH {_LIVE} SELECT id, r::INT AS rank, other AS neighbour, cosine FROM nn",
     "p2_found": """
         SELECT DISTINCT id AS section_id FROM sections
         WHERE length(coalesce(text, ''))
