@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import math
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -53,28 +56,74 @@ def deltas(pairs: DataFrame) -> DataFrame:
     return pairs.select("id", "old", "new").mapInPandas(run, f"id {kind}, n int, op string, line string")
 
 
-def condense(result: dict, budget: int = 22_000) -> dict:
-    """A result cut to so many characters: long texts are shortened first, then lists from their ends; what was cut is told."""
-    size = lambda x: len(json.dumps(x, ensure_ascii=False))
-    if size(result) <= budget:
+#: The tokens of a result, and what is kept back of them for the note on what was cut.
+BUDGET, RESERVE = 22_000, 220
+
+
+def count_tokens(text: str) -> int:
+    """An estimate that needs no vocabulary: four bytes a token."""
+    return -(-len(text.encode("utf-8", "surrogatepass")) // 4)
+
+
+def _cost(value: object, count: Callable[[str], int]) -> int:
+    return count(json.dumps(value, ensure_ascii=False))
+
+
+def shorten(text: str, budget: int, count: Callable[[str], int] = count_tokens) -> str:
+    """The sentences of greatest mean tf-idf that fit into the budget, in their order; of one sentence alone its words that fit."""
+    sentences = [x for x in re.split(r"(?<=[.!?])\s+|\n+", text) if x.strip()]
+    words = [re.findall(r"\w+", x.lower()) for x in sentences]
+    seen = Counter(w for ws in words for w in set(ws))
+    score = [sum(math.log(len(sentences) / seen[w]) for w in ws) / max(1, len(ws)) for ws in words]
+    kept, left = set(), budget
+    for k in sorted(range(len(sentences)), key=lambda k: (-score[k], k)):
+        n = count(sentences[k]) + 1
+        if n <= left:
+            kept.add(k)
+            left -= n
+    if kept:
+        return " ".join(sentences[k] for k in sorted(kept))
+    out: list[str] = []
+    for word in text.split():
+        if count(" ".join([*out, word, "…"])) > budget:
+            break
+        out.append(word)
+    return " ".join([*out, "…"])
+
+
+def condense(result: dict, budget: int = BUDGET, count: Callable[[str], int] = count_tokens) -> dict:
+    """A result within so many tokens: fields are served from the cheapest on, each by an equal share of what is left; texts are summarised, lists lose their last elements, and what was cut is told."""
+    original = _cost(result, count)
+    if original <= budget:
         return result
+    cut = {"reduced_fields": 0, "omitted_elements": 0}
+
+    def fit(value: object, most: int) -> object:
+        if _cost(value, count) <= most:
+            return value
+        if isinstance(value, str):
+            cut["reduced_fields"] += 1
+            return shorten(value, most, count)
+        if isinstance(value, dict):
+            left, out = most, {}
+            fields = sorted(value, key=lambda k: _cost(value[k], count))
+            for n, k in enumerate(fields):
+                left = max(0, left - count(k) - 4)
+                out[k] = fit(value[k], left // (len(fields) - n))
+                left = max(0, left - _cost(out[k], count))
+            return {k: out[k] for k in value}
+        if isinstance(value, list):
+            left, kept = most - 2, []
+            for n, x in enumerate(value):
+                own = fit(x, max(left // 2, left // (len(value) - n)))
+                price = _cost(own, count) + 1
+                if price > left and kept:
+                    cut["omitted_elements"] += len(value) - n
+                    break
+                kept.append(own)
+                left -= price
+            return kept
+        return value
 
-    def shorten(x: object, most: int) -> object:
-        if isinstance(x, str):
-            return x if len(x) <= most else x[:most] + "…"
-        if isinstance(x, list):
-            return [shorten(y, most) for y in x]
-        return {k: shorten(v, most) for k, v in x.items()} if isinstance(x, dict) else x
-
-    out: dict = dict(result)
-    for most in (2000, 1000, 500, 200, 80):
-        out = shorten(result, most)  # type: ignore[assignment]
-        if size(out) <= budget:
-            return out | {"_condensed": {"texts": most}}
-    cut: dict[str, int] = {}
-    lists = sorted((k for k, v in out.items() if isinstance(v, list)), key=lambda k: -size(out[k]))
-    for k in lists:
-        while len(out[k]) > 1 and size(out) > budget:
-            out[k] = out[k][: max(1, len(out[k]) * 3 // 4)]
-            cut[k] = len(result[k]) - len(out[k])
-    return out | {"_condensed": {"texts": 80, "left_out": cut}}
+    out = fit(result, max(1, budget - RESERVE))
+    return {**out, "_condensed": {"budget": budget, "original": original, **cut}}

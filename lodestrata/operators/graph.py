@@ -234,11 +234,11 @@ def _alike_edges(part: pd.DataFrame, min_cosine: float, min_overlap: float) -> p
     return pd.DataFrame({"a": a, "b": b}, dtype=object)
 
 
-def _in_blocks(rows: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
+def _in_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (keys, id, …) with the pair of blocks (i, j) in which they are compared and their own block ``p``; no pair of blocks holds more than about two blocks."""
     size = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     same = functools.reduce(lambda x, y: x & y, [rows[k].eqNullSafe(size[k]) for k in keys])
-    held = rows.join(size.withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int")), same).drop(*[size[k] for k in keys])
+    held = rows.join(size.withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("int")), same).drop(*[size[k] for k in keys])
     placed = held.withColumn("p", F.expr("cast(pmod(xxhash64(id), _blocks) as int)")).withColumn("_q", F.explode(F.expr("sequence(0, _blocks - 1)")))
     return placed.withColumn("i", F.least("p", "_q")).withColumn("j", F.greatest("p", "_q")).drop("_n", "_blocks", "_q")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -166,23 +166,34 @@ def paragraphs(sections: DataFrame, min_words: int = 500) -> DataFrame:
 def coalesced(sections: DataFrame, min_tokens: int = 50) -> DataFrame:
     """(document_id, group, first_position, n_sections, text): neighbours of one depth are merged while both are small.
 
-    An ordered fold over each document's sections; the accumulator is one list
-    of groups, so a document is read once.
+    Sections are streamed in their order, document by document; what is held is
+    one group, which grows only while it is small, however long a document is.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col("position"), F.col("id"), F.col("depth"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.try_element_at("heading_path", F.lit(-1)), F.lit("")).alias("heading"))))
-    start = F.expr("cast(array() as array<struct<depth:int,first:int,n:int,text:string>>)")
-    count = lambda t: F.size(_words(t))
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joins = (F.size(acc) > 0) & (last["depth"] == x["depth"]) & (count(last["text"]) < min_tokens) & (count(x["text"]) < min_tokens)
-        text = F.concat(last["text"], F.lit("\n\n"), F.when(x["heading"] != "", F.concat(F.lit("### "), x["heading"], F.lit("\n"))).otherwise(""), x["text"])
-        merged = F.struct(last["depth"].alias("depth"), last["first"].alias("first"), (last["n"] + 1).alias("n"), text.alias("text"))
-        fresh = F.struct(x["depth"].alias("depth"), x["position"].alias("first"), F.lit(1).alias("n"), x["text"].alias("text"))
-        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(merged))).otherwise(F.concat(acc, F.array(fresh)))
-
-    folded = sections.dropDuplicates(["id"]).groupBy("document_id").agg(rows.alias("rows")).withColumn("groups", F.aggregate("rows", start, step))
-    return folded.select("document_id", F.posexplode("groups").alias("group", "g")).select("document_id", "group", F.col("g.first").alias("first_position"), F.col("g.n").alias("n_sections"), F.col("g.text").alias("text"))
+    heading = F.coalesce(F.try_element_at("heading_path", F.lit(-1)), F.lit(""))
+    count = lambda c: F.size(_words(c))
+    rows = sections.dropDuplicates(["id"]).select("document_id", "position", "id", "depth", F.coalesce("text", F.lit("")).alias("text"), heading.alias("heading"))
+    rows = rows.withColumn("words", count(F.col("text"))).withColumn("more", F.when(F.col("heading") != "", count(F.col("heading")) + 1).otherwise(0))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["document_id", "group", "first_position", "n_sections", "text"]
+        now: list | None = None  # document, group, first position, sections, texts, words, depth
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if now and now[0] == r.document_id and now[6] == r.depth and now[5] < min_tokens and r.words < min_tokens:
+                    now[3] += 1
+                    now[4].append((f"### {r.heading}\n" if r.heading else "") + r.text)
+                    now[5] += r.words + r.more
+                    continue
+                if now:
+                    out.append((*now[:4], "\n\n".join(now[4])))
+                now = [r.document_id, now[1] + 1 if now and now[0] == r.document_id else 0, r.position, 1, [r.text], r.words, r.depth]
+            yield pd.DataFrame(out, columns=names)
+        if now:
+            yield pd.DataFrame([(*now[:4], "\n\n".join(now[4]))], columns=names)
+
+    ordered = rows.repartition("document_id").sortWithinPartitions("document_id", "position", "id")
+    return ordered.mapInPandas(run, "document_id string, group int, first_position int, n_sections int, text string")
 
 
 def looks_like_code(text: Column) -> Column:

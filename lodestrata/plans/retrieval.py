@@ -150,7 +150,7 @@ def knn_cells(s, d):
     """Approximate search in stored cells, over-fetched for what was deleted since: every id that ends in 7."""
     p = _points(s, d)
     centres = cells.fit_cells(p, 32)
-    return cells.search_cells(cells.index_cells(p, centres), centres, _asked(p), 10, 14, p.where("id % 10 = 7"))
+    return cells.search_cells(cells.index_cells(p, centres), centres, _asked(p), 10, 22, p.where("id % 10 = 7"))
 
 
 def embedded_claims(s, d):

@@ -40,3 +40,11 @@ def blame(blames: DataFrame) -> DataFrame:
 
 def last_author(blames: DataFrame) -> DataFrame:
     return _blamed(blames).groupBy("source").agg(F.max_by("author", "time").alias("author"), F.max("time").alias("time"), F.count("*").alias("lines"))
+
+
+def staleness(cached: DataFrame, heads: DataFrame) -> DataFrame:
+    """(repo_url, branch, state): clones (repo_url, branch, sha) against the remote heads (repo_url, branch, head): current, stale, new, or unknown where no head is known."""
+    c = cached.select(F.col("repo_url").alias("_u"), F.col("branch").alias("_b"), "sha")
+    j = heads.join(c, F.col("repo_url").eqNullSafe(F.col("_u")) & F.col("branch").eqNullSafe(F.col("_b")), "full_outer")
+    state = F.when(F.col("head").isNull(), "unknown").when(F.col("sha").isNull(), "new").when(F.col("sha") == F.col("head"), "current").otherwise("stale")
+    return j.select(F.coalesce("repo_url", "_u").alias("repo_url"), F.coalesce("branch", "_b").alias("branch"), state.alias("state"))

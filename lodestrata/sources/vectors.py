@@ -6,16 +6,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrata.operators.incremental import upsert
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _pack(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: np.asarray(v, dtype="<f4").tobytes(), na_action="ignore")
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def _unpack(blobs: pd.Series) -> pd.Series:
     return blobs.map(lambda b: np.frombuffer(b, dtype="<f4", count=len(b) // 4), na_action="ignore")
 

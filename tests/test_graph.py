@@ -77,7 +77,7 @@ def test_enclosing(spark):
 
 
 def test_redundancy_skips_large_buckets(spark):
-    s = spark.createDataFrame([(f"s{k}", "function", "def f(a)") for k in range(30)], "id string, kind string, signature string").withColumns({"file_path": F.lit("p"), "name": F.lit("n")})
+    s = spark.createDataFrame([(f"s{k}", "function", "def f(a)") for k in range(30)], "id string, kind string, signature string").withColumns({"file_path": F.lit("p"), "name": F.lit("n"), "line_start": F.lit(1), "line_end": F.lit(9)})
     v = spark.createDataFrame([(f"s{k}", [1.0, 0.001 * k]) for k in range(30)], "id string, vector array<double>")
     r = spark.createDataFrame([], "from_symbol_id string, to_symbol_id string, ref_kind string")
     assert G.redundancy(s, r, v, min_overlap=0.0).select("cluster").distinct().count() == 1
@@ -99,7 +99,7 @@ def test_redundancy_of_large_buckets(spark, monkeypatch, min_overlap):
     rng = random.Random(6)
     base = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(250)]
     vectors = [(f"s{k:03d}", [x + 0.02 * rng.gauss(0, 1) for x in base[k % 250]]) for k in range(500)]
-    symbols = spark.createDataFrame([(i, "function", "def f(a, b)", "f") for i, _ in vectors], "id string, kind string, signature string, name string")
+    symbols = spark.createDataFrame([(i, "function", "def f(a, b)", "f") for i, _ in vectors], "id string, kind string, signature string, name string").withColumns({"file_path": F.col("id"), "line_start": F.lit(1), "line_end": F.lit(9)})
     refs = [(i, t, "calls") for k, (i, _) in enumerate(vectors) for t in ("x", "y" if k < 250 or k % 2 else "z", "u" if k % 3 else "w")]
     out = G.redundancy(symbols, spark.createDataFrame(refs, "from_symbol_id string, to_symbol_id string, ref_kind string"), spark.createDataFrame(vectors, "id string, vector array<float>"), 0.9, min_overlap)
     targets = {}
@@ -108,4 +108,9 @@ def test_redundancy_of_large_buckets(spark, monkeypatch, min_overlap):
     cosine = lambda u, v: sum(a * b for a, b in zip(u, v)) / (sum(a * a for a in u) * sum(b * b for b in v)) ** 0.5
     alike = [(a, b) for n, (a, u) in enumerate(vectors) for b, v in vectors[n + 1 :] if cosine(u, v) >= 0.9 and len(targets[a] & targets[b]) >= min_overlap * len(targets[a] | targets[b])]
     want = {r.node: r.component for r in G.components(spark.createDataFrame(alike, "a string, b string")).collect()}
-    assert {r.id: r.cluster for r in out.collect()} == want and (len(want) == 500 if not min_overlap else 100 < len(want) < 500)
+    rows = out.collect()
+    by = {}
+    for a, b in alike:
+        by.setdefault(want[a], []).append(cosine(dict(vectors)[a], dict(vectors)[b]))
+    assert all(abs(r.avg_cosine - sum(by[r.cluster]) / len(by[r.cluster])) < 1e-5 and r.canonical == min(i for i, c in want.items() if c == r.cluster) and r.cross_module for r in rows)
+    assert {r.id: r.cluster for r in rows} == want and (len(want) == 500 if not min_overlap else 100 < len(want) < 500)

@@ -1,5 +1,9 @@
-from collections import OrderedDict
+import itertools
+import json
+import math
 
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestrata.functions import scalar as S
@@ -7,24 +11,53 @@ from lodestrata.operators import delta, incremental, retrieval, sessions
 from lodestrata.streaming import ledger
 
 
-def test_windows(spark):
-    rows = [("s", c, 40, t) for t, c in enumerate("abcadbea", 1)] + [("n", None, None, 1)][:0]
-    df = spark.createDataFrame(rows, "session_id string, content_id string, tokens int, turn long")
-    for policy in ("fifo", "lru"):
-        held, out, used = OrderedDict(), [], 0
-        for _, c, n, t in rows:
-            if c in held:
-                if policy == "fifo":
-                    continue
-                used -= held.pop(c)
-            held[c] = n
-            used += n
-            while used > 100 and len(held) > 1:
-                v, n2 = next((k, x) for k, x in held.items() if k != c)
-                used -= held.pop(v)
-                out.append((v, t))
-        assert sorted((r.content_id, r.evicted_turn) for r in sessions.window_simulation(df, 100, policy).collect()) == sorted(out)
-    assert sessions.window_simulation(df, 100, "fsrs").count() > 0 and sessions.window_simulation(df.limit(0), 100).count() == 0
+def evicted(rows, capacity, policy):
+    """By the rule alone: what comes goes to the end of a list; while the list is too heavy, one leaves."""
+    line, out, access = [], [], {}
+    for content, tokens, turn, rating in rows:
+        line = [e for e in line if e[0] != content] + [(content, tokens)]
+        if content in access:
+            s, d, last = access[content]
+            r = 1 / (1 + (turn - last) / (9 * max(s, 0.1)))
+            if rating == "again":
+                d, s = min(1.0, d + 0.2), max(0.1, s * 0.5)
+            else:
+                d = max(0.0, d - 0.1) if rating == "easy" else d
+                s *= max(1.01, 1 + math.exp(0.1) * max(1.0, 11 - 10 * d) * s**-0.2 * (math.exp(0.05 * (1 - r)) - 1))
+            access[content] = (s, d, turn)
+        else:
+            access[content] = (1.0, 0.3, turn)
+        while sum(n for _, n in line) > capacity and line:
+            if policy == "fsrs":
+                recall = [1.0 if c == content else 1 / (1 + (turn - access[c][2]) / (9 * max(access[c][0], 0.1))) for c, _ in line]
+                at = recall.index(min(recall))
+            else:
+                at = 0
+            out.append((line.pop(at)[0], turn))
+    return out
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from("abcdef"), st.integers(1, 70), st.sampled_from(["again", "good", "easy"])), min_size=1, max_size=30))
+def test_windows(spark, steps):
+    rows = [(c, n, t, r) for t, (c, n, r) in enumerate(steps, 1)]
+    df = spark.createDataFrame([("s", *r, 1) for r in rows] + [("other", "a", 5, 1, "good", 1)], "session_id string, content_id string, tokens int, turn long, rating string, used int")
+    for policy in ("fifo", "lru", "fsrs"):
+        assert [(r.content_id, r.evicted_turn) for r in sessions.window_simulation(df, 100, policy).where("session_id = 's'").collect()] == evicted(rows, 100, policy)
+
+
+def test_window_edges(spark):
+    df = spark.createDataFrame([("s", "a", 300, 1), ("s", "b", 10, 2), ("s", "b", 10, 3), ("s", "c", 95, 4)], "session_id string, content_id string, tokens int, turn long")
+    assert [(r.content_id, r.evicted_turn) for r in sessions.window_simulation(df, 100, "fifo").collect()] == [("a", 1), ("b", 4)]  # the fresh one too, if it alone is too large
+    assert sessions.window_simulation(df.limit(0), 100).count() == 0
+
+
+def test_priority_cache(spark):
+    rows = [("s", 1, "put", "a", "sequential", 0.5), ("s", 2, "put", "b", "sequential", 0.9), ("s", 3, "get", "a", "sequential", 0.0), ("s", 4, "get", "a", "sequential", 0.0), ("s", 5, "put", "c", "sequential", 0.9), ("s", 6, "get", "b", "x", 0.0), ("s", 7, "get", "a", "x", 0.0), ("s", 8, "get", "c", "x", 0.0)]
+    df = spark.createDataFrame(rows, "session_id string, turn long, op string, key string, strategy string, confidence double")
+    r = sessions.priority_cache(df, 2).collect()
+    assert [tuple(x) for x in r] == [("s", 8, 4, 1, 1)]  # b leaves: 0.9 * 0.95^3 against 0.5 * 0.95^4 * (1 + log2 3)
+    assert [tuple(x)[2:] for x in sessions.priority_cache(df, 0).collect()] == [(0, 5, 0)] and sessions.priority_cache(df.limit(0), 2).count() == 0
 
 
 def test_ledger_stream_equals_batch(spark, tmp_path):
@@ -43,8 +76,20 @@ def test_deltas(spark):
     assert delta.line_delta("", "") == [] and delta.line_delta("", "x") == [("added", "x")] and delta.line_delta("x", "") == [("removed", "x")]
     df = spark.createDataFrame([(1, "a\nb", "b"), (2, None, "z")], "id long, old string, new string")
     assert [(r.id, r.op, r.line) for r in delta.deltas(df).orderBy("id", "n").collect()] == [(1, "removed", "a"), (1, "context", "b"), (2, "added", "z")]
-    big = {"rows": [{"t": "x" * 3000} for _ in range(50)], "n": 1}
-    assert len(str(delta.condense(big, 5000))) < 7000 and delta.condense({"a": 1}) == {"a": 1}
+    assert delta.line_delta("a", "a\na") == [("added", "a"), ("context", "a")]  # an added line of equal ones comes first
+    big = {"rows": [{"t": "One short sentence. " * 300, "k": n} for n in range(50)], "n": 1, "text": "A first one about budgets. Another about sessions! " * 200}
+    small = delta.condense(big, 2000)
+    assert delta.count_tokens(json.dumps(small)) <= 2000 and small["n"] == 1 and small["_condensed"]["omitted_elements"] and small["_condensed"]["reduced_fields"]
+    assert delta.condense({"a": 1}) == {"a": 1} and delta.shorten("word " * 500, 20).endswith("…")
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=7), st.lists(st.sampled_from("abc"), max_size=7))
+def test_delta_is_longest_and_whole(x, y):
+    out = delta.line_delta("\n".join(x), "\n".join(y))
+    assert [v for op, v in out if op != "added"] == x and [v for op, v in out if op != "removed"] == y
+    best = max(n for n in range(min(len(x), len(y)) + 1) if {c for c in itertools.combinations(x, n)} & {c for c in itertools.combinations(y, n)})
+    assert sum(op == "context" for op, _ in out) == best
 
 
 def test_answers_and_sweep(spark):
