@@ -73,6 +73,17 @@ def is_test_path(path: Column) -> Column:
     return out
 
 
+# Languages that share their symbols, by file endings; any other ending is its own family.
+FAMILIES = {"js_ts": "js jsx mjs cjs ts tsx mts cts", "c_cpp": "c h cpp cc cxx hpp hh hxx"}
+
+
+def language_family(path: Column) -> Column:
+    """The family of a path's language; null without an ending."""
+    end = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    family = F.create_map(*[F.lit(x) for k, ends in FAMILIES.items() for e in ends.split() for x in (e, k)])[end]
+    return F.when(end != "", F.coalesce(family, end))
+
+
 def is_placeholder(text: Column) -> Column:
     return text.startswith("[") & (text.contains("not found:") | text.contains("unavailable:"))
 

@@ -22,14 +22,17 @@ BLOCK = 4096
 def search_symbols(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id): names with all tokens of a query; where none has all, names with any.
 
-    ``queries``: query_id, query.  Tokens are few and stated, so they are joined
-    to the names as a nested loop over the query side only.
+    ``queries``: query_id, query.  A name that holds a token holds its first two
+    letters, so names and tokens meet in a join on pairs of letters; neither side
+    is broadcast by order or multiplied with the other.
     """
     tokens = queries.select("query_id", S.name_tokens(F.col("query")).alias("tokens")).where(F.size("tokens") > 0)
-    low = F.lower(F.col("name"))
-    pairs = symbols.select("id", "name").crossJoin(F.broadcast(tokens))  # a stated query set against all rows
-    scored = pairs.select("query_id", "id", F.forall("tokens", lambda t: low.contains(t)).alias("every"), F.exists("tokens", lambda t: low.contains(t)).alias("some")).where("some")
-    return scored.withColumn("any_full", F.max("every").over(Window.partitionBy("query_id"))).where("every or not any_full").select("query_id", "id").distinct()
+    asked = tokens.select("query_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).withColumn("gram", F.substring("token", 1, 2))
+    low = symbols.select("id", F.lower(F.col("name")).alias("low")).where("length(low) > 1")
+    grams = low.select("id", "low", F.explode(F.expr("array_distinct(transform(sequence(1, length(low) - 1), i -> substring(low, i, 2)))")).alias("gram"))
+    hits = grams.join(asked, "gram").where(F.col("low").contains(F.col("token"))).groupBy("query_id", "id", "n").agg(F.countDistinct("token").alias("held"))
+    full = F.col("held") == F.col("n")
+    return hits.withColumn("any_full", F.max(full).over(Window.partitionBy("query_id"))).where(full | ~F.col("any_full")).select("query_id", "id").distinct()
 
 
 def in_module(symbols: DataFrame, module: str) -> DataFrame:
@@ -398,13 +401,48 @@ def concrete_dependencies(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     return has.select("from_symbol_id", "to_symbol_id").distinct().join(through, ["from_symbol_id", "to_symbol_id"], "left_anti")
 
 
+#: The kinds of symbols to which a reference by name can resolve.
+TARGET_SYMBOLS = ["struct", "enum", "trait", "function", "type", "const", "static", "module", "class", "interface", "constant"]
+
+
 def resolve_references(raw: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(ref_id, symbol_id) of raw references (ref_id, file_path, name): the same file first, then the same package, then the least id."""
+    """(ref_id, symbol_id) of raw references (ref_id, file_path, name and, where they name one, package).
+
+    Candidates have the name, a kind that can be meant and a language of the same
+    family.  Of several those of the package that is named come first, then those
+    of the file's own package, then those of other files, then the least id.
+    """
     root = corpus_root(symbols)
-    s = symbols.dropDuplicates(["id"]).select("id", "name", F.col("file_path").alias("f"))
-    j = raw.join(s, "name")
-    order = F.when(F.col("file_path") == F.col("f"), 0).when(package_of(F.col("file_path"), root) == package_of(F.col("f"), root), 1).otherwise(2)
-    return j.groupBy("ref_id").agg(F.min(F.struct(order.alias("o"), "id"))["id"].alias("symbol_id"))
+    named = raw if "package" in raw.columns else raw.withColumn("package", F.lit(None).cast("string"))
+    s = symbols.dropDuplicates(["id"]).where(F.lower(F.trim("kind")).isin(*TARGET_SYMBOLS)).select("id", "name", F.col("file_path").alias("f"), S.language_family(F.col("file_path")).alias("family"), package_of(F.col("file_path"), root).alias("pkg"))
+    j = named.withColumn("family", S.language_family(F.col("file_path"))).join(s, ["name", "family"])
+    order = F.struct((~F.coalesce(F.col("package") == F.col("pkg"), F.lit(False))).alias("a"), (package_of(F.col("file_path"), root) != F.col("pkg")).alias("b"), (F.col("file_path") == F.col("f")).alias("c"), "id")
+    return j.groupBy("ref_id").agg(F.min(order)["id"].alias("symbol_id"))
+
+
+def impact_listing(reached: DataFrame, symbols: DataFrame, tests_only: bool = False) -> DataFrame:
+    """Reached symbols (root, id, depth) with their names and files, by depth, file and line; with ``tests_only`` those in tests."""
+    s = symbols.dropDuplicates(["id"]).select("id", "name", "file_path", "line_start")
+    out = reached.join(s, "id")
+    out = out.where(S.is_test_path(F.col("file_path"))) if tests_only else out
+    return out.select("root", "depth", "id", "name", "file_path", "line_start").orderBy("root", "depth", "file_path", "line_start", "id")
+
+
+def impact_report(edges: DataFrame, changed: DataFrame, most_seeds: int = 200, most: int = 500) -> DataFrame:
+    """(id, depth, seeds_omitted, omitted): a report on the first so many changed symbols and the nearest so many that they reach, and how many are left out of each."""
+    n = changed.select("id").distinct().count()
+    reached = settle(diff_impact(edges, changed.select("id").distinct().orderBy("id").limit(most_seeds)))
+    total = reached.count()
+    return reached.orderBy("depth", "id").limit(most).withColumn("seeds_omitted", F.lit(max(0, n - most_seeds))).withColumn("omitted", F.lit(max(0, total - most)))
+
+
+def methods_of(symbols: DataFrame, kinds: list[str] = ["struct", "impl", "class"]) -> DataFrame:  # noqa: B006
+    """(container, id): the symbols whose module path is a container's qualified path in the same file; of containers with one path in a file the first stands for all."""
+    s = symbols.dropDuplicates(["id"]).withColumn("kind", F.lower(F.trim("kind")))
+    held = s.where(F.col("kind").isin(*kinds)).withColumn("path", F.when(F.coalesce("module_path", F.lit("")) == "", F.col("name")).otherwise(F.concat_ws("::", "module_path", "name")))
+    first = held.groupBy("file_path", "path").agg(F.min(F.struct("line_start", "id"))["id"].alias("container"))
+    m = s.where(F.col("kind").isin("function", "method")).select("id", "file_path", F.col("module_path").alias("path"))
+    return m.join(first, ["file_path", "path"]).select("container", "id")
 
 
 def through_implementors(refs: DataFrame, kinds: list[str] = ["calls", "uses"]) -> DataFrame:  # noqa: B006

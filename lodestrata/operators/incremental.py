@@ -110,6 +110,13 @@ def coalesce_events(events: DataFrame) -> DataFrame:
     return events.groupBy("path").agg(F.max(F.struct("seq", "kind")).alias("e")).select("path", "e.kind", "e.seq")
 
 
+def apply_events(rows: DataFrame, events: DataFrame, fresh: DataFrame, path_col: str = "path") -> DataFrame:
+    """Rows after the last event of each path: those of removed paths go, those of created and modified ones are replaced by the fresh ones."""
+    last = coalesce_events(events).select(F.col("path").alias("_path"), "kind")
+    kept = rows.join(last, F.col(path_col) == F.col("_path"), "left_anti")
+    return kept.unionByName(fresh.join(last.where("kind <> 'removed'"), F.col(path_col) == F.col("_path"), "left_semi"))
+
+
 def affected_sections(before: DataFrame, after: DataFrame, changed: DataFrame) -> DataFrame:
     """Old and new section ids of changed documents (path)."""
     ids = before.select("document_id", "id").unionByName(after.select("document_id", "id")).distinct()

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.operators import graph, incremental, lookup, retrieval, sessions, text
 from lodestrata.session import table
+from lodestrata.sources import code
 
 
 class Corpus:
@@ -87,10 +90,39 @@ class Corpus:
     def usage(self, deliveries: DataFrame, capacity: int) -> DataFrame:
         return sessions.usage(deliveries, capacity)
 
-    def smells(self) -> DataFrame:
-        """(principle, subject): what the detectors of architecture smells find."""
+    def bridges(self, query: str | None = None, kind: str | None = None, language: str | None = None, file_path: str | None = None) -> DataFrame:
+        """Links between the endpoints that are read from the source files."""
+        read = code.read_endpoints(self.table("source_files")).dropDuplicates()
+        ends = read.select(F.sha2(F.concat_ws("\u0001", "kind", "role", "path", "line", "binding_key"), 256).alias("id"), "kind", "role", "binding_key", F.lit(1.0).alias("confidence"), F.col("path").alias("file_path"), F.regexp_extract("binding_key", r"(\w+)$", 1).alias("symbol_name"), lookup.language("path").alias("language"), "line").dropDuplicates(["id"])
+        side = lambda role: ends.where(F.col("role") == role).select("id", "kind", "binding_key", "confidence")
+        details = graph.link_details(graph.bridge_links(side("export"), side("import")), ends.drop("kind", "role", "confidence"), self.all_symbols)
+        return graph.filter_links(details, query, kind, language, file_path)
+
+    def smells(self, vectors: DataFrame | None = None, only: list[str] | None = None, **least: float) -> DataFrame:
+        """(principle, subject): what the detectors of architecture smells find.
+
+        ``only`` names some of them; the least values go by the names of the
+        detectors' parameters (min_cosine, min_overlap, min_files, min_packages,
+        max_overlap, min_methods, share, min_edges).  Without vectors (id, vector)
+        redundancy isn't looked for, and cohesion goes by callees alone.
+        """
         y, r = self.all_symbols, self.table("symbol_refs")
-        shot = graph.shotgun(y, r).select(F.lit("shotgun surgery").alias("principle"), F.col("name").alias("subject"))
-        concrete = graph.concrete_dependencies(y, r).select(F.lit("concrete dependency").alias("principle"), F.col("from_symbol_id").alias("subject"))
-        cycles = graph.package_cycles(graph.package_edges(y, r, ["uses", "imports"])).select(F.lit("cyclic packages").alias("principle"), F.col("package").alias("subject"))
-        return shot.unionByName(concrete).unionByName(cycles)
+        take = lambda *names: {n: least[n] for n in names if n in least}
+        methods = graph.methods_of(y, ["struct", "impl", "class", "trait", "interface"])
+        traits = y.where(F.lower(F.trim("kind")).isin("trait", "interface")).select(F.col("id").alias("container"))
+        own = methods.join(traits, "container", "left_semi").select(F.col("container").alias("interface"), F.col("id").alias("method"))
+        implements = r.where("ref_kind = 'implements'").select(F.col("to_symbol_id").alias("interface"), F.col("from_symbol_id").alias("implementor")).distinct()
+        calls = graph.call_edges(r).select(F.col("src").alias("implementor"), F.col("dst").alias("method"))
+        used = implements.join(own, "interface").join(calls, ["implementor", "method"], "left_semi").unionByName(implements.withColumn("method", F.lit(None).cast("string")))
+        found = {
+            "shotgun surgery": lambda: graph.shotgun(y, r, **take("min_files", "min_packages", "max_overlap")).select(F.col("name").alias("subject")),
+            "concrete dependency": lambda: graph.concrete_dependencies(y, r).select(F.col("from_symbol_id").alias("subject")),
+            "cyclic packages": lambda: graph.package_cycles(graph.package_edges(y, r, ["uses", "imports"]), **take("min_edges")).select(F.col("package").alias("subject")),
+            "low cohesion": lambda: graph.low_cohesion(methods, graph.call_edges(r), vectors, **take("min_methods")).select(F.col("container").alias("subject")),
+            "fat interface": lambda: graph.fat_interfaces(own, used, **take("share")).select(F.col("interface").alias("subject")),
+            "redundancy": lambda: graph.redundancy(y, r, vectors, **take("min_cosine", "min_overlap")).select(F.col("cluster").alias("subject")),
+            "dead code": lambda: graph.dead_code(y, r).select(F.col("id").alias("subject")),
+        }
+        names = [n for n in found if (only is None or n in only) and (vectors is not None or n != "redundancy")]
+        parts = [found[n]().select(F.lit(n).alias("principle"), "subject").distinct() for n in names]
+        return functools.reduce(DataFrame.unionByName, parts)

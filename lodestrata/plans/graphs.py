@@ -191,6 +191,22 @@ def resolved_references(s, d):
     return G.resolve_references(j, y)
 
 
+def impact_tests(s, d):
+    """Tests that the stated symbols reach by their callers."""
+    y, r = _t(s, d)
+    return G.impact_listing(G.impact(G.call_edges(r), _roots(s, d), depth=3), y, tests_only=True).select("root", "id", "depth", "file_path")
+
+
+def impact_report(s, d):
+    y, r = _t(s, d)
+    return G.impact_report(G.call_edges(r), _roots(s, d), 20, 100)
+
+
+def container_methods(s, d):
+    """Methods of classes and interfaces by their module paths."""
+    return G.methods_of(table(s, d, "symbols"), ["struct", "class", "interface", "trait", "impl", "function"])
+
+
 def implementor_references(s, d):
     return G.through_implementors(table(s, d, "symbol_refs"))
 
@@ -204,7 +220,7 @@ def occurrence_symbols(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        implementor_references, occurrence_symbols, references, reference_counts, pending_refs, dead_code, symbol_search, impact, impact_outgoing, impact_risk, transitive_callers, diff_impact, enclosing_symbols, bridge_links,
+        impact_tests, impact_report, container_methods, implementor_references, occurrence_symbols, references, reference_counts, pending_refs, dead_code, symbol_search, impact, impact_outgoing, impact_risk, transitive_callers, diff_impact, enclosing_symbols, bridge_links,
         bridge_details, bridge_filtered, bridge_nodes, bridge_references, endpoint_links, site_representatives, package_edges, package_cycles, shotgun, low_cohesion, fat_interfaces, concrete_dependencies, call_components, redundancy, resolved_references,
     )
 }
@@ -221,6 +237,8 @@ _EDGES = f"p AS (SELECT {_PKG.format('from_file')} AS from_pkg, {_PKG.format('to
 _SNAKE = r"CASE WHEN contains({0}, '_') THEN {0} ELSE lower(regexp_replace({0}, '(\p{{Ll}})(\p{{Lu}})', '\1_\2', 'g')) END"
 
 _REF_ONLY = _REF
+_END = "lower(regexp_extract({0}, '\\.([A-Za-z0-9]+)$', 1))"
+_FAMILY = "CASE " + " ".join(f"WHEN {_END} IN ({', '.join(repr(e) for e in ends.split())}) THEN '{k}'" for k, ends in S.FAMILIES.items()) + f" ELSE {_END} END"
 _BRIDGE = f"""S AS {SYMBOLS}, xx AS (SELECT name AS k, min(id) AS id FROM S WHERE {_FUN} AND regexp_extract(file_path, '\\.([a-z]+)$', 1) IN ('rs', 'py') GROUP BY 1), yy AS (SELECT name AS k, min(id) AS id FROM S WHERE {_FUN} AND regexp_extract(file_path, '\\.([a-z]+)$', 1) IN ('ts', 'js', 'java') GROUP BY 1),
  bl AS (SELECT 'call' AS kind, xx.id AS export_id, yy.id AS import_id, 1.0::DOUBLE AS confidence FROM xx JOIN yy ON xx.k = yy.k UNION ALL SELECT 'call', xx.id, yy.id, 0.9::DOUBLE FROM xx JOIN yy ON {_SNAKE.format('xx.k')} = {_SNAKE.format('yy.k')} AND xx.k <> yy.k WHERE xx.k NOT IN (SELECT k FROM yy) AND yy.k NOT IN (SELECT k FROM xx)),
  ep AS (SELECT a.id, a.file_path, a.name AS binding_key, a.name AS symbol_name, regexp_extract(a.file_path, '\\.([a-z]+)$', 1) AS language, a.line_start AS line, min(b.id) AS symbol_id FROM S a LEFT JOIN S b ON b.file_path = a.file_path AND b.name = a.name AND a.line_start BETWEEN b.line_start AND b.line_end GROUP BY ALL),
@@ -293,5 +311,11 @@ ORACLE = {
     "call_components": """WITH RECURSIVE g AS (SELECT from_symbol_id AS a, to_symbol_id AS b FROM symbol_refs WHERE ref_kind = 'implements' AND from_symbol_id <> to_symbol_id), u AS (SELECT a, b FROM g UNION SELECT b, a FROM g),
         c AS (SELECT a AS node, a AS r FROM u UNION SELECT c.node, u.b FROM c JOIN u ON u.a = c.r) SELECT node, min(r) AS component FROM c GROUP BY 1""",
     "resolved_references": f"""WITH {_REF}, q AS (SELECT DISTINCT concat_ws('>', from_symbol_id, to_symbol_id) AS ref_id, from_file, to_name FROM J WHERE ref_kind = 'calls')
-        SELECT ref_id, arg_min(S.id, {{'o': CASE WHEN from_file = file_path THEN 0 WHEN {_PKG.format('from_file')} = {_PKG.format('file_path')} THEN 1 ELSE 2 END, 'i': S.id}}) AS symbol_id FROM q JOIN S ON S.name = to_name GROUP BY 1""",
+        SELECT ref_id, arg_min(S.id, {{'b': {_PKG.format('from_file')} <> {_PKG.format('file_path')}, 'c': from_file = file_path, 'i': S.id}}) AS symbol_id FROM q JOIN S ON S.name = to_name AND {_FAMILY.format('from_file')} = {_FAMILY.format('file_path')}
+        WHERE lower(trim(kind)) IN ({", ".join(f"'{k}'" for k in G.TARGET_SYMBOLS)}) GROUP BY 1""",
+    "impact_tests": f"WITH RECURSIVE {_ROOTS}, {_CALLS}, {_BFS.format(next='src', at='dst', n=3)} SELECT root, m.id, depth, file_path FROM m JOIN {SYMBOLS} s ON s.id = m.id WHERE depth > 0 AND {TEST_PATH.replace('lower(p)', 'lower(file_path)')}",
+    "impact_report": f"""WITH RECURSIVE {_ROOTS}, sd AS (SELECT id FROM roots ORDER BY id LIMIT 20), {_CALLS}, b AS (SELECT id, 0 AS depth FROM sd UNION SELECT src, depth + 1 FROM b JOIN e ON e.dst = b.id WHERE depth < 10), m AS (SELECT id, min(depth) AS depth FROM b GROUP BY 1 HAVING min(depth) > 0)
+        SELECT id, depth, greatest(0, (SELECT count(*) FROM roots) - 20)::INT AS seeds_omitted, greatest(0, (SELECT count(*) FROM m) - 100)::INT AS omitted FROM m ORDER BY depth, id LIMIT 100""",
+    "container_methods": f"""WITH S AS {SYMBOLS}, h AS (SELECT file_path, CASE WHEN coalesce(module_path, '') = '' THEN name ELSE module_path || '::' || name END AS p, arg_min(id, {{'l': line_start, 'i': id}}) AS container FROM S WHERE lower(trim(kind)) IN ('struct', 'class', 'interface', 'trait', 'impl', 'function') GROUP BY 1, 2)
+        SELECT container, id FROM S JOIN h ON h.file_path = S.file_path AND h.p = S.module_path WHERE {_FUN}""",
 }

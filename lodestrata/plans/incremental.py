@@ -66,6 +66,13 @@ def _stored_roots(s, d):
     return f.select("root_id", F.when(F.length("root_id") % 2 == 0, F.col("root_hash")).otherwise("older").alias("root_hash"), F.when(F.substring("root_id", 1, 1) < "n", 4).otherwise(3).alias("extractor_version"))
 
 
+def stale_deliveries(s, d):
+    """Deliveries of sections to ten sessions, by position, that have changed since."""
+    sec = table(s, d, "sections").dropDuplicates(["id"]).where("position is not null")
+    delivered = sec.select((F.col("position") % 10).alias("session_id"), F.col("id").alias("content_id"))
+    return I.stale_deliveries(delivered, affected_sections(s, d).select("id"))
+
+
 def short_circuit(s, d):
     return I.short_circuit(fingerprint(s, d), _stored_roots(s, d), extractor=4)
 
@@ -104,7 +111,7 @@ def backlog(s, d):
     return I.backlog(f.select(F.col("path").alias("id")), f.where("state = 'current'").select(F.col("path").alias("id")))
 
 
-QUERIES = {f.__name__: f for f in (short_circuit, rebinds, rollback, throughput, recent_activity, recent_errors, backlog, freshness, latest_hashes, change_actions, stale_sweep, fingerprint, coalesced_events, coherence_stream, answer_cache, affected_sections)}
+QUERIES = {f.__name__: f for f in (stale_deliveries, short_circuit, rebinds, rollback, throughput, recent_activity, recent_errors, backlog, freshness, latest_hashes, change_actions, stale_sweep, fingerprint, coalesced_events, coherence_stream, answer_cache, affected_sections)}
 
 _H = "h AS (SELECT path, max({'m': coalesce(mtime_ns, -1), 'e': extractor_version, 'r': resolver_version, 'c': content_hash}) AS k FROM file_hashes GROUP BY 1)"
 _EV = """ev AS (SELECT user_id::VARCHAR || '/' || json_extract_string(props, '$.k') AS path, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'removed' ELSE 'modified' END AS kind, event_id AS seq FROM events)"""
@@ -133,3 +140,4 @@ ORACLE |= {
     "recent_errors": "SELECT user_id, event_type, event_id AS seq FROM events WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 100",
     "backlog": f"WITH st AS ({ORACLE['freshness']}) SELECT count(*) FILTER (state <> 'current') AS waiting FROM st",
 }
+ORACLE["stale_deliveries"] = f"WITH a AS ({ORACLE['affected_sections']}) SELECT position % 10 AS session_id, id AS content_id FROM (SELECT DISTINCT id, position FROM sections WHERE position IS NOT NULL) x WHERE id IN (SELECT id FROM a)"

@@ -10,8 +10,10 @@ SESSION_TABLES = ["sessions", "session_deliveries", "section_memory_states", "an
 
 
 def version_hash(roots: DataFrame) -> str:
-    """A hash of the sorted roots (root_id, root_hash); one row a repository."""
-    row = roots.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "root_id", "root_hash"))), "\n"), 256)).collect()
+    """A hash of the roots (root_id, root_hash), over 4,096 buckets by id, so no list grows with their number."""
+    entry = roots.select(F.substring(F.sha2(F.coalesce("root_id", F.lit("")), 256), 1, 3).alias("bucket"), F.concat_ws(":", "root_id", "root_hash").alias("entry"))
+    hashed = entry.select("bucket", F.sha2("entry", 256).alias("h")).groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("h"))
+    row = hashed.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("bucket", "h"))), "\n"), 256)).collect()  # at most 4,096 entries
     return row[0][0]
 
 
@@ -30,7 +32,13 @@ def read_bundle(spark: SparkSession, source: str) -> tuple[str, dict[str, DataFr
 
 
 def export_sessions(deliveries: DataFrame, drops: DataFrame, target: str) -> None:
-    """Delivered and dropped items of sessions as JSON lines, with a summary a session."""
-    deliveries.write.mode("overwrite").partitionBy("session_id").json(f"{target}/delivered")
-    drops.write.mode("overwrite").partitionBy("session_id").json(f"{target}/drops")
-    deliveries.groupBy("session_id").agg(F.count("*").alias("deliveries"), F.sum("tokens").alias("tokens")).coalesce(1).write.mode("overwrite").json(f"{target}/summary")
+    """Delivered and dropped items as JSON lines, each session's together and in order, and a line a session with its sums."""
+    for name, rows in (("delivered", deliveries), ("drops", drops)):
+        order = [c for c in ("session_id", "turn") if c in rows.columns]
+        rows.repartition("session_id").sortWithinPartitions(*order).write.mode("overwrite").json(f"{target}/{name}")
+    deliveries.groupBy("session_id").agg(F.count("*").alias("deliveries"), F.sum("tokens").alias("tokens")).write.mode("overwrite").json(f"{target}/summary")
+
+
+def read_session(spark: SparkSession, target: str, session: str) -> DataFrame:
+    """The delivered items of one exported session."""
+    return spark.read.json(f"{target}/delivered").where(F.col("session_id") == session)

@@ -28,6 +28,26 @@ DEFINITIONS: dict[str, list[tuple[str, str]]] = {
     "c": [("function", r"^(?!typedef|return|else)(?:[A-Za-z_][\w*]*\s+\**)+(\w+)\s*\([^;]*$"), ("struct", r"^(?:typedef\s+)?struct\s+(\w+)\s*\{"), ("constant", r"^static\s+const\s+[\w\s*]+?(\w+)\s*(?:\[\])?\s*=")],
     "py": [("function", r"^\s*(?:async\s+)?def\s+(\w+)"), ("class", r"^class\s+(\w+)"), ("constant", r"^([A-Z][A-Z0-9_]*)\s*=")],
 }
+_ACCESS = r"(?:(?:public|private|protected|internal|static|final|sealed|abstract|partial|override|virtual|open|data|async|readonly|inline|suspend|fileprivate|mutating|case|implicit|lazy|external|const|constexpr|extern|friend|explicit)\s+)*"
+DEFINITIONS |= {
+    "cpp": [("module", r"^\s*namespace\s+([\w:]+)"), ("class", r"^\s*(?:template\s*<[^>]*>\s*)?class\s+(\w+)\s*(?:final\s*)?(?::[^;]*)?\{?\s*$"), ("struct", r"^\s*(?:template\s*<[^>]*>\s*)?(?:struct|union)\s+(\w+)\s*(?::[^;]*)?\{?\s*$"), ("enum", r"^\s*enum\s+(?:class\s+)?(\w+)"), ("function", rf"^\s*(?:template\s*<[^>]*>\s*)?{_ACCESS}(?!return|else|throw|new|delete|using|typedef)(?:[\w:]+(?:<[^;(]*>)?[\s*&]+)+(~?[\w:]*\w)\s*\([^;]*$")],
+    "cs": [("module", r"^\s*namespace\s+([\w.]+)"), ("class", rf"^\s*{_ACCESS}(?:class|record)\s+(\w+)"), ("struct", rf"^\s*{_ACCESS}struct\s+(\w+)"), ("interface", rf"^\s*{_ACCESS}interface\s+(\w+)"), ("enum", rf"^\s*{_ACCESS}enum\s+(\w+)"), ("function", r"^\s*(?:(?:public|private|protected|internal|static|override|virtual|abstract|async|sealed)\s+)+[\w<>\[\],.?]+\s+(\w+)\s*(?:<[^>]*>)?\(")],
+    "kt": [("class", rf"^\s*{_ACCESS}(?:class|object)\s+(\w+)"), ("interface", rf"^\s*{_ACCESS}interface\s+(\w+)"), ("enum", rf"^\s*{_ACCESS}enum\s+class\s+(\w+)"), ("function", rf"^\s*{_ACCESS}fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(\w+)\s*\("), ("constant", r"^\s*const\s+val\s+(\w+)")],
+    "swift": [("class", rf"^\s*{_ACCESS}(?:class|actor)\s+(\w+)\s*[:{{<]"), ("struct", rf"^\s*{_ACCESS}struct\s+(\w+)"), ("enum", rf"^\s*{_ACCESS}enum\s+(\w+)"), ("trait", rf"^\s*{_ACCESS}protocol\s+(\w+)"), ("impl", r"^\s*extension\s+(\w+)"), ("function", rf"^\s*{_ACCESS}func\s+(\w+)")],
+    "rb": [("module", r"^\s*module\s+([\w:]+)"), ("class", r"^\s*class\s+([\w:]+)"), ("function", r"^\s*def\s+(?:self\.)?(\w+[?!]?)"), ("constant", r"^\s*([A-Z][A-Z0-9_]+)\s*=")],
+    "php": [("class", rf"^\s*{_ACCESS}class\s+(\w+)"), ("interface", r"^\s*interface\s+(\w+)"), ("trait", r"^\s*trait\s+(\w+)"), ("function", rf"^\s*{_ACCESS}function\s+&?(\w+)\s*\("), ("constant", rf"^\s*{_ACCESS}const\s+(\w+)\s*=")],
+    "scala": [("class", rf"^\s*{_ACCESS}class\s+(\w+)"), ("module", rf"^\s*{_ACCESS}object\s+(\w+)"), ("trait", rf"^\s*{_ACCESS}trait\s+(\w+)"), ("function", rf"^\s*{_ACCESS}def\s+(\w+)")],
+    "dart": [("class", r"^\s*(?:abstract\s+)?class\s+(\w+)"), ("enum", r"^\s*enum\s+(\w+)"), ("function", r"^\s*(?:static\s+)?(?:[\w<>?,]+\s+)(?!if\b|for\b|while\b|switch\b)(\w+)\s*\([^;]*\)\s*(?:async\s*)?\{")],
+    "lua": [("function", r"^\s*(?:local\s+)?function\s+([\w.:]+)\s*\(")], "sh": [("function", r"^\s*(?:function\s+)?(\w+)\s*\(\)\s*\{?")], "zig": [("function", r"^\s*(?:pub\s+)?(?:export\s+)?fn\s+(\w+)"), ("struct", r"^\s*(?:pub\s+)?const\s+(\w+)\s*=\s*(?:packed\s+|extern\s+)?struct\b"), ("enum", r"^\s*(?:pub\s+)?const\s+(\w+)\s*=\s*enum\b")],
+    "ex": [("module", r"^\s*defmodule\s+([\w.]+)"), ("function", r"^\s*defp?\s+(\w+[?!]?)")], "erl": [("function", r"^([a-z]\w*)\s*\([^)]*\)\s*(?:when\b[^-]*)?->")], "hs": [("function", r"^([a-z]\w*)\s*::"), ("type", r"^(?:data|newtype|type)\s+(\w+)"), ("trait", r"^class\s+(?:.*=>\s*)?(\w+)")],
+    "jl": [("function", r"^\s*function\s+([\w.!]+)"), ("struct", r"^\s*(?:mutable\s+)?struct\s+(\w+)"), ("module", r"^\s*module\s+(\w+)")], "pl": [("function", r"^\s*sub\s+(\w+)"), ("module", r"^\s*package\s+([\w:]+)")], "r": [("function", r"^\s*([\w.]+)\s*(?:<-|=)\s*function\s*\(")],
+    "ml": [("function", r"^\s*let\s+(?:rec\s+)?(\w+)\s+[\w(~?]"), ("module", r"^\s*module\s+(\w+)"), ("type", r"^\s*type\s+(?:'\w+\s+)?(\w+)")], "proto": [("struct", r"^\s*message\s+(\w+)"), ("interface", r"^\s*service\s+(\w+)"), ("method", r"^\s*rpc\s+(\w+)"), ("enum", r"^\s*enum\s+(\w+)")],
+    "sql": [("struct", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:temp\w*\s+)?(?:table|view)\s+(?:if\s+not\s+exists\s+)?[\"`]?([\w.]+)"), ("function", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:function|procedure)\s+[\"`]?([\w.]+)")],
+    "hlsl": [("struct", r"^\s*struct\s+(\w+)"), ("constant", r"^\s*cbuffer\s+(\w+)"), ("function", r"^(?!return|else)(?:[A-Za-z_][\w<>]*\s+)+(\w+)\s*\([^;]*$")], "glsl": [("struct", r"^\s*struct\s+(\w+)"), ("function", r"^(?!return|else)(?:[A-Za-z_]\w*\s+)+(\w+)\s*\([^;]*$")],
+}
+DEFINITIONS |= {alias: DEFINITIONS[own] for own, aliases in {"cpp": "cc cxx hpp hh hxx cu", "kt": "kts", "sh": "bash zsh", "ex": "exs", "ml": "mli", "pl": "pm", "hlsl": "fx usf ush compute", "glsl": "vert frag geom comp wgsl"}.items() for alias in aliases.split()}
+#: Languages whose blocks end by indentation or by a word.
+INDENTED = frozenset("py rb lua ex exs erl hs jl ml mli r".split())
 DEFINITIONS |= {"ts": DEFINITIONS["js"], "h": DEFINITIONS["c"], "tsx": DEFINITIONS["js"], "jsx": DEFINITIONS["js"]}
 _PATTERNS = {k: [(kind, re.compile(p)) for kind, p in v] for k, v in DEFINITIONS.items()}
 # Names that are no references.
@@ -110,22 +130,37 @@ def symbols(path: str, text: str) -> list[tuple[str, str, str, str, int, int, in
             if not m:
                 continue
             end = n
-            if kind != "constant" and language != "py":
+            if kind != "constant" and language not in INDENTED:
                 while end + 1 < len(plain) and (depths[end + 1] > depths[n] or end == n and "{" not in line and ";" not in line):
                     end += 1
-            elif language == "py" and kind != "constant":
+            elif kind != "constant":
                 indent = len(line) - len(line.lstrip())
                 while end + 1 < len(plain) and (not plain[end + 1].strip() or len(plain[end + 1]) - len(plain[end + 1].lstrip()) > indent):
                     end += 1
             container = open_[-1][0] if open_ else ""
             body = "\n".join(plain[n : end + 1])
             out.append((m.group(1), "method" if kind == "function" and container else kind, container, lines[n].strip(), n + 1, end + 1, 1 + len(_DECISION.findall(body))))
-            if kind in ("impl", "class", "trait", "interface"):
+            if kind in ("impl", "class", "trait", "interface", "struct", "module") and not (kind == "struct" and language in ("c", "h", "go", "rs")):
                 open_.append((m.group(1), end))
             break
     return out
 
 
+_HEIRS = re.compile(r"\b(?:class|interface|struct|trait|object|record|protocol|extension|actor|enum)\s+\w+(?:\s*<[^>{]*>)?(?:\s*\([^)]*\))?\s*(?P<rest>(?:extends|implements|with|:|<(?=\s*\w+\s*$)).*)")
+_TYPE_NAME = re.compile(r"(?<![\w.\"'])(?<!class )(?<!struct )(?<!enum )(?<!interface )(?<!trait )(?<!impl )(?<!new )[A-Z]\w*[a-z]\w*\b(?!\s*(?:\(|::|!))")
+
+
+def _parents(line: str, language: str) -> list[str]:
+    """What a type's declaration names as its parents or interfaces; in Ruby what a module mixes in, too."""
+    if language == "rb" and (m := re.match(r"\s*(?:include|extend|prepend)\s+(\w+)", line)):
+        return [m.group(1)]
+    m = _HEIRS.search(line)
+    if not m:
+        return []
+    rest = re.sub(r"<[^<>]*>|\([^()]*\)|\{.*", " ", m.group("rest"))
+    return [w for w in re.findall(r"\b[A-Za-z_]\w*", rest) if w not in ("extends", "implements", "with", "public", "private", "protected", "virtual", "where", "final")]
+
+
 def references(path: str, text: str) -> list[tuple[str, int, str]]:
     """(name, line, kind) of the calls and imports of a file."""
     language = path.rsplit(".", 1)[-1].lower()
@@ -149,6 +184,8 @@ def references(path: str, text: str) -> list[tuple[str, int, str]]:
             continue
         if m := re.match(r"\s*impl(?:<[^>]*>)?\s+(\w+)(?:<[^>]*>)?\s+for\s+\w+", line):
             out.append((m.group(1), n, "implements"))
+        out += [(name, n, "implements") for name in _parents(line, language)]
+        out += [(m.group(), n, "uses") for m in _TYPE_NAME.finditer(line)]
         out += [(m.group(1), n, "calls") for m in re.finditer(r"(?<![\w.])(?:\w+(?:::|\.))*(\w+)\s*\(", line) if m.group(1) not in NO_REFERENCE and not re.search(r"\b(?:fn|def|func|function|long|public|static)\b[^(]*$", line[: m.start(1)])]
     return out
 
