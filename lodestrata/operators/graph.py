@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions import scalar as S
-from lodestrata.session import settle
+from lodestrata.session import settle, wide
 
 MAX_DEPTH = 10
 #: Rows of a bucket that are compared at once.
@@ -248,9 +248,9 @@ def _in_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def alike_edges(rows: DataFrame, keys: list[str], min_cosine: float, min_overlap: float = 0.0) -> DataFrame:
     """(a, b): a forest that connects what is alike within the keys, of rows (keys, id, v, targets); the least cosine is above 0."""
-    wide = rows.withColumn("_width", F.size("v"))
-    pairs = _in_blocks(wide.select(*keys, "_width", "id", "v", "targets"), [*keys, "_width"])
-    return pairs.groupBy(*keys, "_width", "i", "j").applyInPandas(lambda part: _alike_edges(part, min_cosine, min_overlap), "a string, b string").where("a <> b")
+    sized = rows.withColumn("_width", F.size("v"))
+    pairs = _in_blocks(sized.select(*keys, "_width", "id", "v", "targets"), [*keys, "_width"])
+    return wide(pairs, *keys, "_width", "i", "j").groupBy(*keys, "_width", "i", "j").applyInPandas(lambda part: _alike_edges(part, min_cosine, min_overlap), "a string, b string").where("a <> b")
 
 
 def _pair_sums(part: pd.DataFrame, min_cosine: float | None, min_overlap: float) -> tuple[int, float, float]:
@@ -303,7 +303,7 @@ def pair_sums(rows: DataFrame, keys: list[str], min_cosine: float | None = None,
         return pd.DataFrame([(*(part[k].iloc[0] for k in keys), *_pair_sums(part.sort_values("id").reset_index(drop=True), min_cosine, min_overlap))], columns=names)
 
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    blocks = _in_blocks(rows, keys).groupBy(*keys, "i", "j").applyInPandas(run, f"{kinds}, pairs long, cosines double, overlaps double")
+    blocks = wide(_in_blocks(rows, keys), *keys, "i", "j").groupBy(*keys, "i", "j").applyInPandas(run, f"{kinds}, pairs long, cosines double, overlaps double")
     return blocks.groupBy(*keys).agg(F.sum("pairs").alias("pairs"), F.sum("cosines").alias("cosines"), F.sum("overlaps").alias("overlaps"))
 
 
@@ -344,10 +344,10 @@ def shotgun(symbols: DataFrame, refs: DataFrame, min_files: int = 3, min_package
     root = corpus_root(symbols)
     s = symbols.dropDuplicates(["id"]).withColumn("kind", F.lower(F.trim("kind"))).where(F.col("kind").isin("function", "method") & ~F.col("name").isin(*S.CONVENTIONAL_NAMES))
     sites = one_site_a_file(s.select("id", "name", "kind", "file_path", "line_start"), ["name", "kind"]).withColumn("package", package_of(F.col("file_path"), root))
-    wide = sites.groupBy("name", "kind").agg(F.count("*").alias("files"), F.countDistinct(F.when(F.col("package") != "", F.col("package"))).alias("packages")).where((F.col("files") >= min_files) & (F.col("packages") >= min_packages))
-    own = sites.join(wide, ["name", "kind"]).join(neighbour_sets(refs, TARGET_KINDS), "id", "left").select("name", "kind", "id", F.coalesce("targets", F.array().cast("array<string>")).alias("targets"))
+    many = sites.groupBy("name", "kind").agg(F.count("*").alias("files"), F.countDistinct(F.when(F.col("package") != "", F.col("package"))).alias("packages")).where((F.col("files") >= min_files) & (F.col("packages") >= min_packages))
+    own = sites.join(many, ["name", "kind"]).join(neighbour_sets(refs, TARGET_KINDS), "id", "left").select("name", "kind", "id", F.coalesce("targets", F.array().cast("array<string>")).alias("targets"))
     sums = pair_sums(own, ["name", "kind"]).select("name", "kind", (F.col("overlaps") / F.col("pairs")).alias("avg_jaccard"))
-    return wide.join(sums, ["name", "kind"]).where(F.col("avg_jaccard") <= max_overlap)
+    return many.join(sums, ["name", "kind"]).where(F.col("avg_jaccard") <= max_overlap)
 
 
 def low_cohesion(methods: DataFrame, calls: DataFrame, vectors: DataFrame | None = None, min_methods: int = 4, min_cosine: float = 0.7) -> DataFrame:

@@ -88,10 +88,16 @@ def knn_exact(points: DataFrame, queries: DataFrame, k: int, pool: bool = False)
 
 
 def postings(documents: DataFrame) -> DataFrame:
-    """(doc_id, term, weight) of documents (doc_id, name, doc, sig, body): saturated term counts, weighted by field."""
+    """(doc_id, term, weight) of documents (doc_id, name, doc, sig, body): saturated term counts, weighted by field.
+
+    Names are counted first and taken apart once each, as in ``scalar.analyze``.
+    """
     fields = F.array(*[F.struct(F.lit(w).alias("w"), F.coalesce(F.col(f), F.lit("")).alias("text")) for f, w in S.FIELD_WEIGHTS.items()])
-    terms = documents.select("doc_id", F.explode(fields).alias("f")).select("doc_id", F.col("f.w").alias("w"), F.explode(S.analyze(F.col("f.text"))).alias("term"))
-    tf = terms.groupBy("doc_id", "w", "term").agg(F.count("*").alias("tf"))
+    names = spread(documents.select("doc_id", *S.FIELD_WEIGHTS)).select("doc_id", F.explode(fields).alias("f")).where("f.text <> ''").select("doc_id", F.col("f.w").alias("w"), F.explode(F.split("f.text", r"[^\p{L}\p{N}_]+")).alias("name"))
+    counted = names.where("name <> ''").groupBy("doc_id", "w", "name").agg(F.count("*").alias("n"))
+    parts = counted.select("doc_id", "w", "n", F.expr(r"concat(array(lower(name)), transform(filter(split(regexp_replace(name, '([\\p{Ll}0-9])(\\p{Lu})', '$1_$2'), '_'), p -> p <> ''), p -> lower(p)))").alias("parts"))
+    terms = parts.select("doc_id", "w", "n", F.explode(F.expr("filter(parts, (x, i) -> (i = 0 or x <> parts[i - 1]) and octet_length(x) > 1)")).alias("term"))
+    tf = terms.groupBy("doc_id", "w", "term").agg(F.sum("n").alias("tf"))
     return tf.groupBy("doc_id", "term").agg(F.sum(F.col("w") * F.col("tf") / (1 + F.col("tf"))).alias("weight"))
 
 

@@ -35,3 +35,9 @@ def spread(df: DataFrame) -> DataFrame:
     """Redistribute a narrow input that sits in fewer partitions than there are cores, before work in Python."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def wide(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by keys before work in Python on the groups: so many partitions that all cores have some, which adaptive execution doesn't merge though their bytes are few."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))), *keys)
