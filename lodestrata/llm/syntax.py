@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 from lodestrata.llm.automata import Automaton
 from lodestrata.llm.grammars import LANGUAGES
 from lodestrata.llm.lexers import lex
-from lodestrata.session import settle, spread
+from lodestrata.session import settle, spread, wide
 
 _GROUP = {"P": "()", "K": "[]", "Z": "{}"}
 
@@ -177,7 +177,7 @@ def odd_pairs(found: DataFrame) -> DataFrame:
 def groups(found: DataFrame) -> DataFrame:
     """Rows (file_id, language, level, grp, opener, closer, letters): each bracketed group, and the file around them at level 0, with inner groups reduced to one class."""
     # a run of tokens up to and with a bracket; the windows see one row a bracket, not one a token
-    runs = found.select("file_id", "language", F.posexplode(F.regexp_extract_all("shape", F.lit(_RUN), 0)).alias("pos", "run"))
+    runs = wide(found, "file_id").select("file_id", "language", F.posexplode(F.regexp_extract_all("shape", F.lit(_RUN), 0)).alias("pos", "run"))
     last = F.substring("run", -1, 1)
     sign = F.when(last.isin(*_SIGNS, *")]}"), last).otherwise("")
     runs = runs.withColumn("sign", sign).withColumn("step", F.when(F.col("sign").isin(*_SIGNS), 1).when(F.col("sign") != "", -1).otherwise(0))
