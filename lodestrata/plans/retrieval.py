@@ -52,8 +52,14 @@ def matryoshka_rescore(s, d):
     return R.rescore(first, p, _asked(p), 20).select("query_id", "id", F.round("score", 5).alias("score"))
 
 
+def _of_index(s, d):
+    """The vectors that have the length of the index's configuration."""
+    config = table(s, d, "hnsw_config").select("dimension").limit(1)  # one row
+    return table(s, d, "vectors").join(F.broadcast(config), F.size("vector") == F.col("dimension")).drop("dimension")
+
+
 def vector_health(s, d):
-    v = table(s, d, "vectors").where("size(vector) = 96").select(F.concat_ws("::", "resolution", "content_id").alias("id"), "vector").dropDuplicates(["id"])
+    v = _of_index(s, d).select(F.concat_ws("::", "resolution", "content_id").alias("id"), "vector").dropDuplicates(["id"])
     return R.vector_health(v)
 
 
@@ -86,7 +92,7 @@ def sparse_search(s, d):
 
 def _vectors(s, d):
     m = table(s, d, "id_map").where("not deleted").select("vector_id")
-    v = table(s, d, "vectors").where("resolution in ('symbol-stub', 'symbol-full') and size(vector) = 96").select(F.concat_ws("::", "resolution", "content_id").alias("vector_id"), "content_id", "vector").dropDuplicates(["vector_id"])
+    v = _of_index(s, d).where("resolution in ('symbol-stub', 'symbol-full')").select(F.concat_ws("::", "resolution", "content_id").alias("vector_id"), "content_id", "vector").dropDuplicates(["vector_id"])
     good = v.join(m, "vector_id", "left_semi").where(~S.degenerate(S.as_double(F.col("vector"))))
     return good.select(F.col("vector_id").alias("id"), F.col("content_id").alias("content"), "vector")
 
@@ -217,7 +223,7 @@ _ASKED = f"""asked AS (SELECT id AS query_id, name AS query FROM {SYMBOLS} WHERE
  qw AS (SELECT query_id, qt.term, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS qw FROM qt CROSS JOIN nd LEFT JOIN df ON df.term = qt.term),
  hit AS (SELECT query_id, doc_id, round(sum(weight * qw), 9) AS score FROM post JOIN qw USING (term) GROUP BY 1, 2),
  sp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hit QUALIFY rank <= 30)"""
-_DENSE = """vv AS (SELECT DISTINCT resolution || '::' || content_id AS vid, content_id, vector::DOUBLE[] AS v FROM vectors WHERE resolution IN ('symbol-stub', 'symbol-full') AND len(vector) = 96
+_DENSE = """vv AS (SELECT DISTINCT resolution || '::' || content_id AS vid, content_id, vector::DOUBLE[] AS v FROM vectors WHERE resolution IN ('symbol-stub', 'symbol-full') AND len(vector) = (SELECT dimension FROM hnsw_config)
    AND resolution || '::' || content_id IN (SELECT vector_id FROM id_map WHERE NOT deleted)),
  ok AS (SELECT * FROM vv WHERE len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_sum(list_transform(v, lambda x: x * x)) >= 1e-12),
  dq AS (SELECT query_id, arg_min(v, vid) AS qv FROM ok JOIN asked ON asked.query_id = ok.content_id GROUP BY 1),
@@ -241,7 +247,7 @@ ORACLE = {
         s AS (SELECT *, round(list_cosine_similarity(qv, v), 9) AS cos FROM c30),
         w AS (SELECT *, min(score) OVER p AS l1, max(score) OVER p AS h1, min(cos) OVER p AS l2, max(cos) OVER p AS h2 FROM s WINDOW p AS (PARTITION BY query_id))
         SELECT query_id, id, round(round(0.7 * CASE WHEN h2 - l2 < 1.1920929e-07 THEN 0.5 ELSE (cos - l2) / (h2 - l2) END + 0.3 * CASE WHEN h1 - l1 < 1.1920929e-07 THEN 0.5 ELSE (score - l1) / (h1 - l1) END, 9), 5) AS score FROM w""",
-    "vector_health": """WITH v AS (SELECT DISTINCT resolution || '::' || content_id AS id, vector::DOUBLE[] AS v FROM vectors WHERE len(vector) = 96),
+    "vector_health": """WITH v AS (SELECT DISTINCT resolution || '::' || content_id AS id, vector::DOUBLE[] AS v FROM vectors WHERE len(vector) = (SELECT dimension FROM hnsw_config)),
         f AS (SELECT id, v, len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0 OR list_sum(list_transform(v, lambda x: x * x)) < 1e-12 AS bad FROM v),
         o AS (SELECT arg_min(v, id) AS first_ FROM f WHERE NOT bad)
         SELECT count(*) AS total, sum(CASE WHEN bad THEN 1 ELSE 0 END)::BIGINT AS degenerate, sum(CASE WHEN bad THEN 0 ELSE 1 END)::BIGINT AS live,
