@@ -373,7 +373,7 @@ def representatives(items: DataFrame, keys: list[str], order: list[str], most: i
     """(keys, kept, omitted): the first items (id) of each group and how many are left out; 0 keeps all."""
     ranked = items.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     kept = F.array_sort(F.collect_list(F.when(F.lit(most == 0) | (F.col("_r") <= most), F.struct("_r", "id"))))
-    return ranked.groupBy(*keys).agg(F.transform(kept, lambda x: x["id"]).alias("kept"), (F.count("*") if most else F.lit(0)).alias("_n")).withColumn("omitted", F.greatest(F.lit(0), F.col("_n") - F.size("kept")) if most else F.lit(0).cast("long")).drop("_n")
+    return ranked.groupBy(*keys).agg(F.transform(kept, lambda x: x["id"]).alias("kept"), F.count("*").alias("_n")).withColumn("omitted", F.col("_n") - F.size("kept")).drop("_n")
 
 
 def fat_interfaces(interface_methods: DataFrame, used: DataFrame, min_methods: int = 6, share: float = 0.33) -> DataFrame:
