@@ -119,7 +119,7 @@ def _series(text: str) -> bool:
 
 _PAYLOAD = re.compile(r"[\"'`]([A-Za-z0-9+/=_\-]{40,})[\"'`]|^\s*([A-Za-z0-9+/=]{60,})\s*$", re.M)
 _FIGURE = re.compile(r"(?<![\w.])[+\-]?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d+)?(?:[eE][+\-]?\d+)?)\w{0,3}(?![\w.])")
-_IDENTIFIER = re.compile(r"[^\W\d]\w*")
+_IDENTIFIER = re.compile(r"\b[^\W\d]\w*")
 _CONTROL = re.compile("[\x00-\x08\x0e-\x1a\x1c-\x1f\x7f\ufffd]")
 _ROW_END = frozenset(",]})S'\"._")
 

@@ -13,6 +13,8 @@ def test_composition():
     assert P.composition("\x7fELF\x00\x01\x02" * 40, "c") == "blob"
     assert P.composition("DATA = [\n" + "    1, 22, 333, 4444,\n" * 60 + "]\n", "py") == "blob"
     assert P.composition("P = [\n" + ('    "' + "QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVphYmNkZWZnaGlqa2xtbm9w" + '",\n') * 30 + "]\n", "py") == "blob"
+    assert P.composition("package a\n\nvar Data = []int{" + ", ".join(f"0x{k * 7919 % 65536:04x}" for k in range(300)) + ",}\n", "go") == "blob"
+    assert P.composition("package a\n\nvar Table = []int{" + ", ".join(f"0x{k * 7919 % 65536:04x}" for k in range(40)) + "}\n\nfunc F(x int) int {\n\treturn Table[x]\n}\n", "go") is None
     assert P.composition("function a(n,t){var e=n*2;return e>t?e-t:t+1}" * 30, "js") == "minified"
     series = "\n\n".join(f"def f_{k:04d}(count):\n    total = count * {k + 1}\n    return total + {k}" for k in range(6))
     assert P.composition("import math\n\n" + series, "py") == "generated"
